@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from mnemo.catalog import ranking_queries, text_queries  # noqa: F401
+from mnemo.catalog.base import REGISTRY
+
+__all__ = ["REGISTRY"]

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mnemo.config import DEFAULT_RULES, Rules
-from mnemo.functions.text import keyword_hits, strip, strings, token_set
+from mnemo.functions.text import strip, strings, token_set
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _ZONE = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
+def round6(x: Column) -> Column:
+    """Six decimals, decided on the exact binary value, halves to even.
+
+    ``round`` looks at the shortest decimal form instead, which is a tie for
+    many products of six-decimal scores although the value itself is not.
+    The value is split in two halves whose products with 1e6 are exact.
+    """
+    spread = x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    whole = F.floor(x * F.lit(1e6)).cast("double")
+    rest = (high * F.lit(1e6) - whole) + (x - high) * F.lit(1e6)
+    up = (rest > 0.5) | ((rest == 0.5) & (F.pmod(whole, F.lit(2.0)) == 1.0))
+    return (whole + up.cast("double")) / F.lit(1e6)
+
+
 def to_ts(c: Column) -> Column:
     """Epoch seconds or ISO-8601 to a timestamp. Without a zone it is UTC.
 
@@ -98,9 +113,3 @@ def recommend_agent(prompt: Column, rules: Rules = DEFAULT_RULES) -> Column:
         return F.lit(identity.default_agent)
     best = F.array_max(F.array(*scored))
     return F.when(best["hits"] > 0, best["agent"]).otherwise(F.lit(identity.default_agent))
-
-
-__all__ = [
-    "backoff_seconds", "bad_ts", "budget_chars", "digest_chars", "json_doubles",
-    "json_strings", "keyword_hits", "recommend_agent", "resolve_project", "to_iso", "to_ts",
-]

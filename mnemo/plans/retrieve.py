@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions import text as t
+from mnemo.functions.scalars import round6
 from mnemo.functions.vectors import HashedEmbedder, embed, identity_of
 from mnemo.operators.audit import require_identity
 from mnemo.operators.probe import GLOBAL_POOL, Scope
@@ -40,7 +41,7 @@ def blend(hits: DataFrame, routed: DataFrame, key: str, k: int, boost: float) ->
     lifted = hits.join(weights, "prompt_id").withColumn("_axis", F.nullif("pool", F.lit(GLOBAL_POOL)))
     weight = F.try_element_at("routing", F.coalesce("_axis", F.lit("")))
     score = F.when(F.col("_axis").isNull(), F.col("score")).otherwise(
-        F.round(F.col("score") * (1.0 + F.lit(float(boost)) * weight), 6)
+        round6(F.col("score") * (1.0 + F.lit(float(boost)) * weight))
     )
     payload = [c for c in hits.columns if c not in ("prompt_id", key, "pool", "score", "rank")]
     best = lifted.withColumn("score", score).groupBy("prompt_id", key).agg(
@@ -134,7 +135,7 @@ def merge(found: Retrieved, rules: Rules = DEFAULT_RULES) -> DataFrame:
         return df.select(
             "prompt_id", F.lit(section).alias("section"), F.col("rank").alias("pos"),
             F.lit(kind).alias("kind"), F.col(key).cast("string").alias("item_id"),
-            text.alias("text"), F.round(score, 6).alias("score"), *extra,
+            text.alias("text"), round6(score).alias("score"), *extra,
         )
 
     def provenance(df):
