@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from mnemo.catalog import ranking_queries, text_queries  # noqa: F401
+from mnemo.catalog import (  # noqa: F401
+    event_queries, ranking_queries, store_queries, text_queries,
+)
 from mnemo.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemo.config import (
     DEFAULT_RELATION, DEFAULT_RULES, FILE_PATTERN, MODULE_PATTERN, RELATION_CUES,
@@ -36,6 +36,16 @@ def strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, whatever is done with them later.
+
+    A plain column is an expression the optimizer copies into every filter and
+    projection above it; generated output is a value.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

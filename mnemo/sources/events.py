@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemo.config import DEFAULT_RULES, EVENT_STATUSES, STATUSES, Rules
-from mnemo.functions.text import strip
+from mnemo.functions.text import once, strip
 from mnemo.schema import EVENT
 
 MAX_ITEMS = 100
@@ -45,14 +45,16 @@ def parse_events(lines: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     The first broken rule is reported. A valid row's ``event`` has its status
     defaulted and its decisions' statuses checked and coerced.
     """
-    parsed = lines.withColumn("_json", F.try_parse_json("value"))
-    parsed = parsed.withColumn("_kind", F.schema_of_variant("_json"))
-    typed = F.from_json("value", EVENT)
+    parsed = once(
+        lines, _json=F.try_parse_json("value"), _typed=F.from_json("value", EVENT)
+    )
+    parsed = once(parsed, _kind=F.schema_of_variant("_json"))
+    typed = F.col("_typed")
     status = F.lower(F.coalesce(
         F.nullif(F.try_variant_get("_json", "$.status", "string"), F.lit("")), F.lit("completed")
     ))
     decision_statuses = F.transform(
-        F.coalesce(F.from_json("value", EVENT)["decisions"], F.array()),
+        F.coalesce(typed["decisions"], F.array()),
         lambda d: F.lower(F.coalesce(F.nullif(d["status"], F.lit("")), F.lit("proposed"))),
     )
     checks: list[tuple[str | None, Column, str]] = [
@@ -80,13 +82,12 @@ def parse_events(lines: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     for name, condition, code in checks:
         found = F.struct(F.lit(code).alias("code"), F.lit(name).cast("string").alias("field"))
         failure = F.when(condition, found) if failure is None else failure.when(condition, found)
-    checked = parsed.withColumn("_error", failure)
     event = typed.withField("status", status).withField(
         "decisions", coerce_status(typed["decisions"])
     )
+    checked = once(once(parsed, _error=failure), event=F.when(F.col("_error").isNull(), event))
     return checked.select(
-        *lines.columns,
-        F.when(F.col("_error").isNull(), event).alias("event"),
+        *lines.columns, "event",
         F.col("_error.code").alias("error_code"), F.col("_error.field").alias("error_field"),
     )
 
