@@ -84,6 +84,15 @@ def to_markdown(built: DataFrame, title: str = "Memory Digest", rules: Rules = D
 
 
 # -- tiered pack -------------------------------------------------------------------------
+def _complete(knowledge: DataFrame) -> DataFrame:
+    """Add the provenance columns a table may lack, as NULL."""
+    kinds = {"source": "string", "source_type": "string", "source_id": "string", "ts": "timestamp",
+             "status": "string", "project": "string", "confidence": "double"}
+    return knowledge.withColumns({
+        name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in knowledge.columns
+    })
+
+
 def structured(
     prompts: DataFrame, knowledge: DataFrame, kind: str, status: str, embedder,
     limit: int = 5,
@@ -94,11 +103,11 @@ def structured(
         prompts, knowledge, int(embedder.dimensions),
         Filters(memory_type=kind, status=status), limit,
         identity_of(embedder) if "embed_identity" in knowledge.columns else None,
-        Scope(project="strict"), [c for c in payload if c in knowledge.columns],
+        Scope(project="strict"), payload,
     )
     entry = F.struct(
         "rank", F.col("memory_id").cast("string").alias("item_id"), "text",
-        *[c for c in payload[1:] if c in hits.columns], "score",
+        *payload[1:], "score",
     )
     return hits.groupBy("prompt_id").agg(F.array_sort(F.collect_list(entry)).alias(kind))
 
@@ -147,6 +156,7 @@ def build_context(
     not included and are left to search.
     """
     embedder = embedder or HashedEmbedder(rules)
+    knowledge = _complete(knowledge)
     asked = requests.withColumns({
         "project": resolve_project(F.col("project_hint"), F.col("active_workspace"), rules),
         "budget_chars": budget_chars(F.col("token_budget"), rules),
