@@ -159,10 +159,10 @@ def embedded_documents(spark, sf) -> DataFrame:
 
 def document_edges(spark, sf) -> DataFrame:
     docs = tagged_documents(spark, sf)
-    edges = docs.select(
-        F.col("memory_id").alias("edge_id"), t.topic_label(F.col("text")).alias("src_label"),
-        F.col("lang").alias("rel"), t.primary_keyword(F.col("text")).alias("dst_label"),
+    labelled = t.once(
+        docs, src_label=t.topic_label(F.col("text")), dst_label=t.primary_keyword(F.col("text"))
+    ).filter("src_label != '' AND dst_label != ''")
+    return labelled.select(
+        F.col("memory_id").alias("edge_id"), "src_label", F.col("lang").alias("rel"), "dst_label",
         "project", "experts",
     )
-    return edges.filter("src_label != '' AND dst_label != ''")
-

@@ -86,21 +86,19 @@ def own_cosine(spark, sf):
 
 @query("calibration", f"""
 WITH {_CENTROID_SQL},
-r AS (SELECT CASE WHEN prompt_id = label THEN 'top' ELSE 'background' END AS pool,
-  round(raw_score, 6) AS score FROM scores)
+r AS (SELECT 'top' AS pool, score FROM (SELECT round(raw_score, 6) AS score FROM scores
+    QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY round(raw_score, 6) DESC, memory_id) <= 20)
+  UNION ALL SELECT 'background', round(raw_score, 6) FROM scores WHERE prompt_id = (label + 1) % 10)
 SELECT pool, count(*) AS pairs, min(score) AS lowest, max(score) AS highest FROM r GROUP BY pool""")
 def calibrate(spark, sf):
-    """Scores within a label against those across labels; the percentiles are approximate."""
+    """Best scores per label mean against those of every row with the next label's mean."""
     e = _vectors(spark, sf)
     means = _centroids(e)
-    # Every row against every label mean; a label mean is one row, however many rows it has.
-    hits = vector_topk(
-        e.select(F.col("memory_id").alias("prompt_id"), "embedding"),
-        means.select(F.col("prompt_id").alias("memory_id"), "embedding"),
-        DIM, k=1000, min_score=None,
-    ).join(e.select(F.col("memory_id").alias("prompt_id"), "label"), "prompt_id")
-    own = F.col("label") == F.col("memory_id")
-    report = calibration(hits.filter(own), hits.filter(~own))
+    top = vector_topk(means, e, DIM, k=20, min_score=None)
+    other = means.select(F.col("prompt_id").alias("next"), F.col("embedding").alias("mean"))
+    background = e.withColumn("next", (F.col("label") + 1) % 10).join(other, "next")
+    background = background.select(F.round(cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
+    report = calibration(top, background)
     return report.select("pool", "pairs", "lowest", "highest")
 
 

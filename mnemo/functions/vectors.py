@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from mnemo.config import DEFAULT_RULES, Rules
-from mnemo.functions.text import tokens
+from mnemo.functions.text import once, tokens
 
 VECTOR = ArrayType(FloatType())
 
@@ -206,7 +206,8 @@ def embed_batch(df: DataFrame, input_col: str, embedder: Embedder | HashedEmbedd
 
 def sparse(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """(key, bucket, weight) rows of the non-zero entries."""
-    return df.select(key, F.posexplode(vector).alias("bucket", "weight")).filter("weight != 0")
+    rows = once(df.select(key, vector), _vector=F.col(vector))
+    return rows.select(key, F.posexplode("_vector").alias("bucket", "weight")).filter("weight != 0")
 
 
 def cosine(a: Column, b: Column) -> Column:

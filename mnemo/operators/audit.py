@@ -41,13 +41,17 @@ def mixed_identity(knowledge: DataFrame) -> DataFrame:
     )
 
 
+def side_by_side(*reports: DataFrame) -> DataFrame:
+    """One-row frames as one row: a union and an aggregate, no join."""
+    stacked = reports[0]
+    for report in reports[1:]:
+        stacked = stacked.unionByName(report, allowMissingColumns=True)
+    return stacked.agg(*[F.any_value(c, True).alias(c) for c in stacked.columns])
+
+
 def row_counts(**tables: DataFrame) -> DataFrame:
     """One row with the row count of every table."""
-    out = None
-    for name, df in tables.items():
-        part = df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(1))
-        out = part if out is None else out.join(part, "_k")
-    return out.drop("_k")
+    return side_by_side(*[df.agg(F.count("*").alias(name)) for name, df in tables.items()])
 
 
 def store_audit(
@@ -62,17 +66,21 @@ def store_audit(
 
     given = next(d for d in (knowledge, edges, ledger, spark) if d is not None)
     session = getattr(given, "sparkSession", given)
-    row = session.range(1).select(F.lit(1).alias("_k"))
-
-    def beside(row: DataFrame, part: DataFrame) -> DataFrame:
-        return row.join(part.withColumn("_k", F.lit(1)), "_k")
-
+    parts = [session.range(1).select(F.lit(True).alias("_audit"))]
+    if knowledge is not None:
+        parts.append(identity_audit(knowledge, identity))
+    if edges is not None:
+        parts.append(edges.agg(F.count("*").alias("edges")))
+    if ledger is not None:
+        parts.append(backlog_depth(ledger).withColumnRenamed("depth", "queue_depth"))
+        parts.append(last_done(ledger))
+    row = side_by_side(*parts)
     nothing = F.lit(None).cast("string")
     if knowledge is None:
         row = row.withColumns({"vector_store": F.lit("unavailable"),
                                "vector_problem": F.lit("vector_store")})
     else:
-        row = beside(row, identity_audit(knowledge, identity)).withColumn(
+        row = row.withColumn(
             "vector_store",
             F.when(F.col("mismatched") > 0, "identity_mismatch").otherwise("ready"),
         ).withColumn(
@@ -82,20 +90,17 @@ def store_audit(
         row = row.withColumns({"graph_store": F.lit("unavailable"),
                                "graph_problem": F.lit("graph_store")})
     else:
-        row = beside(row, edges.agg(F.count("*").alias("edges"))).withColumns(
-            {"graph_store": F.lit("ready"), "graph_problem": nothing}
-        )
+        row = row.withColumns({"graph_store": F.lit("ready"), "graph_problem": nothing})
     if ledger is None:
         row = row.withColumns({
             "queue_depth": F.lit(0).cast("bigint"),
             "last_ingestion": F.lit(None).cast("timestamp"), "queue_problem": F.lit("queue"),
         })
     else:
-        row = beside(row, backlog_depth(ledger).withColumnRenamed("depth", "queue_depth"))
-        row = beside(row, last_done(ledger)).withColumn("queue_problem", nothing)
+        row = row.withColumn("queue_problem", nothing)
     problems = F.array_compact(F.array("vector_problem", "graph_problem", "queue_problem"))
     return row.withColumn("problems", problems).withColumn(
         "status", F.when(F.size("problems") == 0, "healthy").otherwise("degraded")
     ).withColumn(
         "memory_status", F.when(F.size("problems") == 0, "ready").otherwise("degraded")
-    ).drop("_k", "vector_problem", "graph_problem", "queue_problem")
+    ).drop("_audit", "vector_problem", "graph_problem", "queue_problem")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemo.config import DEFAULT_RULES, LEDGER_STATES, VOLATILE_EVENT_FIELDS, Rules
 from mnemo.functions.redact import redact_text
 from mnemo.functions.scalars import backoff_seconds
+from mnemo.operators.audit import side_by_side
 from mnemo.operators.upsert import INSERTED, resolve
 
 LOST_WORKER = "worker died mid-event and exhausted max_attempts (no ack, no fail)"
@@ -149,8 +150,7 @@ def ledger_report(ledger: DataFrame, letters: int = 20) -> DataFrame:
         "dead_letters", lambda d: d.dropFields("newest")
     ).alias("dead_letters"))
     stats = ledger_stats(ledger).withColumn("depth", F.col("queued") + F.col("processing"))
-    # Two one-row frames side by side.
-    return stats.withColumn("_k", F.lit(1)).join(dead.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(stats, dead)
 
 
 def event_state(ledger: DataFrame) -> DataFrame:

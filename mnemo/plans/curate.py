@@ -11,7 +11,7 @@ from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions import text as t
 from mnemo.functions.scalars import to_ts
 from mnemo.functions.vectors import HashedEmbedder, embed, identity_of
-from mnemo.operators.audit import require_identity
+from mnemo.operators.audit import require_identity, side_by_side
 from mnemo.operators.upsert import (
     concept_nodes, new_rows, upsert_edges, upsert_knowledge, upsert_nodes,
 )
@@ -153,10 +153,7 @@ def ingest_report(messages: DataFrame, rejects: DataFrame, result: Curated,
         result.skipped.agg(F.count("*").alias("knowledge_skipped")),
         *[df.agg(F.count("*").alias(f"{name}_total")) for name, df in totals.items()],
     ]
-    row = parts[0].withColumn("_k", F.lit(1))
-    for part in parts[1:]:  # one-row frames side by side
-        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
-    return row.drop("_k")
+    return side_by_side(*parts)
 
 
 __all__ = [

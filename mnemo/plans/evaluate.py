@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mnemo.operators.audit import side_by_side
+
 
 def _percent(part, whole):
     return F.round(F.when(whole > 0, 100.0 * part / whole).otherwise(0.0), 1)
@@ -58,10 +60,7 @@ def recall_floor(prompts: DataFrame, routed: DataFrame, unrouted: DataFrame) ->
 
 def evaluation_report(accuracy: DataFrame, routed: DataFrame, unrouted: DataFrame) -> DataFrame:
     """The one-row reports side by side."""
-    row = accuracy.withColumn("_k", F.lit(1))
-    for part in (routed, unrouted):
-        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
-    return row.drop("_k")
+    return side_by_side(accuracy, routed, unrouted)
 
 
 def calibration(top: DataFrame, background: DataFrame, points=(0.05, 0.5, 0.95)) -> DataFrame:
