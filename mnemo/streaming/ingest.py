@@ -1,8 +1,12 @@
 """Continuous event ingest on Structured Streaming.
 
-Each micro-batch first makes its events durable, then feeds what is due. All
-tables are append-only and every write is keyed, so a replayed micro-batch adds
-nothing: effectively once from an at-least-once source.
+Each micro-batch first makes its events durable, then feeds what is due. Tables
+only grow, and a micro-batch writes its own folder of each batch table, so a
+replayed micro-batch adds nothing: effectively once from an at-least-once source.
+
+A drain never reads the whole history. It starts from the open events the last
+drain left behind and adds the batches written since; done and dead events drop
+out of the next snapshot.
 """
 
 from __future__ import annotations
@@ -10,38 +14,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    BooleanType, LongType, StringType, StructField, StructType, TimestampType,
+)
 
 from mnemo.config import DEFAULT_RULES, Rules
+from mnemo.functions.vectors import HashedEmbedder, identity_of
+from mnemo.operators.audit import require_identity
 from mnemo.operators.ledger import classify_duplicates, due_events, lifecycle
 from mnemo.plans.fanout import FannedOut, ingest_events
 from mnemo.schema import ATTEMPT, EDGES, EVENT, KNOWLEDGE, NODES
 from mnemo.sources.events import event_rows, parse_events, split_events
 from mnemo.sources.tables import append, stage
 
-BRONZE = StructType([
-    StructField("event_id", StringType()),
-    StructField("request_id", StringType()),
-    StructField("value", StringType()),
-    StructField("payload_hash", StringType()),
-    StructField("created_at", TimestampType()),
-    StructField("batch_id", LongType()),
-])
-ACCEPTS = StructType([
-    StructField("request_id", StringType()),
-    StructField("event_id", StringType()),
-    StructField("duplicate", BooleanType()),
-    StructField("payload_mismatch", BooleanType()),
-    StructField("batch_id", LongType()),
-])
-QUARANTINE = StructType([
-    StructField("value", StringType()),
-    StructField("error_code", StringType()),
-    StructField("error_field", StringType()),
-    StructField("batch_id", LongType()),
-])
+
+def _table(**fields) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+STR, LONG, FLAG, TS = StringType(), LongType(), BooleanType(), TimestampType()
+EVENTS = _table(event_id=STR, request_id=STR, value=STR, payload_hash=STR, created_at=TS)
+ACCEPTS = _table(request_id=STR, event_id=STR, duplicate=FLAG, payload_mismatch=FLAG)
+QUARANTINE = _table(value=STR, error_code=STR, error_field=STR)
+OPEN = _table(event_id=STR, request_id=STR, value=STR, created_at=TS)
+OPEN_ATTEMPTS = ATTEMPT
 MATERIAL = [f.name for f in EVENT.fields]
 
+# Tables with one folder per micro-batch.
+BATCHED = {"events": EVENTS, "accepts": ACCEPTS, "quarantine": QUARANTINE, "attempts": ATTEMPT,
+           "open_events": OPEN, "open_attempts": OPEN_ATTEMPTS}
+PLAIN = {"knowledge": KNOWLEDGE, "nodes": NODES, "edges": EDGES}
+
 
 def fit(df: DataFrame, schema: StructType) -> DataFrame:
     """Exactly the columns of ``schema``, NULL where ``df`` has none."""
@@ -60,44 +63,49 @@ class Store:
     spark: SparkSession
     root: str
 
+    def __post_init__(self) -> None:
+        """Make absent tables readable; existing ones are left alone."""
+        for name, schema in BATCHED.items():
+            empty = self.spark.createDataFrame([], schema)
+            empty.write.mode("ignore").parquet(f"{self.path(name)}/batch_id=-1")
+        for name, schema in PLAIN.items():
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str, schema: StructType) -> DataFrame:
-        """The table, empty while nothing was written. The schema is given, so no file is opened."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return self.spark.createDataFrame([], schema)
+    def read(self, name: str) -> DataFrame:
+        """A table; batch tables carry ``batch_id``, and a filter on it prunes folders."""
+        if name in PLAIN:
+            return self.spark.read.schema(PLAIN[name]).parquet(self.path(name))
+        schema = StructType([*BATCHED[name].fields, StructField("batch_id", LONG)])
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def write_batch(self, name: str, df: DataFrame, schema: StructType, batch_id: int) -> None:
-        """One folder per micro-batch; a replay overwrites its own folder and no other."""
-        path = f"{self.path(name)}/batch_id={batch_id}"
-        fit(df, schema).drop("batch_id").write.mode("overwrite").parquet(path)
+    def write_batch(self, name: str, df: DataFrame, batch_id: int, mode: str = "overwrite") -> None:
+        fit(df, BATCHED[name]).write.mode(mode).parquet(f"{self.path(name)}/batch_id={batch_id}")
 
-    def append(self, name: str, df: DataFrame, schema: StructType, partition_by=()) -> None:
-        append(fit(df, schema), self.path(name), partition_by)
+    def append(self, name: str, df: DataFrame) -> None:
+        append(fit(df, PLAIN[name]), self.path(name))
 
     @property
-    def bronze(self) -> DataFrame:
-        return self.read("events", BRONZE)
+    def events(self) -> DataFrame:
+        return self.read("events")
 
     @property
     def attempts(self) -> DataFrame:
-        return self.read("attempts", ATTEMPT)
+        return self.read("attempts")
 
     @property
     def knowledge(self) -> DataFrame:
-        return self.read("knowledge", KNOWLEDGE)
+        return self.read("knowledge")
 
     @property
     def nodes(self) -> DataFrame:
-        return self.read("nodes", NODES)
+        return self.read("nodes")
 
     @property
     def edges(self) -> DataFrame:
-        return self.read("edges", EDGES)
+        return self.read("edges")
 
 
 @dataclass
@@ -120,22 +128,41 @@ class EventIngest:
             parsed.withColumn("ord", F.concat_ws("-", F.md5("value"), counter)), "parsed"
         )
         valid, bad = split_events(parsed)
-        earlier = self.store.bronze.filter(F.col("batch_id") != batch_id)
-        judged = stage(
-            classify_duplicates(event_rows(valid), earlier, MATERIAL), "judged"
-        )
+        # Idempotency has no horizon: the key columns of all earlier batches are
+        # scanned, filtered by this batch's few request ids.
+        earlier = self.store.events.filter(F.col("batch_id") != batch_id)
+        judged = stage(classify_duplicates(event_rows(valid), earlier, MATERIAL), "judged")
         fresh = judged.filter("queued").withColumn("created_at", now)
-        self.store.write_batch("events", fresh, BRONZE, batch_id)
-        self.store.write_batch("accepts", judged, ACCEPTS, batch_id)
-        self.store.write_batch("quarantine", bad, QUARANTINE, batch_id)
+        self.store.write_batch("events", fresh, batch_id)
+        self.store.write_batch("accepts", judged, batch_id)
+        self.store.write_batch("quarantine", bad, batch_id)
 
     # -- process --------------------------------------------------------------------------
     def ledger(self, now: Column | None = None) -> DataFrame:
+        """State of every event ever accepted, for reports."""
         return lifecycle(
-            self.store.bronze, self.store.attempts, now, self.stale_seconds, self.rules
+            self.store.events, self.store.attempts, now, self.stale_seconds, self.rules
         )
 
-    def drain(self, now: Column | None = None) -> None:
+    def _open(self, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """Events that may still need work, and their attempts so far.
+
+        Without a snapshot of the previous batch everything is read, once.
+        """
+        last = batch_id - 1
+        mark = self.store.read("open_events").filter(F.col("batch_id") == last)
+        have = last >= 0 and mark.filter(F.col("event_id").isNull()).limit(1).count() > 0
+        columns, tries = OPEN.names, ATTEMPT.names
+        since = F.col("batch_id") > (last if have else -1)
+        events = self.store.events.filter(since).select(*columns)
+        attempts = self.store.attempts.filter(since).select(*tries)
+        if have:
+            kept = self.store.read("open_attempts").filter(F.col("batch_id") == last)
+            events = mark.filter(F.col("event_id").isNotNull()).select(*columns).unionByName(events)
+            attempts = kept.select(*tries).unionByName(attempts)
+        return events, attempts
+
+    def drain(self, batch_id: int, now: Column | None = None) -> None:
         """Process everything due, once, and record one attempt per event.
 
         Events whose stored payload cannot be read fail with an error and are
@@ -143,21 +170,24 @@ class EventIngest:
         attempts are recorded leaves them started, which counts as lost later.
         """
         now = F.current_timestamp() if now is None else now
-        due = stage(due_events(self.ledger(now), now).select(
+        events, attempts = self._open(batch_id)
+        state = lifecycle(events, attempts, now, self.stale_seconds, self.rules)
+        due = stage(due_events(state, now).select(
             "event_id", "request_id", "value", "created_at",
             (F.col("attempts") + 1).alias("attempt"), now.alias("started_at"),
         ), "due")
-        if due.limit(1).count() == 0:
-            return
-        self.store.append("attempts", due, ATTEMPT)
-        parsed = parse_events(due, self.rules)
-        good, bad = split_events(parsed)
+        if due.limit(1).count():
+            self._process(due, batch_id, now)
+        self._snapshot(batch_id, now)
+
+    def _process(self, due: DataFrame, batch_id: int, now: Column) -> None:
+        self.store.write_batch("attempts", due, batch_id, "append")
+        good, bad = split_events(parse_events(due, self.rules))
         # Events that came without an id carry the one given on acceptance.
-        events = good.select(
-            "created_at", F.col("event_id").alias("_id"), "event.*"
-        ).drop("event_id").withColumnRenamed("_id", "event_id")
+        rows = good.select("created_at", F.col("event_id").alias("_id"), "event.*")
+        rows = rows.drop("event_id").withColumnRenamed("_id", "event_id")
         made = ingest_events(
-            events, ["created_at", "event_id"], self.store.knowledge, self.store.nodes,
+            rows, ["created_at", "event_id"], self._earlier_rows(due), self.store.nodes,
             self.store.edges, self.embedder, self.rules, now,
         )
         self._write(made)
@@ -168,25 +198,51 @@ class EventIngest:
         })
         columns = ["event_id", "attempt", "started_at", "outcome", "error"]
         finished = done.select(*columns).unionByName(failed.select(*columns))
-        self.store.append("attempts", finished.withColumn("finished_at", now), ATTEMPT)
+        self.store.write_batch(
+            "attempts", finished.withColumn("finished_at", now), batch_id, "append"
+        )
+
+    def _earlier_rows(self, due: DataFrame) -> DataFrame | None:
+        """Rows an earlier, lost attempt may have written already.
+
+        Keys are scoped to the event, so a first attempt cannot meet any and the
+        knowledge table is not touched for it.
+        """
+        again = due.filter(F.col("attempt") > 1).select(F.col("event_id").alias("source_id"))
+        if not again.limit(1).count():
+            return None
+        return self.store.knowledge.join(again, "source_id", "left_semi")
 
     def _write(self, made: FannedOut) -> None:
         # Everything is computed against the tables as they were, then appended.
-        staged = [
-            ("knowledge", stage(made.knowledge, "knowledge"), KNOWLEDGE, ("type",)),
-            ("nodes", stage(made.nodes, "nodes"), NODES, ()),
-            ("edges", stage(made.edges, "edges"), EDGES, ()),
-        ]
-        for name, df, schema, parts in staged:
-            self.store.append(name, df, schema, parts)
+        staged = [(n, stage(getattr(made, n), n)) for n in ("knowledge", "nodes", "edges")]
+        for name, df in staged:
+            self.store.append(name, df)
+
+    def _snapshot(self, batch_id: int, now: Column) -> None:
+        """What the next drain starts from: open events, their attempts, and a mark."""
+        events, attempts = self._open(batch_id)
+        state = lifecycle(events, attempts, now, self.stale_seconds, self.rules)
+        unfinished = state.filter(F.col("state").isin("queued", "processing"))
+        mark = self.store.spark.createDataFrame([(None,) * len(OPEN.names)], OPEN)
+        kept = stage(unfinished.select(*OPEN.names), "open")
+        self.store.write_batch("open_attempts", attempts.join(
+            kept.select("event_id"), "event_id", "left_semi"
+        ), batch_id)
+        self.store.write_batch("open_events", kept.unionByName(mark), batch_id)
 
     # -- streams --------------------------------------------------------------------------
     def run_batch(self, lines: DataFrame, batch_id: int) -> None:
         self.accept(lines, batch_id)
-        self.drain()
+        self.drain(batch_id)
 
     def start(self, folder: str, drain_and_stop: bool = False):
-        """Follow a folder of JSON-lines files; ``drain_and_stop`` ends when it is used up."""
+        """Follow a folder of JSON-lines files; ``drain_and_stop`` ends when it is used up.
+
+        Fails at once if the knowledge table belongs to another embedder.
+        """
+        embedder = self.embedder or HashedEmbedder(self.rules)
+        require_identity(self.store.knowledge, identity_of(embedder))
         lines = self.store.spark.readStream.text(folder)
         writer = lines.writeStream.foreachBatch(self.run_batch).option(
             "checkpointLocation", self.store.path("_checkpoint")

@@ -198,22 +198,44 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, ingest):
     assert [r.value for r in lost] == ["broken"]
     notes = spark.read.parquet(run.store.path("accepts"))
     assert notes.filter("payload_mismatch").count() == 1
-    before = (run.store.knowledge.count(), run.store.bronze.count(), notes.count())
+    before = (run.store.knowledge.count(), run.store.events.count(), notes.count())
     # The same micro-batch again, as after a crash before its commit.
     run.run_batch(lines(spark, *events[1:]), 1)
     after = spark.read.parquet(run.store.path("accepts")).count()
-    assert (run.store.knowledge.count(), run.store.bronze.count(), after) == before
+    assert (run.store.knowledge.count(), run.store.events.count(), after) == before
 
 
 def test_unreadable_events_retry_then_die(spark, ingest):
     run, _ = ingest
     run.rules = DEFAULT_RULES.with_(max_attempts=2)
     run.accept(lines(spark, FULL), 0)
-    bronze = run.store.bronze.withColumn("value", F.lit("{corrupt"))
-    broken = run.store.spark.createDataFrame(bronze.collect(), bronze.schema)
-    run.store.write_batch("events", broken, bronze.schema, 0)
-    for n in (1, 2):
-        run.drain(F.lit(datetime(2030, 1, 1) + timedelta(hours=n)))
-        assert state(run)["e1"] == ("dead" if n == 2 else "queued", n)
+    stored = run.store.events.withColumn("value", F.lit("{corrupt"))
+    run.store.write_batch("events", spark.createDataFrame(stored.collect(), stored.schema), 0)
+    start = datetime(2030, 1, 1)
+    run.drain(0, F.lit(start))
+    assert state(run)["e1"] == ("queued", 1)
+    run.drain(1, F.lit(start + timedelta(seconds=1)))  # not due yet
+    assert state(run)["e1"] == ("queued", 1)
+    run.drain(2, F.lit(start + timedelta(hours=1)))
+    assert state(run)["e1"] == ("dead", 2)
     assert run.store.knowledge.count() == 0
     assert "not_json" in run.ledger().first().last_error
+    opened = run.store.read("open_events").filter("event_id IS NOT NULL").collect()
+    assert sorted(r.batch_id for r in opened) == [0, 1]
+
+
+def test_a_lost_attempt_is_repeated_without_double_writes(spark, ingest):
+    run, _ = ingest
+    run.accept(lines(spark, FULL), 0)
+    start = datetime(2030, 1, 1)
+    run.drain(0, F.lit(start))
+    assert run.store.knowledge.count() == 4
+    # As if the job had died after its writes, before its attempts were recorded.
+    lost = run.store.attempts.filter("outcome IS NULL AND event_id IS NOT NULL").collect()
+    run.store.write_batch("attempts", spark.createDataFrame(lost, run.store.attempts.schema), 0)
+    run.store.write_batch("open_events", run.store.events, 0)
+    run.drain(0, F.lit(start + timedelta(seconds=10)))
+    assert state(run)["e1"][1] == 1  # may still be running
+    run.drain(0, F.lit(start + timedelta(hours=1)))
+    assert state(run)["e1"] == ("done", 2)
+    assert (run.store.knowledge.count(), run.store.edges.count()) == (4, 1)
