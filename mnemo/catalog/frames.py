@@ -47,9 +47,9 @@ def memories(spark, sf) -> DataFrame:
 
 
 # -- hashed vectors in SQL ---------------------------------------------------------------------
-def sql_hashed(name: str, table: str, key: str, text: str) -> str:
+def sql_hashed(name: str, table: str, key: str, text: str, dim: int = 512) -> str:
     """CTEs ending in ``name`` (key, bucket, w) and ``name_norm`` (key, sq)."""
-    bucket = "CAST(('0x' || substr(md5({}), 1, 15))::UBIGINT % 512 AS INT)"
+    bucket = f"CAST(('0x' || substr(md5({{}}), 1, 15))::UBIGINT % {dim} AS INT)"
     return f"""
 {name}_tok AS MATERIALIZED (SELECT {key}, tok, count(*) AS n FROM (
   SELECT {key}, unnest({sql_tokens(text)}) AS tok FROM {table}) GROUP BY ALL),

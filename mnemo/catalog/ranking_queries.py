@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemo.catalog.base import (
-    DATA_RULES, load, load_text, query, sql_primary_keyword, sql_strip, sql_tokens,
+    DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_primary_keyword,
+    sql_strip, sql_tokens,
 )
 from mnemo.catalog.frames import (
     MEMORIES_SQL, MERGED_SQL, RETRIEVAL_SQL, document_edges, embedded_documents, memories, prompts,
@@ -21,7 +22,7 @@ from mnemo.operators.ranking import (
     get_by_id, graph_topk, line_search, neighbors, related, search_recent, search_scored,
     vector_topk,
 )
-from mnemo.plans.context import build, build_context
+from mnemo.plans.context import build, build_context, structured
 from mnemo.plans.evaluate import (
     calibration, evaluation_report, recall_floor, retrieval_precision, routing_accuracy,
 )
@@ -163,12 +164,24 @@ def topk_text(spark, sf):
     return hits.select("prompt_id", "memory_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("reembed")
+_TAGS = sql_axis_columns("text", DATA_RULES, "gate")
+
+
+@query("reembed", f"""
+WITH {MEMORIES_SQL}, {sql_hashed('v', 'memories', 'memory_id', 'text', 64)},
+g AS (SELECT *, CASE WHEN type IN ('decision', 'experience') THEN 'experience' ELSE 'knowledge' END AS gate FROM memories),
+a AS (SELECT memory_id, {', '.join(f'{e} AS ax_{n}' for n, e in _TAGS.items())} FROM g)
+SELECT memory_id, bucket, round(w, 5) AS weight, 'md5-64' AS model, array_to_string({sql_active(DATA_RULES)}, ',') AS experts
+FROM v JOIN a USING (memory_id)""")
 def reembedded(spark, sf):
     """Documents moved to a 64-bucket space, with tags recomputed."""
-    old = memories(spark, sf)
-    return reembed(old, HashedEmbedder(DATA_RULES.with_(hash_dim=64)), DATA_RULES).select(
-        "memory_id", "embedding", "embed_identity", "experts"
+    new = reembed(memories(spark, sf), HashedEmbedder(DATA_RULES.with_(hash_dim=64)), DATA_RULES)
+    rows = new.select(
+        "memory_id", F.col("embed_identity.model").alias("model"), F.array_join("experts", ",").alias("experts"),
+        F.posexplode("embedding").alias("bucket", "w"),
+    )
+    return rows.filter("w != 0").select(
+        "memory_id", "bucket", F.round(F.col("w").cast("double"), 5).alias("weight"), "model", "experts"
     )
 
 
@@ -476,6 +489,31 @@ def context_build(spark, sf):
     )
 
 
+@query("structured_memory", f"""
+WITH {MEMORIES_SQL},
+cand AS (SELECT * FROM memories WHERE (type = 'decision' AND coalesce(status, 'approved') = 'approved')
+  OR (type = 'task' AND coalesce(status, 'approved') = 'proposed')),
+{sql_hashed('pv', 'benchmark', 'item_id', 'text')}, {sql_hashed('kv', 'cand', 'memory_id', 'text')},
+{sql_cosine('pairs', 'pv', 'item_id', 'kv', 'memory_id')}
+SELECT b.item_id AS prompt_id, type, memory_id, round(coalesce(raw_score, 0), 6) AS score, row_number() OVER (
+  PARTITION BY b.item_id, type ORDER BY round(coalesce(raw_score, 0), 6) DESC, memory_id) AS rank
+FROM benchmark b JOIN cand c ON length(b.text) <= 200 OR c.project = 'src3'
+LEFT JOIN pairs USING (item_id, memory_id) QUALIFY rank <= 5""")
+def structured_memory(spark, sf):
+    """Decisions and tasks of a context pack: by type, status and strict project, ranked by cosine."""
+    model = HashedEmbedder(DATA_RULES)
+    k = embed(memories(spark, sf), "text", model)
+    asked = embed(prompts(spark, sf), "text", model)
+    parts = []
+    for kind, status in (("decision", "approved"), ("task", "proposed")):
+        packed = structured(asked, k, kind, status, model)
+        parts.append(packed.select("prompt_id", F.lit(kind).alias("type"), F.explode(kind).alias("h")).select(
+            "prompt_id", "type", F.col("h.item_id").cast("bigint").alias("memory_id"), "h.score",
+            F.col("h.rank").cast("bigint").alias("rank"),
+        ))
+    return parts[0].unionByName(parts[1])
+
+
 @query("context_pack")
 def context_pack(spark, sf):
     """The tiered pack with decisions, tasks and the line-search fallback."""

@@ -127,18 +127,23 @@ def ingest_events(
     embedder=None,
     rules: Rules = DEFAULT_RULES,
     now=None,
+    stage=None,
 ) -> FannedOut:
     """Memory rows, edges and per-event counts of a batch of events.
 
     The fingerprint is scoped to the event: replaying an event adds nothing,
-    while the same sentence in two events is kept twice.
+    while the same sentence in two events is kept twice. Pass ``stage``
+    (``sources.tables.stage``) on real data, so that all outputs share one
+    reading of the events.
     """
     embedder = embedder or HashedEmbedder(rules)
     if knowledge is not None:
         require_identity(knowledge, identity_of(embedder))
     rows = memory_rows(events, order, rules)
-    inserted, skipped = upsert_knowledge(rows, knowledge, [*order, "item"], now)
     triples = artefact_rows(events, order, rules)
+    if stage is not None:
+        rows, triples = stage(rows, "memory"), stage(triples, "artefacts")
+    inserted, skipped = upsert_knowledge(rows, knowledge, [*order, "item"], now)
     placed = [*order, "item"]
     return FannedOut(
         knowledge=embed(inserted, "text", embedder),

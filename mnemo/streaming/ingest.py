@@ -188,7 +188,7 @@ class EventIngest:
         rows = rows.drop("event_id").withColumnRenamed("_id", "event_id")
         made = ingest_events(
             rows, ["created_at", "event_id"], self._earlier_rows(due), self.store.nodes,
-            self.store.edges, self.embedder, self.rules, now,
+            self.store.edges, self.embedder, self.rules, now, stage,
         )
         self._write(made)
         done = good.withColumns({"outcome": F.lit("done"), "error": F.lit(None).cast("string")})

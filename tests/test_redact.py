@@ -1,7 +1,7 @@
 from pyspark.sql import Row, functions as F
 
 from mnemo.config import MASK
-from mnemo.functions.redact import redact_df, redact_text
+from mnemo.functions.redact import redact_df, redact_text, secret_patterns
 
 C = F.col("c")
 
@@ -48,3 +48,17 @@ def test_nested_fields_by_name_and_shape(spark):
     assert (row["items"][0].password, row["items"][0].note) == (MASK, f"api_key={MASK}")
     assert row.extra == {"Secret": MASK, "plain": MASK, "password": ""}
     assert redact_df(out, extra_fields=["CARD"]).first() == row
+
+
+def test_the_quick_test_never_skips_a_secret(spark):
+    """The guard is only a shortcut: with it switched off nothing more is masked."""
+    from mnemo.functions.redact import may_hold_secret
+
+    rows = [(x,) for x in SECRETS + PLAIN + [s.upper() for s in SECRETS] + ["ſecret=abcd1234", "api_Key=abcd1234"]]
+    df = spark.createDataFrame(rows, "c string")
+    plain = C
+    for pattern, new in secret_patterns():
+        plain = F.regexp_replace(plain, pattern, new)
+    rows = df.select(plain.alias("a"), redact_text(C).alias("b"), may_hold_secret(C).alias("g")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert any(r.g is False for r in rows)
