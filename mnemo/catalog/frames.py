@@ -141,16 +141,22 @@ def prompts(spark, sf) -> DataFrame:
     )
 
 
-def tagged_documents(spark, sf) -> DataFrame:
+def _tagged(spark, sf) -> DataFrame:
     docs = load_text(spark, sf, "documents")
     out = docs.select(
         F.col("doc_id").alias("memory_id"), "text", "lang",
         F.when(F.col("lang") != "es", F.col("source")).alias("project"),
-    ).withColumns({"_raw": F.array_distinct(t.raw_tokens(F.col("text"))), "_low": F.lower("text")})
+    )
+    # One tokenisation serves the tags, the topic and the keyword.
+    out = t.once(out, _raw=t.raw_tokens(F.col("text")), _low=F.lower("text"))
     scores = t.axis_scores(F.col("text"), DATA_RULES, F.col("_raw"), F.col("_low"))
-    return out.withColumn("expert_confidence", scores).withColumn(
+    return t.once(out, expert_confidence=scores).withColumn(
         "experts", t.active_axes(F.col("expert_confidence"), DATA_RULES)
-    ).drop("_raw", "_low")
+    )
+
+
+def tagged_documents(spark, sf) -> DataFrame:
+    return _tagged(spark, sf).drop("_raw", "_low")
 
 
 def embedded_documents(spark, sf) -> DataFrame:
@@ -158,9 +164,10 @@ def embedded_documents(spark, sf) -> DataFrame:
 
 
 def document_edges(spark, sf) -> DataFrame:
-    docs = tagged_documents(spark, sf)
+    c, raw = F.col("text"), F.col("_raw")
     labelled = t.once(
-        docs, src_label=t.topic_label(F.col("text")), dst_label=t.primary_keyword(F.col("text"))
+        _tagged(spark, sf), src_label=t.topic_label(c, None, DATA_RULES, raw),
+        dst_label=t.primary_keyword(c, DATA_RULES, raw),
     ).filter("src_label != '' AND dst_label != ''")
     return labelled.select(
         F.col("memory_id").alias("edge_id"), "src_label", F.col("lang").alias("rel"), "dst_label",

@@ -59,10 +59,10 @@ def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def tokens(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
+def tokens(c: Column, rules: Rules = DEFAULT_RULES, raw: Column | None = None) -> Column:
     """Tokens in order, without stop words and all-digit tokens."""
     stop = list(rules.stop_words)
-    return F.filter(raw_tokens(c), lambda t: ~t.isin(stop) & t.rlike("[^0-9]"))
+    return F.filter(raw_tokens(c) if raw is None else raw, lambda t: ~t.isin(stop) & t.rlike("[^0-9]"))
 
 
 def token_set(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
@@ -91,9 +91,11 @@ def keyword_hits(
     return hits
 
 
-def primary_keyword(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
+def primary_keyword(
+    c: Column, rules: Rules = DEFAULT_RULES, raw: Column | None = None
+) -> Column:
     """Longest token of at least four characters, the first one on ties, else ''."""
-    long_tokens = F.filter(tokens(c, rules), lambda t: F.length(t) >= 4)
+    long_tokens = F.filter(tokens(c, rules, raw), lambda t: F.length(t) >= 4)
     keyed = F.transform(
         long_tokens,
         lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("pos"), t.alias("token")),
@@ -212,7 +214,10 @@ def relation_cue(c: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_RELATION))
 
 
-def topic_label(c: Column, exclude: Column | None = None, rules: Rules = DEFAULT_RULES) -> Column:
+def topic_label(
+    c: Column, exclude: Column | None = None, rules: Rules = DEFAULT_RULES,
+    raw: Column | None = None,
+) -> Column:
     """First token fit to name a topic, else ''."""
     skip = list(RELATION_CUE_WORDS)
 
@@ -220,7 +225,7 @@ def topic_label(c: Column, exclude: Column | None = None, rules: Rules = DEFAULT
         ok = (F.length(t) >= 4) & ~t.contains(".") & ~t.isin(skip)
         return ok if exclude is None else ok & (t != exclude)
 
-    return F.coalesce(F.get(F.filter(tokens(c, rules), fits), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(tokens(c, rules, raw), fits), F.lit(0)), F.lit(""))
 
 
 def triples(

@@ -8,7 +8,7 @@ survivors are shuffled for the final cut.
 
 Two ways to bring probes and rows together, both exact:
 
-* up to ``MAX_PROBES`` probes travel to every task with the task closure, and the
+* up to ``MAX_PROBES`` probes travel to every task with the task's code, and the
   big table is read in place, with no shuffle of it at all;
 * beyond that, probes and rows are hashed into blocks and each pair of blocks is
   one cell of a grid, so no task ever holds more than one block of either side.
@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-MAX_PROBES = 2048
-GRID_PROBES = 1024
+MAX_PROBES = 16_384  # 32 MB of 512 floats
+GRID_PROBES = 16_384
 GRID_ROWS = 65_536
 CELLS = 4_000_000  # scores held at once: probes x rows of one slice
 
@@ -242,6 +242,7 @@ def best_k(
 def _grid(probes, rows, settle, schema, order) -> DataFrame:
     n_probes = max(1, math.ceil(probes.count() / GRID_PROBES))
     n_rows = max(1, math.ceil(rows.count() / GRID_ROWS))
+    keys = [c for c in order if c in rows.columns]
     left = probes.withColumn(
         "_cell",
         F.explode(F.transform(
@@ -253,7 +254,7 @@ def _grid(probes, rows, settle, schema, order) -> DataFrame:
         "_cell",
         F.explode(F.transform(
             F.sequence(F.lit(0), F.lit(n_probes - 1)),
-            lambda p: F.pmod(F.xxhash64(*order), F.lit(n_rows)).cast("int") * n_probes + p,
+            lambda p: F.pmod(F.xxhash64(*keys), F.lit(n_rows)).cast("int") * n_probes + p,
         )),
     )
 

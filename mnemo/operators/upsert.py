@@ -50,12 +50,14 @@ def resolve(
     keys: Sequence[str],
     order: Sequence[str],
     carry: str | None = None,
+    attach: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Every row with its verdict: inserted, repeated (in this batch) or stored (before it).
 
     ``order`` must be unique within a key. ``carry`` names a column (of both
     tables) whose winning value is handed to all rows of the key as ``_winner``.
+    ``attach`` is a lookup table, one row per key, whose columns ride along.
     """
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
@@ -72,6 +74,8 @@ def resolve(
         winners = winners.join(known, list(keys), "left")
     else:
         winners = winners.withColumn("_known", F.lit(None).cast("boolean"))
+    if attach is not None:
+        winners = winners.join(attach, list(keys), "left")
     lookup = parts.select(*keys, "_salt").join(winners, list(keys))
     first = F.col("_first") if carry is None else F.col("_first.rank")
     out = salted.join(lookup, [*keys, "_salt"]).withColumn(

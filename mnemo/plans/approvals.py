@@ -35,13 +35,14 @@ def apply_approvals(approvals: DataFrame, knowledge: DataFrame) -> Approved:
                 .alias("previous_status"))
     )
     judged = resolve(approvals.filter(F.col("decision_id").isNotNull()), None,
-                     ["decision_id"], ["ord"])
+                     ["decision_id"], ["ord"], attach=found)
+    nameless = approvals.filter(F.col("decision_id").isNull())
     judged = judged.unionByName(
-        approvals.filter(F.col("decision_id").isNull()).withColumn("verdict", F.lit(INSERTED))
+        nameless.withColumn("verdict", F.lit(INSERTED)), allowMissingColumns=True
     )
     who = strip(F.coalesce("approver", F.lit("")))
     old, first = F.col("previous_status"), F.col("verdict") == INSERTED
-    outcomes = judged.join(found, "decision_id", "left").withColumns({
+    outcomes = judged.withColumns({
         "approved_by": F.when(who == "", "admin").otherwise(F.substring(who, 1, 200)),
         "outcome": (
             F.when(F.col("decision_id").isNull(), "invalid_request")

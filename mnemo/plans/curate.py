@@ -40,7 +40,7 @@ def segment_rows(
 def tag_segments(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Class, axes and relations of ``text``. Each step's column is computed once."""
     c, raw, low, kind = F.col("text"), F.col("_raw"), F.col("_low"), F.col("kind")
-    out = t.once(rows, _raw=F.array_distinct(t.raw_tokens(c)), _low=F.lower(c))
+    out = t.once(rows, _raw=t.raw_tokens(c), _low=F.lower(c))
     # A filter on the class must not classify every segment twice.
     out = t.once(out, scores=t.class_scores(c, rules, raw, low))
     out = out.withColumn("kind", t.classify(F.col("scores"), rules))

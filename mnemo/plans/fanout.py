@@ -24,7 +24,7 @@ def _gate(kind: Column) -> Column:
 
 def _tags(df: DataFrame, text: str, kind: Column, rules: Rules) -> DataFrame:
     c = F.col(text)
-    df = df.withColumns({"_raw": F.array_distinct(t.raw_tokens(c)), "_low": F.lower(c)})
+    df = df.withColumns({"_raw": t.raw_tokens(c), "_low": F.lower(c)})
     df = df.withColumn(
         "expert_confidence", t.axis_scores(c, rules, F.col("_raw"), F.col("_low"), kind)
     )

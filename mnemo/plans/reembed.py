@@ -17,7 +17,7 @@ def reembed(knowledge: DataFrame, embedder, rules: Rules = DEFAULT_RULES) -> Dat
     """
     c = F.col("text")
     gate = F.when(F.col("type").isin(EXPERIENCE_TYPES), "experience").otherwise("knowledge")
-    out = knowledge.withColumns({"_raw": F.array_distinct(t.raw_tokens(c)), "_low": F.lower(c)})
+    out = knowledge.withColumns({"_raw": t.raw_tokens(c), "_low": F.lower(c)})
     out = out.withColumn(
         "expert_confidence", t.axis_scores(c, rules, F.col("_raw"), F.col("_low"), gate)
     )

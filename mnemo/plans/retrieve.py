@@ -24,7 +24,7 @@ def route(prompts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     No axis at all is an answer too: retrieval then is global.
     """
     c = F.col("text")
-    scored = prompts.withColumns({"_raw": F.array_distinct(t.raw_tokens(c)), "_low": F.lower(c)})
+    scored = prompts.withColumns({"_raw": t.raw_tokens(c), "_low": F.lower(c)})
     scored = scored.withColumn("_scores", t.axis_scores(c, rules, F.col("_raw"), F.col("_low")))
     scored = scored.withColumn("axes", t.active_axes(F.col("_scores"), rules))
     routing = F.map_filter("_scores", lambda k, v: F.array_contains("axes", k))

@@ -150,6 +150,16 @@ def test_line_search_caps_each_document(spark):
     assert len(hits[3].snippet) == 200 and hits[3].snippet.startswith("ALPHA")
 
 
+def test_line_search_on_the_grid(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} one\nother w{i % 5}") for i in range(300)], "doc_id long, text string")
+    words = spark.createDataFrame([(i, f"w{i}") for i in range(9)], "prompt_id int, keyword string")
+    plain = sorted(map(tuple, line_search(words, docs, k=12).collect()))
+    for name, value in (("MAX_PROBES", 3), ("GRID_PROBES", 2), ("GRID_ROWS", 40)):
+        monkeypatch.setattr(probe, name, value)
+    assert sorted(map(tuple, line_search(words, docs, k=12).collect())) == plain
+    assert len(plain) == 7 * 12
+
+
 def test_recent_search_and_lookup(spark):
     rows = [(1, "2026-01-01", None, "a"), (2, "2026-01-03", "approved", "b"), (3, None, "proposed", "c"),
             (4, "2026-01-03", "superseded", "d"), (5, "2026-01-03", "approved", "e")]
