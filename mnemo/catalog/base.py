@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemo.config import DEFAULT_RULES, Axis
 from mnemo.functions.text import SPACES
@@ -34,6 +34,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def utc(c: str) -> Column:
+    """The instant of a zone-less column, which holds UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c)).cast("timestamp")
+
+
 def load_text(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table for heavy per-row text work, on all cores even when it is one small file."""
     return spread(load(spark, folder, table))

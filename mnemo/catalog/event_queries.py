@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemo.catalog.base import DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_strip
+from mnemo.catalog.base import DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_strip, utc
 from mnemo.catalog.frames import MEMORIES_SQL, memories
 from mnemo.functions.scalars import to_iso
 from mnemo.operators.audit import store_audit
@@ -204,7 +204,7 @@ def _now():
 
 
 def _ledger(spark, sf):
-    e = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = load(spark, sf, "events").withColumn("ts", utc("ts"))
     work = e.groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("created_at"))
     work = work.withColumn("request_id", F.concat(F.lit("r"), "event_id"))
     kind = F.col("event_type")
@@ -305,7 +305,7 @@ def _approved(spark, sf):
     approvals = e.select(
         F.col("event_id").alias("ord"), F.when(F.col("event_type") != "error", F.col("user_id")).alias("decision_id"),
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("approver"),
-        F.col("ts").cast("timestamp").alias("at"),
+        utc("ts").alias("at"),
     )
     return apply_approvals(approvals, memories(spark, sf))
 

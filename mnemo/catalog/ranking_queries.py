@@ -14,6 +14,7 @@ from mnemo.catalog.frames import (
 )
 from mnemo.catalog.text_queries import sql_truncate
 from mnemo.functions import text as t
+from mnemo.functions.scalars import to_iso
 from mnemo.functions.vectors import HashedEmbedder, cosine, embed, identity_of, sparse
 from mnemo.operators import predicates as p
 from mnemo.operators.audit import identity_audit, mixed_identity, row_counts
@@ -222,7 +223,7 @@ SELECT memory_id, type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM me
 ORDER BY ts DESC NULLS LAST, memory_id DESC LIMIT 200""")
 def recent(spark, sf):
     hits = search_recent(memories(spark, sf), limit=500)
-    return hits.select("memory_id", "type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    return hits.select("memory_id", "type", to_iso(F.col("ts")).alias("created_at"))
 
 
 @query("search_filtered", f"""

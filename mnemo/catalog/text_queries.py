@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemo.catalog.base import (
     DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_distinct_in_order,
-    sql_hits, sql_list, sql_primary_keyword, sql_segments, sql_tokens, sql_topic,
+    sql_hits, sql_list, sql_primary_keyword, sql_segments, sql_tokens, sql_topic, utc,
 )
 from mnemo.config import (
     EXPERIENCE_PATTERNS, FILE_PATTERN, MODULE_PATTERN, RELATION_CUES, RELATION_CUE_WORDS,
@@ -236,15 +236,15 @@ SELECT event_id,
   event_type = 'error' AS bad
 FROM events""")
 def time_parse(spark, sf):
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts")
     written = (
         F.when(F.col("event_type") == "signup", (F.unix_micros(ts) / 1e6).cast("string"))
         .when(F.col("event_type") == "view", to_iso(ts))
-        .when(F.col("event_type") == "purchase", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(F.col("event_type") == "click", F.date_format(ts, "yyyy-MM-dd"))
+        .when(F.col("event_type") == "purchase", F.substring(to_iso(ts), 1, 19))
+        .when(F.col("event_type") == "click", F.substring(to_iso(ts), 1, 10))
         .otherwise(F.lit("some day"))
     )
-    rows = load(spark, sf, "events").withColumn("ts", ts).withColumn("written", written)
+    rows = load(spark, sf, "events").withColumn("ts", utc("ts")).withColumn("written", written)
     return rows.select(
         "event_id", to_iso(to_ts(F.col("written"))).alias("iso"), bad_ts(F.col("written")).alias("bad")
     )

@@ -30,8 +30,7 @@ def to_ts(c: Column) -> Column:
     """Epoch seconds or ISO-8601 to a timestamp. Without a zone it is UTC.
 
     NULL for empty input and for text that cannot be read; ``bad_ts`` tells the
-    two apart. Assumes a UTC session time zone only for zone-less text, which it
-    completes with ``Z`` first.
+    two apart.
     """
     text = strip(c.cast("string"))
     epoch = F.when(text.rlike(_NUMBER), text.try_cast("double"))
@@ -51,8 +50,9 @@ def bad_ts(c: Column) -> Column:
 
 
 def to_iso(ts: Column) -> Column:
-    """Timestamp to ``yyyy-MM-ddTHH:mm:ssZ`` (whole seconds, session zone UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Timestamp to ``yyyy-MM-ddTHH:mm:ssZ``, whole seconds, whatever the session's zone."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def json_strings(c: Column) -> Column:
