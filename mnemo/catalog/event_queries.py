@@ -176,13 +176,14 @@ def deduped(spark, sf):
     return judged.select("event_id", "request_id", "queued", "duplicate", "payload_mismatch")
 
 
-# -- ledger: users are work items, errors failed attempts, purchases done, signups still running --------------
+# -- ledger: users are work items; dear errors are failed attempts, purchases done, signups still running ------
+# Attempts are the events worth more than 100, so that every state occurs.
 _NOW = "2024-01-31 00:00:00"
 _LEDGER_SQL = f"""
 work AS (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id),
 att AS (SELECT user_id, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts,
   arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'error') AS bad
-  FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND value > 20 GROUP BY user_id),
+  FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND value > 100 GROUP BY user_id),
 j AS (SELECT user_id, created_at, coalesce(attempts, 0) AS attempts, last_type, last_ts, bad,
   last_type = 'signup' AND last_ts < TIMESTAMP '{_NOW}' - INTERVAL 300 SECOND AS lost FROM work LEFT JOIN att USING (user_id)),
 ledger AS (SELECT *, CASE WHEN last_type IS NULL THEN 'queued' WHEN last_type = 'purchase' THEN 'done'
@@ -208,7 +209,7 @@ def _ledger(spark, sf):
     work = e.groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("created_at"))
     work = work.withColumn("request_id", F.concat(F.lit("r"), "event_id"))
     kind = F.col("event_type")
-    attempts = e.filter(kind.isin("error", "purchase", "signup") & (F.col("value") > 20)).select(
+    attempts = e.filter(kind.isin("error", "purchase", "signup") & (F.col("value") > 100)).select(
         F.col("user_id").alias("event_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("attempt_id"),
         F.when(kind == "error", "failed").when(kind == "purchase", "done").alias("outcome"),
         F.when(kind == "error", F.concat(F.lit("failed with "), F.col("value").cast("string"))).alias("error"),

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions.scalars import to_iso
-from mnemo.functions.text import edge_text, strings, strip, token_set
+from mnemo.functions.text import edge_text, strip, token_set
 from mnemo.operators.kernels import (
     cosine_kernel, line_kernel, overlap_kernel, substring_kernel,
 )
@@ -224,5 +224,5 @@ def result_rows(hits: DataFrame) -> DataFrame:
 
 __all__ = [
     "get_by_id", "graph_topk", "line_search", "neighbors", "related", "result_rows",
-    "search_recent", "search_scored", "strings", "vector_topk", "with_edge_tokens",
+    "search_recent", "search_scored", "vector_topk", "with_edge_tokens",
 ]

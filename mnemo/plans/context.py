@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions import text as t
 from mnemo.functions.scalars import (
-    budget_chars, digest_chars, recommend_agent, resolve_project, to_iso,
+    budget_chars, digest_chars, recommend_agent, resolve_project,
 )
 from mnemo.functions.vectors import HashedEmbedder, embed, identity_of
 from mnemo.operators.predicates import Filters
@@ -240,4 +240,4 @@ def context_counts_columns() -> list[Column]:
     ]
 
 
-__all__ = ["build", "build_context", "context_counts", "structured", "to_iso", "to_markdown"]
+__all__ = ["build", "build_context", "context_counts", "structured", "to_markdown"]

@@ -13,7 +13,7 @@ from mnemo.functions.scalars import to_ts
 from mnemo.functions.vectors import HashedEmbedder, embed, identity_of
 from mnemo.operators.audit import require_identity, side_by_side
 from mnemo.operators.upsert import (
-    concept_nodes, new_rows, upsert_edges, upsert_knowledge, upsert_nodes,
+    concept_nodes, upsert_edges, upsert_knowledge, upsert_nodes,
 )
 
 
@@ -157,6 +157,6 @@ def ingest_report(messages: DataFrame, rejects: DataFrame, result: Curated,
 
 
 __all__ = [
-    "Curated", "curate", "curate_counts", "dropped_chars", "ingest_report", "new_rows",
+    "Curated", "curate", "curate_counts", "dropped_chars", "ingest_report",
     "segment_rows", "tag_segments", "triple_rows",
 ]
