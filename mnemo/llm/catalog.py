@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemo.llm import quality
+from mnemo.llm import language, quality, simhash
 from mnemo.llm.common import held_out, load
 
 QUERIES: dict = {}
@@ -27,3 +27,16 @@ def op5_quality(spark, sf) -> DataFrame:
     model = quality_model(docs, load(spark, sf, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_language(spark, sf) -> DataFrame:
+    docs = load(spark, sf, "documents").withColumn("held_out", held_out(F.col("doc_id"), 3))
+    model = language.fit(docs.filter("NOT held_out"))
+    out = docs.select("doc_id", "held_out", language.identify(F.col("text"), model).alias("found"))
+    return out.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query
+def op3_simhash(spark, sf) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf, "documents"))
