@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,10 +59,15 @@ _own_checkpoint: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode without a setting.
+
+    On a cluster a folder that only one machine sees would lose rows, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_checkpoint:
         _own_checkpoint.append(tempfile.mkdtemp(prefix="mnemo-"))
     return _own_checkpoint[0]
