@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemo.llm import language, quality, simhash
+from mnemo.llm import language, mixing, packing, quality, simhash
 from mnemo.llm.common import held_out, load
 
 QUERIES: dict = {}
@@ -40,3 +40,20 @@ def op10_language(spark, sf) -> DataFrame:
 @query
 def op3_simhash(spark, sf) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf, "documents"))
+
+
+def pack_config() -> packing.PackConfig:
+    """The public tokenizer of the packing queries; its file is installed, not part of this."""
+    import public_tokenizers
+
+    return packing.PackConfig(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_packing(spark, sf) -> DataFrame:
+    return packing.pack(load(spark, sf, "documents"), pack_config())
+
+
+@query
+def op2_mixing(spark, sf) -> DataFrame:
+    return mixing.mix(load(spark, sf, "documents")).drop("row", "rounds", "parts")
