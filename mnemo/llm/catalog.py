@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemo.llm import language, mixing, packing, quality, simhash
+from mnemo.llm import language, mixing, packing, quality, simhash, substring
 from mnemo.llm.common import held_out, load
 
 QUERIES: dict = {}
@@ -57,3 +57,11 @@ def op7_packing(spark, sf) -> DataFrame:
 @query
 def op2_mixing(spark, sf) -> DataFrame:
     return mixing.mix(load(spark, sf, "documents")).drop("row", "rounds", "parts")
+
+
+@query
+def op8_substring(spark, sf) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).select(
+        "row.doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
