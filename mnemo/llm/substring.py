@@ -76,15 +76,18 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def _packed(docs: DataFrame) -> DataFrame:
     """Rows with the place (d, h) of the document in the order, and the text compressed.
 
-    Null ids come last. Rows of one id and one text are the same document.
+    Null ids come last. Rows of one id and one text are the same document; h, a hash of the text,
+    tells others of one id apart, and is 0 where every id is unique.
     """
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             blobs, marks = [], []
             for text in utf8(batch.column(2)):
                 blobs.append(press.compress(text))
-                h = xxhash.xxh64_intdigest(text)
+                h = xxhash.xxh64_intdigest(text) if repeated else 0
                 marks.append(h - (1 << 64) if h >> 63 else h)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(blobs, pa.binary())],
@@ -169,9 +172,10 @@ def _edges(config: SubstringConfig):
             head = (d == d[first]) & (h == h[first]) & (p == p[first])
             fd, fh, fp = d[first], h[first], p[first]
             yield pa.RecordBatch.from_pydict({
-                "edge": e[head].view(np.int64), "check": c[head].view(np.int64), "d": d[head], "h": h[head],
-                "pos": p[head], "n": np.ones(head.sum(), np.int64), "fd": d[head], "fh": h[head],
-                "fp": p[head], "known": np.zeros(head.sum(), bool),
+                "edge": e[head].view(np.int64), "check": c[head], "d": d[head], "h": h[head],
+                "pos": p[head], "n": pa.array(np.ones(head.sum(), np.int64)), **{
+                    x: pa.nulls(int(head.sum()), pa.int64()) for x in ("fd", "fh", "fp")
+                },
             })
             more = ~head
             d, h, p, fd, fh, fp = (x[more] for x in (d, h, p, fd, fh, fp))
@@ -185,8 +189,8 @@ def _edges(config: SubstringConfig):
             d, h, p, fd, fh, fp = (x[starts] for x in (d, h, p, fd, fh, fp))
             spread = mixed((h + p).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "edge": spread, "check": p, "d": d, "h": h, "pos": p, "n": n, "fd": fd, "fh": fh,
-                "fp": fp, "known": np.ones(len(d), bool),
+                "edge": spread, "check": np.zeros(len(d), np.int32), "d": d, "h": h, "pos": p, "n": n,
+                "fd": fd, "fh": fh, "fp": fp,
             })
 
         size = 0
@@ -198,6 +202,8 @@ def _edges(config: SubstringConfig):
                 at = np.flatnonzero(np.isin(least, np.array(repeated, np.int64).view(np.uint64)))
                 if len(at):
                     e, c = (grams.runs(words, config.k, i)[at] for i in (1, 2))
+                    # 96 bits tell the windows of 100 TB apart.
+                    c = c.astype(np.uint32).view(np.int32)
                     held.append((e, c, d, h, at))
                     size += len(at)
                 if size > config.buffer:
@@ -219,8 +225,8 @@ def repeated_spans(packed: DataFrame, config: SubstringConfig = SubstringConfig(
     with_anchor = packed.join(wanted, ["d", "h"]).select("row", "d", "h", "blob", "grams")
     edges = with_anchor.mapInArrow(
         _edges(config),
-        "edge long, check long, d long, h long, pos long, n long, fd long, fh long, fp long, known boolean",
-    )
+        "edge long, check int, d long, h long, pos long, n long, fd long, fh long, fp long",
+    ).withColumn("known", F.col("fd").isNotNull())
     place = F.struct("d", "h", "pos")
     first = F.min(place).over(Window.partitionBy("edge", "check", "known"))
     later = edges.withColumn("first", first).filter(F.col("known") | (place > F.col("first")))
