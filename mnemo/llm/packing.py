@@ -50,7 +50,7 @@ _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _SENTENCE = (".", "!", "?")
 #: Entries of the word caches; a full cache is emptied, which costs time only.
-_CACHE = 300_000
+_CACHE = 120_000
 
 
 class WordTokens:
@@ -62,11 +62,11 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
+        # The same model, without what plain words do not need.
+        self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -87,8 +87,8 @@ class WordTokens:
         if len(self.pieces) > _CACHE:
             self.pieces.clear()
         missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at: at + 20_000]
+        for at in range(0, len(missing), 5_000):
+            part = missing[at: at + 5_000]
             self.pieces.update(zip(part, self._ids(self.bare, part)))
         for w in new:
             if w in cut:
@@ -267,9 +267,9 @@ def pack(docs: DataFrame, config: PackConfig) -> DataFrame:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(keys):
-                # Some 4 MB of text at a time, one text at least.
+                # Some 2 MB of text at a time, one text at least.
                 done = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, done + (4 << 20), "right")))
+                end = max(at + 1, int(np.searchsorted(sizes, done + (2 << 20), "right")))
                 part = slice(at, end)
                 stream.add(keys[part].to_pylist(), *encode(texts[part], tokens, config))
                 at = end

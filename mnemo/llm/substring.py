@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType
 
-from mnemo.llm.common import WordHash, mixed, spaced, utf8
+from mnemo.llm.common import WordHash, mixed, per_text, spaced, utf8
 
 LAST = (1 << 63) - 1
+RUN = pa.struct([(x, pa.int64()) for x in ("n", "fd", "fh", "fp")])
 
 
 @dataclass(frozen=True)
@@ -73,31 +74,33 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Rows with the place (d, h) of the document in the order, and the text compressed.
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows with the place (d, h) of the document in the order, and a hash t of the text.
 
-    Null ids come last. Rows of one id and one text are the same document; h, a hash of the text,
-    tells others of one id apart, and is 0 where every id is unique.
+    Null ids come last. Rows of one id and one text are the same document; h tells others of one
+    id apart, and is 0 where every id is unique.
     """
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(
+        F.struct(*rest).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("d"),
+        (t if repeated else F.lit(0).cast("long")).alias("h"), t.alias("t"), "text",
+    )
 
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            blobs, marks = [], []
-            for text in utf8(batch.column(2)):
-                blobs.append(press.compress(text))
-                h = xxhash.xxh64_intdigest(text) if repeated else 0
-                marks.append(h - (1 << 64) if h >> 63 else h)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["row", "d", "h", "blob"],
-            )
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    given = docs.select(F.struct(*rest).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
-    schema = given.select("row", "d", F.lit(0).cast("long").alias("h"), F.lit(b"").alias("blob")).schema
-    return given.mapInArrow(run, schema)
+def _press(texts) -> list[bytes]:
+    press = zstandard.ZstdCompressor(level=1)
+    return [press.compress(text) for text in texts]
+
+
+def _copies(placed: DataFrame) -> DataFrame:
+    """(d, h, fd, fh) of each document whose whole text stands in an earlier one."""
+    # 96 bits of text hash.
+    marks = placed.select("d", "h", "t", F.hash(F.coalesce("text", F.lit(""))).alias("u"))
+    first = marks.groupBy("t", "u").agg(F.min(F.struct("d", "h")).alias("first"), F.count("*").alias("n"))
+    found = marks.join(first.filter("n > 1"), ["t", "u"]).filter(F.struct("d", "h") > F.col("first"))
+    return found.select("d", "h", F.col("first.d").alias("fd"), F.col("first.h").alias("fh")).distinct()
 
 
 def _texts(column: pa.Array):
@@ -107,40 +110,42 @@ def _texts(column: pa.Array):
 
 
 def _anchors(config: SubstringConfig):
-    """(row, d, h, blob) to anchors (gram, d, h, known, salt) of each document.
+    """(d, h, t, text) to anchors (gram, d, h, t, known, salt) of each document.
 
-    ``known`` anchors were seen to repeat by the task. One row per anchor and buffer has salt 0
-    and announces the anchor to the others.
+    ``known`` anchors were seen to repeat by the task, in one text or in different ones. One row
+    per anchor and buffer has salt 0 and announces the anchor to the others.
     """
     def run(batches):
         grams, held = Grams(config.seed), []
 
         def flush():
             g = np.concatenate([x[0] for x in held] or [np.zeros(0, np.uint64)])
-            d, h = (np.repeat(np.array([x[i] for x in held], np.int64), [len(x[0]) for x in held]) for i in (1, 2))
-            twice = np.concatenate([x[3] for x in held] or [np.zeros(0, bool)])
+            d, h, t = (np.repeat(np.array([x[i] for x in held], np.int64), [len(x[0]) for x in held]) for i in (1, 2, 3))
+            twice = np.concatenate([x[4] for x in held] or [np.zeros(0, bool)])
             order = np.argsort(g, kind="stable")
-            g, d, h, twice = g[order], d[order], h[order], twice[order]
+            g, d, h, t, twice = g[order], d[order], h[order], t[order], twice[order]
             head = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
             group = np.cumsum(head) - 1
-            known = (np.bincount(group)[group] > 1) | (np.bincount(group, twice)[group] > 0) if len(g) else head
-            salt = np.where(head, 0, d | 1)
+            # Copies of one text do not make its anchors repeat.
+            other = t != t[np.flatnonzero(head)[group]]
+            known = np.bincount(group, other | twice)[group] > 0 if len(g) else head
+            salt = np.where(head | ~known, 0, d | 1)
             held.clear()
             return pa.RecordBatch.from_pydict({
-                "gram": g.view(np.int64), "d": d, "h": h, "known": known, "salt": salt,
+                "gram": g.view(np.int64), "d": d, "h": h, "t": t, "known": known, "salt": salt,
             })
 
         size = 0
         for batch in batches:
-            places = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for (d, h), text in zip(places, _texts(batch.column(3))):
+            places = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for (d, h, t), text in zip(places, utf8(batch.column(3))):
                 runs = grams.runs(grams.of(text), config.anchor, 0)
                 width = config.k - config.anchor + 1
                 if len(runs) < width:
                     continue
                 chosen = np.unique(_least(runs, width))
                 all_, n = np.unique(runs, return_counts=True)
-                held.append((chosen, d, h, n[np.searchsorted(all_, chosen)] > 1))
+                held.append((chosen, d, h, t, n[np.searchsorted(all_, chosen)] > 1))
                 size += len(chosen)
                 if size > config.buffer:
                     yield flush()
@@ -151,10 +156,10 @@ def _anchors(config: SubstringConfig):
 
 
 def _edges(config: SubstringConfig):
-    """(row, d, h, blob, grams) to windows with a repeated anchor.
+    """(row, d, h, blob, grams, fd, fh) to windows with a repeated anchor; a copy is one row.
 
-    A window that is the task's first of its edge has ``n`` 1 and its hashes. Others are known to
-    repeat; neighbours among them whose earlier places run along are one row of ``n`` windows.
+    A window that is the task's first of its edge has its hashes and no ``run``. Others are known
+    to repeat; neighbours among them whose earlier places run along are one row of ``n`` windows.
     """
     def run(batches):
         grams, held = Grams(config.seed), []
@@ -173,9 +178,7 @@ def _edges(config: SubstringConfig):
             fd, fh, fp = d[first], h[first], p[first]
             yield pa.RecordBatch.from_pydict({
                 "edge": e[head].view(np.int64), "check": c[head], "d": d[head], "h": h[head],
-                "pos": p[head], "n": pa.array(np.ones(head.sum(), np.int64)), **{
-                    x: pa.nulls(int(head.sum()), pa.int64()) for x in ("fd", "fh", "fp")
-                },
+                "pos": p[head], "run": pa.nulls(int(head.sum()), RUN),
             })
             more = ~head
             d, h, p, fd, fh, fp = (x[more] for x in (d, h, p, fd, fh, fp))
@@ -189,14 +192,21 @@ def _edges(config: SubstringConfig):
             d, h, p, fd, fh, fp = (x[starts] for x in (d, h, p, fd, fh, fp))
             spread = mixed((h + p).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "edge": spread, "check": np.zeros(len(d), np.int32), "d": d, "h": h, "pos": p, "n": n,
-                "fd": fd, "fh": fh, "fp": fp,
+                "edge": spread, "check": np.zeros(len(d), np.int32), "d": d, "h": h, "pos": p,
+                "run": pa.StructArray.from_arrays([pa.array(x) for x in (n, fd, fh, fp)], fields=list(RUN)),
             })
 
-        size = 0
+        size, n = 0, config.k - 1
         for batch in batches:
-            places = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist())
-            for (d, h, repeated), text in zip(places, _texts(batch.column(3))):
+            places = zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)))
+            copies = []
+            for (d, h, repeated, fd, fh), text in zip(places, _texts(batch.column(3))):
+                if fd is not None:
+                    windows = len(text.split()) - n
+                    if windows > 0:
+                        run = {"n": windows, "fd": fd, "fh": fh, "fp": 0}
+                        copies.append((d ^ fd, 0, d, h, 0, run))
+                    continue
                 words = grams.of(text)
                 least = _least(grams.runs(words, config.anchor, 0), config.k - config.anchor + 1)
                 at = np.flatnonzero(np.isin(least, np.array(repeated, np.int64).view(np.uint64)))
@@ -209,31 +219,49 @@ def _edges(config: SubstringConfig):
                 if size > config.buffer:
                     yield from flush()
                     size = 0
+            if copies:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), RUN]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*copies), kinds)],
+                    names=["edge", "check", "d", "h", "pos", "run"],
+                )
         if held:
             yield from flush()
 
     return run
 
 
-def repeated_spans(packed: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
+def repeated_spans(
+    placed: DataFrame, packed: DataFrame, config: SubstringConfig = SubstringConfig()
+) -> DataFrame:
     """Spans (d, h, start, length in words, fd, fh, fstart) with an earlier equal place each."""
-    anchors = packed.mapInArrow(_anchors(config), "gram long, d long, h long, known boolean, salt long")
-    seen = F.count("*").over(Window.partitionBy("gram", "salt"))
-    # Salted rows are known to repeat already; rows of salt 0 are at most one per task and anchor.
-    repeated = anchors.withColumn("seen", seen).filter("known OR seen > 1")
-    wanted = repeated.groupBy("d", "h").agg(F.collect_set("gram").alias("grams"))
-    with_anchor = packed.join(wanted, ["d", "h"]).select("row", "d", "h", "blob", "grams")
+    anchors = placed.select("d", "h", "t", "text").mapInArrow(
+        _anchors(config), "gram long, d long, h long, t long, known boolean, salt long"
+    )
+    same = Window.partitionBy("gram", "salt")
+    seen = (F.min("t").over(same) != F.max("t").over(same)) | F.max("known").over(same)
+    # Salted rows are known to repeat already; rows of salt 0 are few per task and anchor.
+    repeated = anchors.withColumn("seen", F.col("known") | seen).filter("seen")
+    none = F.lit(None).cast("long")
+    marks = repeated.select("d", "h", "gram", none.alias("fd"), none.alias("fh")).union(
+        _copies(placed).select("d", "h", none.alias("gram"), "fd", "fh")
+    )
+    wanted = marks.groupBy("d", "h").agg(
+        F.collect_set("gram").alias("grams"), F.max("fd").alias("fd"), F.max("fh").alias("fh")
+    )
+    with_anchor = packed.join(wanted, ["d", "h"]).select("row", "d", "h", "blob", "grams", "fd", "fh")
     edges = with_anchor.mapInArrow(
         _edges(config),
-        "edge long, check int, d long, h long, pos long, n long, fd long, fh long, fp long",
-    ).withColumn("known", F.col("fd").isNotNull())
+        "edge long, check int, d long, h long, pos long, run struct<n long, fd long, fh long, fp long>",
+    ).withColumn("known", F.col("run").isNotNull())
     place = F.struct("d", "h", "pos")
     first = F.min(place).over(Window.partitionBy("edge", "check", "known"))
     later = edges.withColumn("first", first).filter(F.col("known") | (place > F.col("first")))
     later = later.select(
-        "d", "h", "pos", "n", F.when(F.col("known"), F.col("fd")).otherwise(F.col("first.d")).alias("fd"),
-        F.when(F.col("known"), F.col("fh")).otherwise(F.col("first.h")).alias("fh"),
-        F.when(F.col("known"), F.col("fp")).otherwise(F.col("first.pos")).alias("fp"),
+        "d", "h", "pos", F.coalesce("run.n", F.lit(1)).cast("long").alias("n"),
+        F.when(F.col("known"), F.col("run.fd")).otherwise(F.col("first.d")).alias("fd"),
+        F.when(F.col("known"), F.col("run.fh")).otherwise(F.col("first.h")).alias("fh"),
+        F.when(F.col("known"), F.col("run.fp")).otherwise(F.col("first.pos")).alias("fp"),
     )
     # Compaction: an edge joins the path of the one before it if both places step by one word.
     along = Window.partitionBy("d", "h").orderBy("pos", "n", "fd", "fh", "fp")
@@ -258,8 +286,10 @@ def remove_repeats(
     ordered by a hash of the text, as are different texts of one id; equal rows are one document
     and get equal results.
     """
-    packed = _packed(docs)
-    found = repeated_spans(packed, config).groupBy("d", "h").agg(
+    placed = _placed(docs)
+    # Texts are compressed for the one shuffle that both joins below read.
+    packed = placed.select("row", "d", "h", per_text(BinaryType(), _press)(F.col("text")).alias("blob"))
+    found = repeated_spans(placed, packed, config).groupBy("d", "h").agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans")
     )
     joined = packed.join(found, ["d", "h"], "left").select("row", "blob", "spans")
