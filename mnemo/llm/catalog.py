@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemo.llm import language, mixing, packing, quality, simhash, substring
+from mnemo.llm import language, mixing, packing, perplexity, quality, simhash, substring
 from mnemo.llm.common import held_out, load
 
 QUERIES: dict = {}
@@ -65,3 +65,13 @@ def op8_substring(spark, sf) -> DataFrame:
     return substring.remove_repeats(docs).select(
         "row.doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op6_perplexity(spark, sf) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text", (~held_out(F.col("doc_id"), 5)).alias("training"))
+    priced, n, _ = perplexity.fit(docs)
+    return perplexity.score(docs, priced, n).select(
+        "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+    )
