@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemo.llm import language, mixing, packing, perplexity, quality, simhash, substring
+from mnemo.llm import (
+    hamming, language, mixing, neighbours, packing, perplexity, quality, simhash, substring,
+)
 from mnemo.llm.common import held_out, load
 
 QUERIES: dict = {}
@@ -75,3 +77,25 @@ def op6_perplexity(spark, sf) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )
+
+
+@query
+def op1_neighbours(spark, sf) -> DataFrame:
+    vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query
+def op9_hamming(spark, sf) -> DataFrame:
+    codes = hamming.sign_bits(load(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return hamming.search(codes, codes.filter("vec_id % 50 = 0"), 5)
+
+
+SQL["op9_hamming"] = """
+SELECT query_id, rank::INT AS rank, vec_id, distance::INT AS distance FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, c.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings c ON q.vec_id <> c.vec_id,
+    LATERAL (SELECT len(list_filter(range(1, len(q.embedding) + 1),
+      lambda i: (q.embedding[i] > 0) <> (c.embedding[i] > 0))) AS distance))
+WHERE rank <= 5"""
