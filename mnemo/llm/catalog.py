@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mnemo.llm import (
-    hamming, language, mixing, neighbours, packing, perplexity, quality, simhash, substring,
+    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality, simhash,
+    substring,
 )
 from mnemo.llm.common import held_out, load
 
@@ -99,3 +100,12 @@ SELECT query_id, rank::INT AS rank, vec_id, distance::INT AS distance FROM (
     LATERAL (SELECT len(list_filter(range(1, len(q.embedding) + 1),
       lambda i: (q.embedding[i] > 0) <> (c.embedding[i] > 0))) AS distance))
 WHERE rank <= 5"""
+
+
+@query
+def op4_licenses(spark, sf) -> DataFrame:
+    found = licenses.scan(load(spark, sf, "documents"))
+    best = F.array_sort("hits", lambda a, b: F.signum(b["coverage"] - a["coverage"]).cast("int"))
+    return found.select(
+        "doc_id", F.size("hits").cast("long").alias("n_hits"), F.try_element_at(best, F.lit(1)).alias("best")
+    ).select("doc_id", "n_hits", "best.license", "best.coverage", "best.start", "best.length")
