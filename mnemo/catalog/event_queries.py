@@ -25,12 +25,11 @@ def _lines(spark, sf):
     c = load_text(spark, sf, "conversations")
     key = F.concat_ws("-", "conv_id", "turn")
     text, role = F.col("text"), F.col("role")
-    fits = F.length("text") <= 1500
     event = F.struct(
         F.concat(F.lit("e"), key).alias("event_id"),
         F.concat(F.lit("r"), F.when(role == "system", F.col("conv_id").cast("string")).otherwise(key)).alias("request_id"),
         F.when(role != "system", role).alias("agent"), F.lit("mem").alias("project"),
-        F.when(fits, text).alias("result_summary"),
+        text.alias("result_summary"),
         F.when(role == "system", "Failed").when(role == "user", "completed").alias("status"),
         F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.array(F.struct(
@@ -97,7 +96,7 @@ items AS (
   UNION ALL SELECT k, CASE WHEN role = 'user' THEN 3 ELSE 2 END, 'open_tasks', 'task', 'task ' || k,
     CASE WHEN role = 'user' THEN 'completed' ELSE 'proposed' END, 'mem' FROM ok
   UNION ALL SELECT k, CASE WHEN role = 'user' THEN 4 ELSE 3 END, 'summary', 'experience', {sql_strip('text')},
-    CASE WHEN role = 'system' THEN 'rejected' ELSE 'approved' END, 'mem' FROM ok WHERE length(text) <= 1500),
+    CASE WHEN role = 'system' THEN 'rejected' ELSE 'approved' END, 'mem' FROM ok),
 judged AS (SELECT *, row_number() OVER (PARTITION BY k, text ORDER BY item) = 1 AS first FROM items
   WHERE length(text) > 0)"""
 
@@ -177,13 +176,13 @@ def deduped(spark, sf):
 
 
 # -- ledger: users are work items; dear errors are failed attempts, purchases done, signups still running ------
-# Attempts are the events worth more than 100, so that every state occurs.
+# Errors, purchases and sign-ups are attempts; every other event is an arrival.
 _NOW = "2024-01-31 00:00:00"
 _LEDGER_SQL = f"""
 work AS (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id),
 att AS (SELECT user_id, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts,
   arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'error') AS bad
-  FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND value > 100 GROUP BY user_id),
+  FROM events WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY user_id),
 j AS (SELECT user_id, created_at, coalesce(attempts, 0) AS attempts, last_type, last_ts, bad,
   last_type = 'signup' AND last_ts < TIMESTAMP '{_NOW}' - INTERVAL 300 SECOND AS lost FROM work LEFT JOIN att USING (user_id)),
 ledger AS (SELECT *, CASE WHEN last_type IS NULL THEN 'queued' WHEN last_type = 'purchase' THEN 'done'
@@ -209,7 +208,7 @@ def _ledger(spark, sf):
     work = e.groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("created_at"))
     work = work.withColumn("request_id", F.concat(F.lit("r"), "event_id"))
     kind = F.col("event_type")
-    attempts = e.filter(kind.isin("error", "purchase", "signup") & (F.col("value") > 100)).select(
+    attempts = e.filter(kind.isin("error", "purchase", "signup")).select(
         F.col("user_id").alias("event_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("attempt_id"),
         F.when(kind == "error", "failed").when(kind == "purchase", "done").alias("outcome"),
         F.when(kind == "error", F.concat(F.lit("failed with "), F.col("value").cast("string"))).alias("error"),
