@@ -264,19 +264,24 @@ cand AS (SELECT * FROM memories WHERE {_VISIBLE} AND list_contains(experts, 'Goo
 {sql_cosine('pairs', 'pv', 'item_id', 'kv', 'memory_id')},
 every AS (SELECT item_id, memory_id, CASE WHEN type = 'experience' OR NOT has THEN NULL
     ELSE round(coalesce(raw_score, 0), 6) END AS score
-  FROM (SELECT item_id, memory_id, type, len({sql_tokens('b.text')}) > 0 AS has FROM benchmark b, cand)
+  , CASE WHEN NOT has THEN ts END AS newest, CASE WHEN NOT has THEN memory_id END AS latest
+  FROM (SELECT item_id, memory_id, type, ts, len({sql_tokens('b.text')}) > 0 AS has FROM
+    (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - item_id, '' FROM benchmark) b, cand)
   LEFT JOIN pairs USING (item_id, memory_id))
-SELECT item_id AS prompt_id, memory_id, score, row_number() OVER (
-  PARTITION BY item_id ORDER BY score DESC NULLS LAST, memory_id) AS rank FROM every QUALIFY rank <= 200""")
+SELECT item_id AS prompt_id, memory_id, score, row_number() OVER (PARTITION BY item_id ORDER BY
+  score DESC NULLS LAST, newest DESC NULLS LAST, latest DESC, memory_id) AS rank FROM every QUALIFY rank <= 200""")
 def scored(spark, sf):
+    """Every prompt, and beside each a blank one, which asks for the newest rows."""
     model = HashedEmbedder()
+    asked = prompts(spark, sf)
+    blank = asked.withColumns({"prompt_id": -1 - F.col("prompt_id"), "text": F.lit("")})
     k = embed(memories(spark, sf), "text", model)
     other = F.struct(F.lit("x").alias("backend"), F.lit("y").alias("model"), F.lit(512).alias("dim"))
     k = k.withColumn(
         "embed_identity", F.when(F.col("type") == "experience", other).otherwise(F.col("embed_identity"))
     )
     hits = search_scored(
-        embed(prompts(spark, sf), "text", model), k, model.dimensions, p.Filters(experts="good"), 200,
+        embed(asked.unionByName(blank), "text", model), k, model.dimensions, p.Filters(experts="good"), 200,
         identity_of(model),
     )
     return hits.select("prompt_id", "memory_id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -343,20 +348,23 @@ def graph_top(spark, sf):
 
 
 @query("related", """
-WITH hits AS (SELECT p_partkey AS prompt_id, o_orderkey AS edge_id FROM
-  (SELECT DISTINCT p_type, min(p_partkey) OVER (PARTITION BY p_type) AS p_partkey FROM part) t
-  JOIN (SELECT o_orderkey, o_orderpriority AS src, c_mktsegment AS dst FROM orders
+WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(o_orderpriority, '[- ]')) AS word FROM orders),
+hits AS (SELECT word AS prompt_id, o_orderkey AS edge_id, o_orderdate FROM words
+  JOIN (SELECT o_orderkey, o_orderdate, o_orderpriority AS src, c_mktsegment AS dst FROM orders
         JOIN customer ON o_custkey = c_custkey) e
-  ON contains(lower(src), lower(substring(p_type, 1, 3))) OR contains(lower(dst), lower(substring(p_type, 1, 3))))
-SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY edge_id) AS rank FROM hits QUALIFY rank <= 10""")
+  ON word <> '' AND (contains(lower(src), lower(word)) OR contains(lower(dst), lower(word))))
+SELECT prompt_id, edge_id, row_number() OVER (PARTITION BY prompt_id ORDER BY o_orderdate, edge_id) AS rank
+FROM hits QUALIFY rank <= 10""")
 def related_edges(spark, sf):
+    """Every word of the priorities against edges that arrived in order of date."""
     orders, customer = load(spark, sf, "orders"), load(spark, sf, "customer")
     edges = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
         F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("src_label"),
         F.lit("placed_by").alias("rel"), F.col("c_mktsegment").alias("dst_label"),
+        F.col("o_orderdate").alias("ingested_at"),
     )
-    entities = load(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("prompt_id"))
-    entities = entities.select("prompt_id", F.substring("p_type", 1, 3).alias("entity"))
+    words = orders.select(F.explode(F.split("o_orderpriority", "[- ]")).alias("entity")).distinct()
+    entities = words.withColumn("prompt_id", F.col("entity"))
     return related(entities, edges).select("prompt_id", "edge_id", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -60,6 +60,14 @@ def cosine_kernel(dim: int, min_score: float | None, keep_unscored: bool = False
     return Kernel(prepare, score)
 
 
+def every_row_kernel() -> Kernel:
+    """Every row qualifies without a score, so the tie-breakers alone rank."""
+    return Kernel(
+        lambda probes: probes.num_rows,
+        lambda n, rows: (rows, np.full((n, rows.num_rows), UNSCORED)),
+    )
+
+
 def overlap_kernel() -> Kernel:
     """Share of a probe's ``tokens`` found in a row's ``tokens``.
 

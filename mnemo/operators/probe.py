@@ -62,6 +62,11 @@ class Scope:
     axes: bool = False
 
 
+def _direction(name: str) -> tuple[str, str]:
+    """A tie-breaker as (column, direction); a leading minus means descending."""
+    return (name[1:], "descending") if name.startswith("-") else (name, "ascending")
+
+
 def _codes(values: list, known: dict) -> np.ndarray:
     return np.array([known.setdefault(v, len(known)) for v in values], dtype=np.int64)
 
@@ -71,7 +76,7 @@ class _Block:
 
     def __init__(self, probes: pa.Table, kernel: Kernel, scope: Scope, k: int, order: Sequence[str],
                  payload: Sequence[str]):
-        self.kernel, self.k, self.order = kernel, k, list(order)
+        self.kernel, self.k, self.order = kernel, k, [_direction(c) for c in order]
         self.payload = list(payload)
         self.state = kernel.prepare(probes)
         self.n = probes.num_rows
@@ -110,7 +115,7 @@ class _Block:
             scores = np.where(seen, scores, -np.inf)
         scores = np.rint(scores * 1e6)
         ranks = np.empty(rows.num_rows)
-        by_order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in self.order])
+        by_order = pc.sort_indices(rows, sort_keys=self.order)
         ranks[by_order.to_numpy()] = np.arange(rows.num_rows)
         tags = None
         if len(self.pools) > 1:
@@ -152,9 +157,7 @@ class _Block:
     def _cut(self, new: pa.Table) -> None:
         every = new if self.kept is None else pa.concat_tables([self.kept, new])
         keys = [("_slot", "ascending"), ("_probe", "ascending"), ("_score", "descending")]
-        every = every.take(pc.sort_indices(
-            every, sort_keys=keys + [(c, "ascending") for c in self.order]
-        ))
+        every = every.take(pc.sort_indices(every, sort_keys=keys + self.order))
         slot, probe = every.column("_slot").to_numpy(), every.column("_probe").to_numpy()
         first = np.ones(len(slot), dtype=bool)
         first[1:] = (slot[1:] != slot[:-1]) | (probe[1:] != probe[:-1])
@@ -200,14 +203,16 @@ def best_k(
 ) -> DataFrame:
     """(prompt_id, pool, score, payload…): the k best rows per probe and pool.
 
-    ``order`` names unique, ascending tie-breakers and is part of the payload.
+    ``order`` names tie-breakers that are unique together, and is part of the payload:
+    ascending, or descending with a leading minus, NULLs last.
     ``row_schema`` describes the payload when the kernel makes rows of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     limit = MAX_PROBES if max_probes is None else max_probes
     described = row_schema or rows.schema
-    payload = list(dict.fromkeys([*order, *payload]))
+    ties = [_direction(c) for c in order]
+    payload = list(dict.fromkeys([*(c for c, _ in ties), *payload]))
     schema = StructType([
         probes.schema["prompt_id"],
         StructField("pool", StringType()),
@@ -232,9 +237,10 @@ def best_k(
 
         local = rows.mapInArrow(scan, schema)
     else:
-        local = _grid(probes, rows, settle, schema, order)
+        local = _grid(probes, rows, settle, schema, [c for c, _ in ties])
     w = Window.partitionBy("prompt_id", "pool").orderBy(
-        F.col("score").desc_nulls_last(), *[F.col(c) for c in order]
+        F.col("score").desc_nulls_last(),
+        *[F.desc_nulls_last(c) if way == "descending" else F.asc_nulls_last(c) for c, way in ties],
     )
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions.scalars import to_iso
 from mnemo.functions.text import edge_text, strip, token_set
 from mnemo.operators.kernels import (
-    cosine_kernel, line_kernel, overlap_kernel, substring_kernel,
+    cosine_kernel, every_row_kernel, line_kernel, overlap_kernel, substring_kernel,
 )
 from mnemo.operators.predicates import Filters, clamp_limit, same_identity, tagged, visible
 from mnemo.operators.probe import Scope, best_k
@@ -81,17 +81,26 @@ def search_scored(
     """Filtered search ranked by cosine, with no score floor.
 
     Rows of another vector space stay in the result without a score, after all
-    scored rows.
+    scored rows. A prompt whose vector is missing or all zero asks for nothing in
+    particular and gets the newest rows, then the highest ids, without scores.
     """
     comparable = F.lit(True) if identity is None else same_identity(identity)
     need = ["project"] if scope.project else []
-    columns = list(dict.fromkeys(["memory_id", "embedding", *need, *payload]))
-    rows = filters.apply(knowledge).select(*columns, comparable.alias("comparable"))
-    return best_k(
-        _probe_columns(prompts, scope, ["embedding"]), rows,
+    columns = list(dict.fromkeys(["memory_id", *need, *payload]))
+    rows = filters.apply(knowledge)
+    asks = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    scored = best_k(
+        _probe_columns(prompts.filter(asks), scope, ["embedding"]),
+        rows.select(*dict.fromkeys([*columns, "embedding"]), comparable.alias("comparable")),
         cosine_kernel(dim, None, keep_unscored=True), clamp_limit(limit), ["memory_id"],
         payload, scope,
     )
+    recent = best_k(
+        _probe_columns(prompts.filter(~asks), scope, []),
+        rows.select(*dict.fromkeys([*columns, *_have(rows, ["ts"])])), every_row_kernel(),
+        clamp_limit(limit), [f"-{c}" for c in _have(rows, ["ts", "memory_id"])], payload, scope,
+    )
+    return scored.unionByName(recent.select(*scored.columns))
 
 
 def search_recent(
@@ -146,22 +155,24 @@ def related(
     payload: Sequence[str] = tuple(EDGE_PAYLOAD),
     scope: Scope = Scope(),
 ) -> DataFrame:
-    """First k edges, by id, with an end label containing the entity.
+    """First k edges with an end label containing the entity: oldest ``ingested_at``, then id.
 
-    ``entities`` is (prompt_id, entity); blank entities match nothing.
+    ``entities`` is (prompt_id, entity); blank entities match nothing. Edges of one batch
+    share their time and come by id.
     """
     rows = edges.filter(visible()) if "status" in edges.columns else edges
     if project:
         rows = rows.filter(F.col("project") == project)
     payload = _have(rows, payload)
     need = ["project"] if scope.project else []
-    columns = list(dict.fromkeys(["edge_id", "src_label", "dst_label", *need, *payload]))
+    order = _have(rows, ["ingested_at", "edge_id"])
+    columns = list(dict.fromkeys([*order, "src_label", "dst_label", *need, *payload]))
     probes = entities.withColumn("needle", strip(F.col("entity")))
     hits = best_k(
         _probe_columns(probes, scope, ["needle"]), rows.select(*columns),
-        substring_kernel("src_label", "dst_label"), k, ["edge_id"], payload, scope,
+        substring_kernel("src_label", "dst_label"), k, order, payload, scope,
     )
-    return hits.drop("pool", "score")
+    return hits.drop("pool", "score", *({"ingested_at"} - set(payload)))
 
 
 def neighbors(labels: DataFrame, edges: DataFrame) -> DataFrame:

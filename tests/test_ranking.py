@@ -85,6 +85,33 @@ def test_search_keeps_unscored_rows_last(spark, asked, vectors):
     assert tail == sorted(tail)
 
 
+def test_a_blank_prompt_gets_the_newest_rows(spark):
+    day = F.when(F.col("memory_id") < 4, F.lit("2026-01-01")).when(F.col("memory_id") < 6, F.lit("2026-01-03"))
+    rows = spark.range(8).withColumnRenamed("id", "memory_id").withColumns({
+        "ts": day.cast("timestamp"), "text": F.lit("x"), "status": F.lit("approved"), "project": F.lit("p"),
+        "embedding": F.array(F.lit(1.0), F.col("memory_id").cast("double")).cast("array<float>")})
+    asked = spark.createDataFrame(
+        [(1, [0.0, 0.0], "p"), (2, None, "p"), (3, [1.0, 0.0], "p"), (4, [], "q"), (5, [], None)],
+        "prompt_id int, embedding array<float>, project string")
+    hits = search_scored(asked, rows, 2, limit=7, scope=Scope("strict"), payload=["text"]).orderBy("prompt_id", "rank")
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.prompt_id, []).append(r.memory_id)
+    newest = [r.memory_id for r in search_recent(rows, limit=7).collect()]
+    assert newest == [5, 4, 3, 2, 1, 0, 7]
+    assert got == {1: newest, 2: newest, 3: [0, 1, 2, 3, 4, 5, 6], 5: newest}
+    assert "ts" not in search_scored(asked, rows, 2, payload=["text"]).columns
+
+
+def test_related_takes_the_oldest_edges(spark):
+    edges = spark.createDataFrame(
+        [("c", "hub", 1), ("a", "hub", 3), ("b", "hub", 2), ("d", "hub", None)], "edge_id string, src_label string, day int"
+    ).withColumns({"dst_label": F.lit("y"), "ingested_at": F.timestamp_seconds("day")})
+    probes = spark.createDataFrame([(1, "HUB")], "prompt_id int, entity string")
+    hits = related(probes, edges, 4).orderBy("rank")
+    assert [r.edge_id for r in hits.collect()] == ["c", "b", "a", "d"] and "ingested_at" not in hits.columns
+
+
 def test_a_zero_probe_matches_nothing(spark, vectors):
     zero = spark.createDataFrame([(1, [0.0] * 8)], "prompt_id int, embedding array<float>")
     assert vector_topk(zero, vectors[0], 8, 5, None).count() == 0
