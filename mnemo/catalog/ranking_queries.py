@@ -91,7 +91,8 @@ WITH {_CENTROID_SQL},
 r AS (SELECT 'top' AS pool, score FROM (SELECT round(raw_score, 6) AS score FROM scores
     QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY round(raw_score, 6) DESC, memory_id) <= 20)
   UNION ALL SELECT 'background', round(raw_score, 6) FROM scores WHERE prompt_id = (label + 1) % 10)
-SELECT pool, count(*) AS pairs, min(score) AS lowest, max(score) AS highest FROM r GROUP BY pool""")
+SELECT pool, count(*) AS pairs, min(score) AS lowest, max(score) AS highest, quantile_disc(score, 0.05) AS p05,
+  quantile_disc(score, 0.5) AS p50, quantile_disc(score, 0.95) AS p95 FROM r GROUP BY pool""")
 def calibrate(spark, sf):
     """Best scores per label mean against those of every row with the next label's mean."""
     e = _vectors(spark, sf)
@@ -100,8 +101,7 @@ def calibrate(spark, sf):
     other = means.select(F.col("prompt_id").alias("next"), F.col("embedding").alias("mean"))
     background = e.withColumn("next", (F.col("label") + 1) % 10).join(other, "next")
     background = background.select(F.round(cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
-    report = calibration(top, background)
-    return report.select("pool", "pairs", "lowest", "highest")
+    return calibration(top, background)
 
 
 @query("identity_audit", """

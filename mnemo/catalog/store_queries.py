@@ -23,28 +23,31 @@ from mnemo.sources.logs import (
 from mnemo.sources.tables import with_defaults
 
 
-# -- logs: conversations written as JSON lines, system turns broken in three ways ------------------
+# -- logs: conversations written as JSON lines, and beside each system turn one broken line --------
 def _log_lines(spark, sf):
     c = load(spark, sf, "conversations")
     good = F.to_json(F.struct("role", F.col("text").alias("content"), F.lit("2024-01-01T00:00:00Z").alias("ts")))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     broken = (
-        F.when(F.length("text") > 300, F.substring(good, 1, 40))
-        .when(F.length("text") > 200, F.concat(F.lit("["), good, F.lit("]")))
-        .when(F.length("text") > 150, F.to_json(F.struct("role")))
+        F.when(kind == 0, F.concat(good, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit("["), good, F.lit("]")))
+        .when(kind == 2, F.to_json(F.struct("role", "text")))
         .otherwise(F.lit("   "))
     )
-    return c.select(
-        "conv_id", "turn", F.when(F.col("role") == "system", broken).otherwise(good).alias("value")
+    lines = c.select("conv_id", "turn", good.alias("value"))
+    return lines.unionByName(
+        c.filter("role = 'system'").select("conv_id", (-1 - F.col("turn")).alias("turn"), broken.alias("value"))
     )
 
 
 @query("log_messages", "SELECT conv_id, turn, role, text AS content, '2024-01-01T00:00:00Z' AS ts "
-       "FROM conversations WHERE role <> 'system'")
+       "FROM conversations")
 def log_messages(spark, sf):
     return parse_log(_log_lines(spark, sf))[0]
 
 
-@query("log_rejects", "SELECT conv_id, turn FROM conversations WHERE role = 'system' AND length(text) > 150")
+@query("log_rejects", "SELECT conv_id, -1 - turn AS turn FROM conversations "
+       "WHERE role = 'system' AND (conv_id + turn) % 4 <> 3")
 def log_rejects(spark, sf):
     return parse_log(_log_lines(spark, sf))[1].select("conv_id", "turn")
 
@@ -130,14 +133,15 @@ def export_counts(spark, sf):
 
 
 @query("clean_content", f"""
-SELECT doc_id, CASE WHEN n_chars > 8000 THEN '' WHEN lang IN ('en', 'fr') THEN {sql_strip('text')}
+SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN lang IN ('en', 'fr') THEN {sql_strip('text')}
   WHEN lang = 'de' THEN '[' || text || ' note' ELSE {sql_strip('text')} END AS content FROM documents""")
 def cleaned(spark, sf):
     docs = load_text(spark, sf, "documents")
     part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
     noise = F.struct(F.lit("tool_use").alias("type"), F.col("source").alias("text"))
+    whole = F.struct(F.lit("tool_use").alias("type"), F.col("text").alias("text"))
     body = (
-        F.when(F.col("n_chars") > 8000, F.to_json(F.array(noise, noise)))
+        F.when(F.col("doc_id") % 5 == 4, F.to_json(F.array(noise, whole)))
         .when(F.col("lang") == "en", F.to_json(F.struct(F.struct(F.array(noise, part).alias("content")).alias("message"))))
         .when(F.col("lang") == "fr", F.to_json(part))
         .when(F.col("lang") == "de", F.concat(F.lit("["), "text", F.lit(" note")))

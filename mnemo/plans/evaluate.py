@@ -64,11 +64,15 @@ def evaluation_report(accuracy: DataFrame, routed: DataFrame, unrouted: DataFram
 
 
 def calibration(top: DataFrame, background: DataFrame, points=(0.05, 0.5, 0.95)) -> DataFrame:
-    """Percentiles of top-k scores against those of a background, to choose ``min_score``."""
+    """Exact percentiles of top-k scores against those of a background, to choose ``min_score``.
+
+    Scores count to six decimals, so a pool has at most two million distinct ones to keep.
+    """
     scores = top.select(F.lit("top").alias("pool"), "score").unionByName(
         background.select(F.lit("background").alias("pool"), "score")
-    )
+    ).withColumn("score", F.round("score", 6))
     return scores.groupBy("pool").agg(
         F.count("*").alias("pairs"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
-        *[F.percentile_approx("score", p, 10_000).alias(f"p{int(p * 100):02d}") for p in points],
+        *[F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY score)").alias(f"p{round(p * 100):02d}")
+          for p in points],
     )
