@@ -8,9 +8,9 @@ survivors are shuffled for the final cut.
 
 Two ways to bring probes and rows together, both exact:
 
-* up to ``MAX_PROBES`` probes travel to every task with the task's code, and the
-  big table is read in place, with no shuffle of it at all;
-* beyond that, probes and rows are hashed into blocks and each pair of blocks is
+* probes within ``MAX_PROBES`` rows and ``MAX_BYTES`` travel to every task with the task's
+  code, and the big table is read in place, with no shuffle of it at all;
+* beyond either bound, probes and rows are hashed into blocks and each pair of blocks is
   one cell of a grid, so no task ever holds more than one block of either side.
 """
 
@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 MAX_PROBES = 16_384  # 32 MB of 512 floats
+MAX_BYTES = 64 << 20  # probes may carry token lists of any length, so bytes are bounded too
+PARCEL = 1 << 20
 GRID_PROBES = 16_384
 GRID_ROWS = 65_536
 CELLS = 4_000_000  # scores held at once: probes x rows of one slice
+SALTS = 256  # a probe's survivors from all tasks are cut in this many parts first
 
 GLOBAL_POOL = ""
 UNSCORED = -2.0  # ranks below every real score, reported as NULL
@@ -227,10 +230,8 @@ def best_k(
             best.add(table)
         return best.result(arrow_schema)
 
-    # The row count is checked before anything is fetched, so the driver never
-    # holds more than the bound.
-    small = probes.limit(limit + 1).toArrow()
-    if small.num_rows <= limit:
+    small = _within(probes, limit)
+    if small is not None:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if small.num_rows:
                 yield from settle(small, (pa.Table.from_batches([b]) for b in batches)).to_batches()
@@ -238,11 +239,49 @@ def best_k(
         local = rows.mapInArrow(scan, schema)
     else:
         local = _grid(probes, rows, settle, schema, [c for c, _ in ties])
-    w = Window.partitionBy("prompt_id", "pool").orderBy(
+    best = [
         F.col("score").desc_nulls_last(),
         *[F.desc_nulls_last(c) if way == "descending" else F.asc_nulls_last(c) for c, way in ties],
-    )
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ]
+    # Every task may send k rows of one probe; no single task takes them all in.
+    part = F.pmod(F.xxhash64(*[c for c, _ in ties]), F.lit(SALTS))
+    for keys in (["prompt_id", "pool", part], ["prompt_id", "pool"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+        local = local.withColumn("rank", place).filter(F.col("rank") <= k)
+    return local
+
+
+def _within(probes: DataFrame, limit: int) -> pa.Table | None:
+    """The probes, or None if they break a bound. The driver fetches no more than the bounds allow."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = pa.schema([("rows", pa.binary())])
+
+    def packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parcels of at most PARCEL bytes, or of one row."""
+        if batch.nbytes > PARCEL and batch.num_rows > 1:
+            half = batch.num_rows // 2
+            yield from packed(batch.slice(0, half))
+            yield from packed(batch.slice(half))
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=kind)
+
+    def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from packed(batch)
+
+    most = MAX_BYTES // PARCEL
+    got = probes.limit(limit + 1).mapInArrow(parcels, "rows binary").limit(most + 1).toArrow()
+    if got.num_rows > most:
+        return None
+    tables = [pa.ipc.open_stream(p).read_all() for p in got.column("rows").to_pylist()]
+    if not tables:
+        return to_arrow_schema(probes.schema).empty_table()
+    small = pa.concat_tables(tables)
+    return small if small.num_rows <= limit else None
 
 
 def _grid(probes, rows, settle, schema, order) -> DataFrame:

@@ -39,8 +39,8 @@ def with_defaults(df: DataFrame, schema: StructType = KNOWLEDGE) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, path: str) -> DataFrame:
-    """The knowledge table; file schemas of different ages are merged."""
-    return with_defaults(spark.read.option("mergeSchema", "true").parquet(path))
+    """The knowledge table, read with today's schema: what an older file lacks is NULL."""
+    return with_defaults(spark.read.schema(KNOWLEDGE).parquet(path))
 
 
 def all_entries(table: DataFrame) -> DataFrame:
@@ -84,10 +84,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than cores.
+    """Give every core work when the input is a few file splits, as small files are.
 
-    Large inputs have splits enough and pass through untouched.
+    Above ``SPREAD_SPLITS`` splits a table is read in place, whatever the number of cores,
+    so no more than that many splits are ever moved.
     """
+    splits = df.rdd.getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(min(cores, 8 * SPREAD_SPLITS)) if splits < min(cores, SPREAD_SPLITS) else df
