@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemo.catalog.base import (
-    DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_primary_keyword,
-    sql_strip, sql_tokens,
+    DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_list,
+    sql_primary_keyword, sql_strip, sql_tokens,
 )
 from mnemo.catalog.frames import (
     MEMORIES_SQL, MERGED_SQL, RETRIEVAL_SQL, document_edges, embedded_documents, memories, prompts,
@@ -15,21 +15,22 @@ from mnemo.catalog.frames import (
 from mnemo.catalog.text_queries import sql_truncate
 from mnemo.functions import text as t
 from mnemo.functions.scalars import to_iso
-from mnemo.functions.vectors import HashedEmbedder, cosine, embed, identity_of, sparse
+from mnemo.functions.vectors import HashedEmbedder, cosine, embed, embed_batch, identity_of, sparse
 from mnemo.operators import predicates as p
 from mnemo.operators.audit import identity_audit, mixed_identity, row_counts
 from mnemo.operators.probe import Scope
 from mnemo.operators.ranking import (
-    get_by_id, graph_topk, line_search, neighbors, related, search_recent, search_scored,
+    get_by_id, graph_topk, line_search, neighbors, related, result_rows, search_recent, search_scored,
     vector_topk,
 )
-from mnemo.plans.context import build, build_context, structured
+from mnemo.plans.context import NOTHING_FOUND, build, build_context, structured, to_markdown
 from mnemo.plans.evaluate import (
     calibration, evaluation_report, recall_floor, retrieval_precision, routing_accuracy,
 )
 from mnemo.plans.projects import decision_history, project_sections, project_state
 from mnemo.plans.reembed import reembed
 from mnemo.plans.retrieve import apply_budget, merge, retrieve, route
+from mnemo.sources.tables import all_entries, stage
 
 DIM = 64
 
@@ -398,6 +399,51 @@ def lines(spark, sf):
     return hits.select("prompt_id", "doc_id", "line", "snippet", F.col("rank").cast("bigint").alias("rank"))
 
 
+# -- whole listings and result shapes -------------------------------------------------------------------
+@query("all_entries", f"""
+WITH {MEMORIES_SQL} SELECT memory_id, text, coalesce(nullif(status, ''), 'approved') AS status,
+  coalesce(nullif(source_type, ''), 'conversation') AS source_type, coalesce(len(experts), 0)::INT AS n_experts
+FROM memories""")
+def every_entry(spark, sf):
+    listed = all_entries(memories(spark, sf))
+    return listed.select("memory_id", "text", "status", "source_type", F.size("experts").alias("n_experts"))
+
+
+@query("result_rows", f"""
+WITH {MEMORIES_SQL} SELECT memory_id, text, type, coalesce(status, 'approved') AS status, project, source, source_type,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, confidence::DOUBLE AS confidence FROM memories
+WHERE coalesce(status, 'approved') NOT IN ('superseded', 'rejected')
+ORDER BY ts DESC NULLS LAST, memory_id DESC LIMIT 200""")
+def shaped(spark, sf):
+    """The newest hits in the shape handed to callers; 200 is the largest page."""
+    table = memories(spark, sf).withColumn("source_id", F.lit(None).cast("string"))
+    rows = result_rows(search_recent(table, p.Filters(), 200))
+    return rows.select(
+        "memory_id", "text", "type", "status", "project", "provenance.source", "provenance.source_type",
+        "created_at", "provenance.confidence",
+    )
+
+
+@query("embed_batch", f"""
+WITH {sql_hashed('bv', 'benchmark', 'item_id', 'text')}
+SELECT item_id, i::INT AS index, CASE i WHEN 0 THEN coalesce(n, 0) ELSE 0 END AS buckets,
+  CASE i WHEN 0 THEN coalesce(total, 0) ELSE 0 END AS weighted
+FROM benchmark CROSS JOIN (SELECT unnest([0, 1]) AS i)
+LEFT JOIN (SELECT item_id, count(*) AS n, round(sum(w * (bucket + 1)), 2) AS total FROM bv GROUP BY item_id) USING (item_id)""")
+def embedded_lists(spark, sf):
+    """Every prompt and an empty text as one list: vectors by place, none lost."""
+    asked = load(spark, sf, "benchmark").select("item_id", F.array("text", F.lit("")).alias("input"))
+    made = embed_batch(asked, "input", HashedEmbedder(DATA_RULES))
+    total = F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+    )
+    return made.select(
+        "item_id", F.col("index").cast("int").alias("index"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("buckets"),
+        F.round(total, 2).alias("weighted"),
+    )
+
+
 # -- routed retrieval -----------------------------------------------------------------------------------
 @query("route", f"""
 WITH {RETRIEVAL_SQL}
@@ -523,18 +569,151 @@ def structured_memory(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("context_pack")
+@query("context_digest", f"""
+WITH RECURSIVE {RETRIEVAL_SQL}, {MERGED_SQL}, {_FOLD_SQL},
+b AS (SELECT prompt_id, string_agg('- [' || upper(kind[1]) || '] ' || body || chr(10), '' ORDER BY rank) AS block,
+  count(*) FILTER (WHERE kind = 'knowledge') AS k, count(*) FILTER (WHERE kind = 'experience') AS e
+  FROM fold WHERE act IN ('keep', 'clip') GROUP BY prompt_id),
+c AS (SELECT prompt_id, count(*) AS n FROM merged GROUP BY prompt_id),
+d AS (SELECT prompt_id, {sql_truncate('text', '1375')} AS prompt, coalesce(block, '') AS block, coalesce(k, 0) AS k,
+  coalesce(e, 0) AS e, coalesce(n, 0) AS n FROM prompts LEFT JOIN b USING (prompt_id) LEFT JOIN c USING (prompt_id))
+SELECT prompt_id, '## Memory Digest' || chr(10) || chr(10) || '**Prompt:** ' || prompt || chr(10) || chr(10)
+  || '**Budget:** memory ' || length(block) || '/2200 chars | prompt ' || length(prompt) || '/1375 chars | knowledge '
+  || k || ' | experience ' || e || chr(10) || chr(10) || '### Memory' || chr(10) || chr(10)
+  || CASE WHEN {sql_strip('block')} = '' THEN '{NOTHING_FOUND}' ELSE {sql_strip('block')} END
+  || CASE WHEN n > k + e THEN chr(10) || chr(10) || '_' || (n - k - e)
+     || ' item(s) dropped to respect the memory budget._' ELSE '' END || chr(10) AS markdown FROM d""")
+def context_digest(spark, sf):
+    """The simple digest, rendered."""
+    return to_markdown(build(
+        prompts(spark, sf), embedded_documents(spark, sf), document_edges(spark, sf),
+        HashedEmbedder(DATA_RULES), rules=DATA_RULES,
+    ), rules=DATA_RULES)
+
+
+# -- the tiered pack: memories with status and type, edges, lines where no edge matches ------------------
+_WHO = DATA_RULES.identity
+_AGENT_HITS = [
+    f"len(list_intersect(list_distinct({sql_tokens('text')}), {sql_list(r.keywords)}))" for r in _WHO.agent_routes
+]
+_PACK_SQL = f"""
+{RETRIEVAL_SQL}, {MEMORIES_SQL},
+asked AS (SELECT *, CASE WHEN length(text) > 250 THEN 1600 ELSE 2200 END AS lim,
+  CASE WHEN length(text) > 250 THEN 1600 ELSE 4775 END AS cap,
+  CASE WHEN greatest({_AGENT_HITS[0]}, {_AGENT_HITS[1]}) = 0 THEN '{_WHO.default_agent}'
+    WHEN {_AGENT_HITS[0]} >= {_AGENT_HITS[1]} THEN '{_WHO.agent_routes[0].agent}'
+    ELSE '{_WHO.agent_routes[1].agent}' END AS agent FROM prompts),
+kseen AS (SELECT prompt_id, memory_id, round(raw_score, 6) AS score, p.axes, m.experts
+  FROM pairs JOIN routed p USING (prompt_id) JOIN memories m USING (memory_id)
+  WHERE raw_score >= {DATA_RULES.min_score} AND coalesce(m.status, 'approved') NOT IN ('superseded', 'rejected')
+    AND (p.project IS NULL OR coalesce(m.project, '') IN (p.project, ''))),
+{sql_pooled('know', 'kseen', 'memory_id')}, {sql_pooled('exper', 'linked', 'edge_id')},
+bare AS (SELECT prompt_id, {sql_primary_keyword('text', DATA_RULES)} AS keyword FROM prompts
+  WHERE prompt_id NOT IN (SELECT prompt_id FROM exper)),
+body AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS body FROM
+  (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+found AS (SELECT prompt_id, doc_id, line, substring({sql_strip('body')}, 1, 200) AS snippet,
+  row_number() OVER (PARTITION BY prompt_id, doc_id ORDER BY line) AS nth
+  FROM bare JOIN body ON keyword <> '' AND contains(lower(body), keyword)),
+lines AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY doc_id, line) AS rank FROM found
+  WHERE nth <= 20 QUALIFY rank <= 5),
+merged AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, section, pos) AS rank FROM (
+  SELECT prompt_id, 0 AS section, rank AS pos, 'knowledge' AS kind, memory_id AS item_id, text,
+    round(score * 1.0, 6) AS score, coalesce(status, 'approved') AS status, coalesce(source_type, source) AS source_type,
+    source AS source_id, ts, confidence, NULL AS relation FROM know JOIN memories USING (memory_id)
+  UNION ALL SELECT prompt_id, 1, rank, 'experience', edge_id, src || ' ' || rel || ' ' || dst,
+    printf('%.6f', score * 0.9::DOUBLE)::DOUBLE, 'approved', 'conversation', NULL, NULL, NULL,
+    src || '>' || rel || '>' || dst FROM exper JOIN edges USING (edge_id)
+  UNION ALL SELECT prompt_id, 2, rank, 'experience', doc_id, doc_id || ':' || line || '  ' || snippet, 0.0, 'approved',
+    'line_search', 'line_search', NULL, NULL, NULL FROM lines) QUALIFY rank <= 12),
+fold AS (
+  SELECT prompt_id, 0::BIGINT AS rank, 0::BIGINT AS used, false AS closed, 'start' AS act, '' AS body FROM prompts
+  UNION ALL
+  SELECT prompt_id, rank, CASE act WHEN 'keep' THEN used + length(text) + 7
+      WHEN 'clip' THEN used + length(clipped) + 7 ELSE used END,
+    closed OR act = 'clip', act, CASE act WHEN 'keep' THEN text WHEN 'clip' THEN clipped END
+  FROM (SELECT f.prompt_id, m.rank, f.used, f.closed, m.text, {sql_truncate("m.text", "(lim - used - 7)")} AS clipped,
+      CASE WHEN closed THEN 'skip' WHEN length(m.text) + 7 <= lim - used THEN 'keep'
+           WHEN lim - used >= 80 AND lim - used - 7 >= 40 THEN 'clip' ELSE 'skip' END AS act
+    FROM fold f JOIN merged m ON m.prompt_id = f.prompt_id AND m.rank = f.rank + 1
+    JOIN asked a ON a.prompt_id = f.prompt_id)),
+kept AS (SELECT * EXCLUDE (text), f.body AS text FROM merged m JOIN (SELECT prompt_id, rank, body FROM fold
+  WHERE act IN ('keep', 'clip')) f USING (prompt_id, rank)),
+structured AS (SELECT p.prompt_id, m.type, m.memory_id, m.text, round(coalesce(raw_score, 0), 6) AS score,
+    coalesce(m.status, 'approved') AS status, coalesce(source_type, source) AS source_type, source AS source_id, ts,
+    confidence, row_number() OVER (PARTITION BY p.prompt_id, m.type
+      ORDER BY round(coalesce(raw_score, 0), 6) DESC, m.memory_id) AS rank
+  FROM prompts p JOIN memories m ON (p.project IS NULL OR m.project = p.project) AND (
+    (m.type = 'decision' AND coalesce(m.status, 'approved') = 'approved') OR (m.type = 'task' AND m.status = 'proposed'))
+  LEFT JOIN pairs x ON x.prompt_id = p.prompt_id AND x.memory_id = m.memory_id QUALIFY rank <= 5),
+records AS (SELECT prompt_id, 0 AS part, rank, item_id, kind AS type, status, source_type, source_id, ts, confidence,
+    score FROM kept
+  UNION ALL SELECT prompt_id, CASE type WHEN 'decision' THEN 1 ELSE 2 END, rank, memory_id, type, status, source_type,
+    source_id, ts, confidence, score FROM structured),
+prov AS (SELECT prompt_id, string_agg(concat_ws('|', item_id, type, status, source_type, coalesce(source_id, '-'),
+    coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '-'), coalesce(printf('%.2f', confidence::DOUBLE), '-'),
+    printf('%.6f', score::DOUBLE)), chr(10) ORDER BY part, rank) AS provenance FROM records GROUP BY prompt_id),
+s AS (SELECT prompt_id, count(*) FILTER (WHERE type = 'decision') AS decisions,
+    count(*) FILTER (WHERE type = 'task') AS open_tasks,
+    string_agg('- ' || text, chr(10) ORDER BY rank) FILTER (WHERE type = 'decision') AS decided,
+    string_agg('- ' || text, chr(10) ORDER BY rank) FILTER (WHERE type = 'task') AS todo FROM structured GROUP BY prompt_id),
+k AS (SELECT prompt_id, string_agg('- [' || upper(kind[1]) || '] ' || text || chr(10), '' ORDER BY rank) AS block,
+    count(*) FILTER (WHERE kind = 'knowledge') AS knowledge, count(*) FILTER (WHERE kind = 'experience') AS experience,
+    string_agg(relation, ',' ORDER BY rank) AS relations FROM kept GROUP BY prompt_id),
+c AS (SELECT prompt_id, count(*) AS candidates FROM merged GROUP BY prompt_id),
+whole AS (SELECT a.*, prov.provenance, s.decisions, s.open_tasks, k.knowledge, k.experience, k.relations, c.candidates,
+    a.prompt_id IN (SELECT prompt_id FROM lines) AS fallback,
+    '## Context Digest' || chr(10) || chr(10) || '### Tier 0 - Always Loaded' || chr(10) ||
+    '- Final authority: {_WHO.final_authority}' || chr(10) || '- Approval policy: {_WHO.approval_policy}' || chr(10) ||
+    coalesce('- Active project: ' || project || chr(10), '') || chr(10) ||
+    coalesce('### Approved Decisions' || chr(10) || decided || chr(10) || chr(10), '') ||
+    coalesce('### Open Tasks' || chr(10) || todo || chr(10) || chr(10), '') ||
+    '### Tier 1 - Retrieved Memory' || chr(10) ||
+    coalesce(nullif({sql_strip("coalesce(block, '')")}, ''), '{NOTHING_FOUND}') || chr(10) || chr(10) ||
+    '_Tier 2 (full conversations, historical detail) not injected; search memory on demand._' || chr(10) AS md
+  FROM asked a LEFT JOIN prov USING (prompt_id) LEFT JOIN s USING (prompt_id) LEFT JOIN k USING (prompt_id)
+  LEFT JOIN c USING (prompt_id))"""
+
+
+@query("context_pack", f"""
+WITH RECURSIVE {_PACK_SQL}
+SELECT prompt_id, {sql_truncate('md', 'cap')} AS context_markdown, lim AS memory_char_budget,
+  coalesce(knowledge, 0)::INT AS knowledge, coalesce(experience, 0)::INT AS experience,
+  (coalesce(candidates, 0) - coalesce(knowledge, 0) - coalesce(experience, 0))::INT AS dropped_for_budget,
+  coalesce(candidates, 0)::INT AS candidates, coalesce(decisions, 0)::INT AS decisions,
+  coalesce(open_tasks, 0)::INT AS open_tasks, coalesce(provenance, '') AS provenance,
+  coalesce(relations, '') AS relations, agent AS recommended_agent, coalesce(project, '') AS active_projects,
+  concat_ws(',', CASE WHEN fallback THEN 'graph_empty_used_line_search' END,
+    CASE WHEN length(md) > cap THEN 'context_truncated_to_token_budget' END) AS warnings FROM whole""")
 def context_pack(spark, sf):
-    """The tiered pack with decisions, tasks and the line-search fallback."""
+    """The tiered pack with decisions, tasks and the line-search fallback; lists as one text each."""
     asked = prompts(spark, sf).select(
         "prompt_id", "text", F.col("project").alias("project_hint"),
         F.lit(None).cast("string").alias("active_workspace"),
         F.when(F.length("text") > 250, 400).alias("token_budget"),
     )
-    k = embed(memories(spark, sf), "text", HashedEmbedder(DATA_RULES))
-    return build_context(
+    # As in use, the memory table and its vectors are stored before anyone asks.
+    k = stage(embed(memories(spark, sf), "text", HashedEmbedder(DATA_RULES)), "memories")
+    pack = build_context(
         asked, k, document_edges(spark, sf), HashedEmbedder(DATA_RULES),
-        load_text(spark, sf, "documents"), DATA_RULES,
+        load(spark, sf, "documents"), DATA_RULES, stage=stage,
+    )
+
+    def record(p):
+        return F.concat_ws(
+            "|", p["memory_id"], p["type"], p["status"], p["source_type"], F.coalesce(p["source_id"], F.lit("-")),
+            F.coalesce(p["created_at"], F.lit("-")),
+            F.when(p["confidence"].isNull(), "-").otherwise(F.format_string("%.2f", p["confidence"])),
+            F.format_string("%.6f", p["score"]),
+        )
+
+    return pack.select(
+        "prompt_id", "context_markdown", "memory_char_budget", "counts.*",
+        F.array_join(F.transform("provenance", record), "\n").alias("provenance"),
+        F.array_join(F.transform("relations", lambda r: F.concat_ws(">", r["src"], r["rel"], r["dst"])), ",")
+        .alias("relations"),
+        "recommended_agent", F.array_join("active_projects", ",").alias("active_projects"),
+        F.array_join("warnings", ",").alias("warnings"),
     )
 
 
@@ -585,9 +764,10 @@ def routing_eval(spark, sf):
         F.array(F.lit("claims")).alias("accept"),
     )
     model = HashedEmbedder(DATA_RULES)
-    found = _retrieved(spark, sf)
+    stored = stage(embedded_documents(spark, sf), "documents")
+    found = retrieve(asked, stored, document_edges(spark, sf), model, rules=DATA_RULES, stage=stage)
     plain = vector_topk(
-        embed(asked, "text", model), embedded_documents(spark, sf), model.dimensions,
+        found.routed, stored, model.dimensions,
         DATA_RULES.vector_top_k, DATA_RULES.min_score, scope=Scope(project="global"), payload=["experts"],
     )
     return evaluation_report(

@@ -14,13 +14,13 @@ from mnemo.operators.upsert import (
     concept_nodes, edge_view, node_id, upsert_edges, upsert_knowledge, upsert_nodes,
     with_current_status,
 )
-from mnemo.plans.curate import curate_counts, dropped_chars, segment_rows
+from mnemo.plans.curate import curate, curate_counts, dropped_chars, ingest_report, segment_rows
 from mnemo.schema import KNOWLEDGE
 from mnemo.sources.logs import (
     clean_content, export_counters, export_rows, filter_messages, label_messages, parse_log,
     session_messages,
 )
-from mnemo.sources.tables import with_defaults
+from mnemo.sources.tables import stage, with_defaults
 
 
 # -- logs: conversations written as JSON lines, and beside each system turn one broken line --------
@@ -277,12 +277,12 @@ scored AS (SELECT *, {sql_hits('text', DATA_RULES.experience_keywords)} + {_sql_
 kinds AS (SELECT *, CASE WHEN e > k THEN 'experience' ELSE 'knowledge' END AS kind FROM scored)"""
 
 
-def _segments(spark, sf):
+def _segments(spark, sf, rules=DATA_RULES):
     messages = load_text(spark, sf, "conversations").select(
         "conv_id", "turn", "role", F.col("text").alias("content"),
         F.lit(None).cast("string").alias("ts"), F.col("role").alias("source"),
     )
-    return segment_rows(messages, ["conv_id", "turn"], DATA_RULES)
+    return segment_rows(messages, ["conv_id", "turn"], rules)
 
 
 @query("curate_counts", f"""
@@ -294,6 +294,33 @@ def curated_counts(spark, sf):
     return curate_counts(_segments(spark, sf)).drop("tagged_segments")
 
 
+@query("curate_roles", f"""
+WITH {_CURATE_SQL}
+SELECT conv_id, turn, seg, role, kind, text FROM kinds WHERE role NOT IN ('system', 'tool')""")
+def curated_roles(spark, sf):
+    """Segments and their class, with two roles skipped."""
+    rows = _segments(spark, sf, DATA_RULES.with_(skip_roles=("system", "tool")))
+    return rows.select("conv_id", "turn", F.col("seg").cast("bigint").alias("seg"), "role", "kind", "text")
+
+
+@query("ingest_report", f"""
+WITH {_CURATE_SQL},
+n AS (SELECT count(*) AS segments, count(*) FILTER (WHERE kind = 'knowledge') AS knowledge_segments,
+  count(*) FILTER (WHERE kind = 'experience') AS experience_segments,
+  count(*) FILTER (WHERE kind = 'experience') AS experience_nodes,
+  count(DISTINCT (role, text)) FILTER (WHERE kind = 'knowledge') AS knowledge_added FROM kinds)
+SELECT (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM conversations
+  WHERE role = 'system' AND (conv_id + turn) % 4 <> 3) AS malformed_lines, n.*,
+  knowledge_segments - knowledge_added AS knowledge_skipped, knowledge_added AS stored_total FROM n""")
+def ingest(spark, sf):
+    """A whole log curated at once: lines in, what was made of them, and the table after it."""
+    messages, rejects = parse_log(_log_lines(spark, sf))
+    messages = messages.withColumn("source", F.col("role"))
+    made = curate(messages, ["conv_id", "turn"], rules=DATA_RULES, stage=stage)
+    report = ingest_report(messages, rejects, made, {"stored": made.knowledge})
+    return report.drop("tagged_segments", "experience_edges")
+
+
 @query("curate_knowledge", f"""
 WITH {_CURATE_SQL}
 SELECT conv_id, turn, seg, text, role AS source FROM kinds WHERE kind = 'knowledge'

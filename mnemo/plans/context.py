@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions import text as t
 from mnemo.functions.scalars import (
-    budget_chars, digest_chars, recommend_agent, resolve_project,
+    budget_chars, digest_chars, recommend_agent, resolve_project, to_iso,
 )
 from mnemo.functions.vectors import HashedEmbedder, embed, identity_of
 from mnemo.operators.predicates import Filters
@@ -16,6 +16,7 @@ from mnemo.operators.ranking import search_scored
 from mnemo.plans.retrieve import apply_budget, memory_block, merge, retrieve
 
 NOTHING_FOUND = "_no memory matched this prompt_"
+PACK_VERSION = "2"  # shape of the pack: grows when its columns change
 
 
 def _of_kind(items: Column, kind: str) -> Column:
@@ -132,15 +133,28 @@ def _tier0(rules: Rules) -> Column:
     )
 
 
+def _tier0_record(rules: Rules) -> Column:
+    """Tier 0 as data: what the digest's first section states."""
+    who = rules.identity
+    return F.struct(
+        F.lit(who.final_authority).alias("final_authority"),
+        F.lit(who.approval_policy).alias("approval_policy"),
+        F.col("resolved_project").alias("active_project"),
+        t.strings(list(who.operating_rules)).alias("operating_rules"),
+    )
+
+
 def _provenance(entry: Column, kind: str | None) -> Column:
     """One provenance record; ``entry`` is a merged item or a structured hit."""
     return F.struct(
         entry["item_id"].alias("memory_id"),
         (entry["kind"] if kind is None else F.lit(kind)).alias("type"),
         F.coalesce(entry["status"], F.lit("approved")).alias("status"),
-        F.coalesce(entry["source_type"], entry["source"], F.lit("conversation"))
+        F.coalesce(F.nullif(entry["source_type"], F.lit("")), F.nullif(entry["source"], F.lit("")),
+                   F.lit("conversation"))
         .alias("source_type"),
-        entry["source"].alias("source_id"), entry["confidence"].alias("confidence"),
+        F.coalesce(F.nullif(entry["source_id"], F.lit("")), entry["source"]).alias("source_id"),
+        to_iso(entry["ts"]).alias("created_at"), entry["confidence"].alias("confidence"),
         entry["score"].alias("score"),
     )
 
@@ -148,13 +162,14 @@ def _provenance(entry: Column, kind: str | None) -> Column:
 def build_context(
     requests: DataFrame, knowledge: DataFrame, edges: DataFrame, embedder=None,
     docs: DataFrame | None = None, rules: Rules = DEFAULT_RULES, title: str = "Context Digest",
+    stage=None,
 ) -> DataFrame:
     """The full pack per request: config first, then decisions, tasks and memory.
 
     ``requests`` is (prompt_id, text, project_hint, active_workspace,
     token_budget). Retrieval sees the request's project and global rows;
     decisions and tasks are strictly the project's own. Older conversations are
-    not included and are left to search.
+    not included and are left to search. ``stage`` as in ``retrieve``.
     """
     embedder = embedder or HashedEmbedder(rules)
     knowledge = _complete(knowledge)
@@ -164,7 +179,8 @@ def build_context(
     })
     if "embedding" not in asked.columns:
         asked = embed(asked, "text", embedder)
-    found = retrieve(asked, knowledge, edges, embedder, docs, rules)
+    asked = asked if stage is None else stage(asked, "asked")
+    found = retrieve(asked, knowledge, edges, embedder, docs, rules, stage=stage)
     packed = apply_budget(merge(found, rules), asked, rules).drop("budget_chars")
     decisions = structured(asked, knowledge, "decision", "approved", embedder)
     tasks = structured(asked, knowledge, "task", "proposed", embedder)
@@ -206,7 +222,10 @@ def build_context(
         lambda r: r.isNotNull(),
     )
     return out.select(
-        "prompt_id", "resolved_project", markdown.alias("context_markdown"),
+        "prompt_id", "resolved_project",
+        F.array_compact(F.array("resolved_project")).alias("active_projects"),
+        _tier0_record(rules).alias("tier0"), F.lit(PACK_VERSION).alias("version"),
+        markdown.alias("context_markdown"),
         F.length(markdown).alias("context_chars"),
         F.col("budget_chars").alias("memory_char_budget"),
         _of_kind(F.col("items"), "knowledge").alias("relevant_knowledge"),

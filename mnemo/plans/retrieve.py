@@ -69,6 +69,7 @@ def retrieve(
     rules: Rules = DEFAULT_RULES,
     scope: str = "global",
     check: bool = True,
+    stage=None,
 ) -> Retrieved:
     """Ranked knowledge and experience per prompt.
 
@@ -76,7 +77,9 @@ def retrieve(
     already known, ``embedding``. One scan per table ranks the global pool and
     every axis pool. The global pool is as deep as unrouted retrieval, so
     routing never loses recall. With ``docs`` a prompt without any edge is
-    answered by a line search for its longest token.
+    answered by a line search for its longest token. Pass ``stage``
+    (``sources.tables.stage``) so that the routed prompts and the ranked edges, which
+    several parts read, are computed once.
     """
     embedder = embedder or HashedEmbedder(rules)
     identity = identity_of(embedder)
@@ -85,6 +88,8 @@ def retrieve(
     routed = route(prompts, rules)
     if "embedding" not in routed.columns:
         routed = embed(routed, "text", embedder)
+    if stage is not None:
+        routed = stage(routed, "routed")
     pools = Scope(project=scope if "project" in prompts.columns else "", axes=True)
     payload = [c for c in KNOWLEDGE_PAYLOAD if c in knowledge.columns]
     edge_payload = [c for c in EDGE_PAYLOAD if c in edges.columns]
@@ -108,8 +113,11 @@ def retrieve(
     experience = blend(pooled(linked, rules.graph_top_k), routed, "edge_id",
                        rules.graph_top_k, rules.axis_boost)
     lines = None
+    if stage is not None and docs is not None:
+        experience = stage(experience, "experience")
     if docs is not None:
-        lines = fallback_lines(prompts, experience, docs, rules)
+        lines = fallback_lines(routed.select("prompt_id", "text"), experience, docs, rules)
+        lines = lines if stage is None else stage(lines, "lines")
     return Retrieved(routed, memories, experience, lines)
 
 
@@ -139,8 +147,9 @@ def merge(found: Retrieved, rules: Rules = DEFAULT_RULES) -> DataFrame:
         )
 
     def provenance(df):
-        return [column(df, "source"), column(df, "source_type"), column(df, "status"),
-                column(df, "project"), column(df, "confidence", "double")]
+        return [column(df, "source"), column(df, "source_type"), column(df, "source_id"),
+                column(df, "ts", "timestamp"), column(df, "status"), column(df, "project"),
+                column(df, "confidence", "double")]
 
     none = F.lit(None).cast("struct<src:string,rel:string,dst:string>")
     k, e = found.knowledge, found.experience
@@ -178,10 +187,11 @@ def apply_budget(items: DataFrame, limits: DataFrame | None = None,
     still fit. ``limits`` is (prompt_id, budget_chars). Lists are at most
     ``merged_max_items`` long, so the fold runs inside one row.
     """
-    w_items = items.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "kind", "item_id", "text", "score", "source", "source_type", "status",
-        "project", "confidence", "relation",
-    ))).alias("items"))
+    # Whatever travels with an item is kept; the rank leads, so the list sorts by it.
+    carried = ["rank", *[c for c in items.columns if c not in ("prompt_id", "rank", "section", "pos")]]
+    w_items = items.groupBy("prompt_id").agg(
+        F.array_sort(F.collect_list(F.struct(*carried))).alias("items")
+    )
     cap = F.lit(rules.memory_char_limit)
     if limits is not None:
         w_items = w_items.join(limits.select("prompt_id", "budget_chars"), "prompt_id", "left")
