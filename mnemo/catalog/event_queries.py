@@ -15,6 +15,7 @@ from mnemo.operators.ledger import (
 from mnemo.operators.upsert import upsert_knowledge
 from mnemo.plans.approvals import apply_approvals
 from mnemo.plans.fanout import artefact_rows, event_counts, memory_rows
+from mnemo.sources.tables import stage
 from mnemo.sources.events import coerced_decisions, event_rows, parse_events, split_events
 
 # One event per conversation turn: the turn is its decision (a self-assigned
@@ -48,24 +49,27 @@ def _lines(spark, sf):
         )).alias("artefacts"),
     )
     line = F.to_json(event)
+    n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
     broken = (
-        F.when(F.length("text") < 30, F.substring(line, 1, 25))
-        .when(F.length("text") < 60, F.lit('{"request_id": 7}'))
-        .when(F.length("text") < 80, F.lit('{"request_id": "x", "status": "odd"}'))
-        .when(F.length("text") < 100, F.lit('{"request_id": "x", "decisions": [{"text": "a", "status": "maybe"}]}'))
-        .when(F.length("text") < 120, F.lit('{"request_id": "x", "lessons": ["a"]}'))
-        .when(F.length("text") < 140, F.lit('{"request_id": "x", "timestamp": [1]}'))
+        F.when(n == 0, F.substring(line, 1, 25))
+        .when(n == 1, F.lit('{"request_id": 7}'))
+        .when(n == 2, F.lit('{"request_id": "x", "status": "odd"}'))
+        .when(n == 3, F.lit('{"request_id": "x", "decisions": [{"text": "a", "status": "maybe"}]}'))
+        .when(n == 4, F.lit('{"request_id": "x", "lessons": ["a"]}'))
+        .otherwise(F.lit('{"request_id": "x", "timestamp": [1]}'))
     )
-    return c.select("conv_id", "turn", F.coalesce(broken, line).alias("value"))
+    beside = c.filter(role == "system").select("conv_id", (-1 - F.col("turn")).alias("turn"), broken.alias("value"))
+    return c.select("conv_id", "turn", line.alias("value")).unionByName(beside)
 
 
+# Every turn is a good line; beside each system turn stands a broken one, numbered below zero.
 _ERRORS_SQL = """
-checked AS (SELECT *, conv_id || '-' || turn AS k,
-  CASE WHEN n < 30 THEN 'not_json' WHEN n < 60 THEN 'not_a_string' WHEN n < 80 THEN 'unknown_status'
-    WHEN n < 100 THEN 'unknown_status' WHEN n < 120 THEN 'not_an_object' WHEN n < 140 THEN 'not_a_string' END AS error_code,
-  CASE WHEN n < 30 THEN NULL WHEN n < 60 THEN 'request_id' WHEN n < 80 THEN 'status'
-    WHEN n < 100 THEN 'decisions' WHEN n < 120 THEN 'lessons' WHEN n < 140 THEN 'timestamp' END AS error_field
-  FROM (SELECT *, length(text) AS n FROM conversations))"""
+checked AS (SELECT conv_id, turn, role, text, conv_id || '-' || turn AS k, NULL AS error_code, NULL AS error_field
+  FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, role, NULL, NULL,
+    ['not_json', 'not_a_string', 'unknown_status', 'unknown_status', 'not_an_object', 'not_a_string'][n + 1],
+    [NULL, 'request_id', 'status', 'decisions', 'lessons', 'timestamp'][n + 1]
+  FROM (SELECT *, (conv_id + turn) % 6 AS n FROM conversations WHERE role = 'system'))"""
 
 
 @query("event_validate", f"WITH {_ERRORS_SQL} SELECT conv_id, turn, error_code, error_field FROM checked")
@@ -102,8 +106,9 @@ judged AS (SELECT *, row_number() OVER (PARTITION BY k, text ORDER BY item) = 1
 
 
 def _memory(spark, sf):
-    events = _valid(spark, sf)
-    rows = memory_rows(events, ["conv_id", "turn"], DATA_RULES)
+    # As in ``ingest_events``: the lines are parsed and tagged once for all that reads them.
+    events = stage(_valid(spark, sf), "events")
+    rows = stage(memory_rows(events, ["conv_id", "turn"], DATA_RULES), "rows")
     return events, *upsert_knowledge(rows, None, ["conv_id", "turn", "item"])
 
 

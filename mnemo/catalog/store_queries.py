@@ -97,17 +97,22 @@ def filtered_sessions(spark, sf):
 
 def _labelled(spark, sf):
     messages, sessions = _sessions(spark, sf)
-    blanked = messages.withColumns({
-        "role": F.when(F.col("role") == "user", " User ").when(F.length("content") > 400, None)
-        .otherwise(F.col("role")),
-        "content": F.when(F.length("content") < 60, " \n\t").otherwise(F.col("content")),
+    spaced = messages.withColumn("role", F.when(F.col("role") == "user", " User ").otherwise(F.col("role")))
+    # Beside every system turn stands a blank message, beside every assistant's one without a role.
+    blank = spaced.filter("role = 'system'").withColumns({
+        "id": -1 - F.col("id"), "role": F.lit("assistant"), "content": F.lit(" \n\t"),
     })
+    nameless = spaced.filter("role = 'assistant'").withColumns({
+        "id": -1 - F.col("id"), "role": F.lit(None).cast("string"),
+    })
+    blanked = spaced.unionByName(blank).unionByName(nameless)
     return label_messages(session_messages(blanked, sessions), skip_roles=["system"])
 
 
 _LABEL_SQL = _SESSION_SQL + f""",
-labelled AS (SELECT *, CASE WHEN role0 = 'user' THEN 'user' WHEN length(text) > 400 THEN 'unknown'
-    ELSE role0 END AS role, CASE WHEN length(text) < 60 THEN '' ELSE {sql_strip('text')} END AS content FROM joined),
+labelled AS (SELECT *, role0 AS role, {sql_strip('text')} AS content FROM joined
+  UNION ALL SELECT * REPLACE (-1 - id AS id), 'assistant', '' FROM joined WHERE role0 = 'system'
+  UNION ALL SELECT * REPLACE (-1 - id AS id), 'unknown', {sql_strip('text')} FROM joined WHERE role0 = 'assistant'),
 outcomes AS (SELECT *, CASE WHEN role = 'system' THEN 'skipped_tool' WHEN content = '' THEN 'skipped_empty'
     ELSE 'written' END AS outcome FROM labelled)"""
 
