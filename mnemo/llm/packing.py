@@ -42,6 +42,8 @@ class PackConfig:
     sparse: int = 64
     #: Tokens cut at a time; the last, open sequence moves on to the next.
     buffer: int = 1 << 20
+    #: Entries of a worker's word caches; a full cache is emptied, which costs time only.
+    cache: int = 300_000
 
 
 #: Words that fall apart into the tokenizer's own pieces by this pattern: no apostrophe, no letter
@@ -49,8 +51,6 @@ class PackConfig:
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _SENTENCE = (".", "!", "?")
-#: Entries of the word caches; a full cache is emptied, which costs time only.
-_CACHE = 120_000
 
 
 class WordTokens:
@@ -61,9 +61,10 @@ class WordTokens:
     recur far more often.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = PackConfig.cache):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.cache = cache
         self.full = Tokenizer.from_file(path)
         # The same model, without what plain words do not need.
         self.bare = Tokenizer(self.full.model)
@@ -80,11 +81,11 @@ class WordTokens:
         return [ids[s:t].tobytes() for s, t in zip(starts.tolist(), ends.tolist())]
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > _CACHE:
+        if len(self.words) > self.cache:
             self.words.clear()
         new = [w for w in words if w not in self.words]
         cut = {w: _PIECES.findall(w.lower()) for w in new if _PLAIN.fullmatch(w)}
-        if len(self.pieces) > _CACHE:
+        if len(self.pieces) > self.cache:
             self.pieces.clear()
         missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
         for at in range(0, len(missing), 5_000):
@@ -99,14 +100,15 @@ class WordTokens:
         return [self.words[w] for w in words]
 
 
-_loaded: dict[str, WordTokens] = {}
+_loaded: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, cache: int) -> WordTokens:
     """One per worker process, which serves many tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    key = (path, cache)
+    if key not in _loaded:
+        _loaded[key] = WordTokens(path, cache)
+    return _loaded[key]
 
 
 def encode(texts: pa.Array, tokens: WordTokens, config: PackConfig):
@@ -260,7 +262,7 @@ def pack(docs: DataFrame, config: PackConfig) -> DataFrame:
     its own. Sequence ids are unique over the partitions, not consecutive.
     """
     def run(batches):
-        tokens = word_tokens(config.tokenizer)
+        tokens = word_tokens(config.tokenizer, config.cache)
         stream = Stream(config, TaskContext.get().partitionId() << 40)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
