@@ -2,14 +2,15 @@
 
 A tree gives each vector a long string of hash symbols: the nearest of the signed axes of one
 random rotation per symbol. The strings of a tree, sorted, are its array; rows that share a prefix
-of any length lie together. A query descends to its place in every array, takes the rows around it
-with the length of their common prefix, and ascends in all trees at once: the longest prefixes
-first, a whole level at a time, until enough candidates are found. Candidates are ranked by exact
-double cosine on the original vectors.
+of any length lie together. The sizes of all prefix groups are counted first. A query ascends in
+all trees at once, the longest prefixes first, until a level has enough candidates; then its group
+of that level is read whole in every array, however many blocks it covers. Candidates are ranked
+by exact double cosine on the original vectors.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,17 +24,21 @@ from mnemo.sources.tables import stage
 @dataclass(frozen=True)
 class ForestConfig:
     trees: int = 48
-    symbols: int = 3
-    #: Rows of the sorted array that a query can reach on either side.
-    reach: int = 1024
-    #: Candidates, counted over all trees, after which the ascent stops at a whole level.
+    #: Symbols of a string, or as many as fit a long.
+    symbols: int = 8
+    #: The ascent stops at the first level whose groups, over all trees, have this many rows ...
     enough: int = 16_384
+    #: ... and this share of all distinct vectors, so recall does not fall as the table grows.
+    share: float = 1 / 3
     #: Rows of an array that are read together.
     block: int = 8192
-    #: Candidates per level and tree that go on to the exact ranking, besides the k + 1 wanted.
+    #: Candidates per block and tree that go on to the exact ranking, besides the k + 1 wanted.
     spare: int = 6
     seed: int = 3
 
+    def length(self, dim: int) -> int:
+        return max(1, min(self.symbols, 62 // (2 * dim - 1).bit_length()))
+
 
 def clean(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) whose vectors can be compared: finite, not zero, ids not null."""
@@ -47,7 +52,8 @@ def _strings(dim: int, config: ForestConfig):
     """(cid, embedding) to a row per tree: hash string as one number, and the vector in bytes."""
     def run(batches):
         rng = np.random.default_rng(config.seed)
-        turns = [rng.standard_normal((dim, dim)).astype(np.float32) for _ in range(config.trees * config.symbols)]
+        symbols = config.length(dim)
+        turns = [rng.standard_normal((dim, dim)).astype(np.float32) for _ in range(config.trees * symbols)]
         base = 2 * dim
         for whole in batches:
             for at in range(0, len(whole), 2048):
@@ -55,12 +61,13 @@ def _strings(dim: int, config: ForestConfig):
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x = x / np.abs(x).max(1, keepdims=True)
                 unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                small = np.round(unit * (127 / np.abs(unit).max(1, keepdims=True))).astype(np.int8)
+                # Two bytes a component: one is too coarse to rank a cluster of close vectors.
+                small = np.round(unit * (32767 / np.abs(unit).max(1, keepdims=True))).astype(np.int16)
                 blobs = pa.array([r.tobytes() for r in small], pa.binary())
                 for tree in range(config.trees):
                     code = np.zeros(len(unit), np.int64)
-                    for s in range(config.symbols):
-                        y = unit @ turns[tree * config.symbols + s]
+                    for s in range(symbols):
+                        y = unit @ turns[tree * symbols + s]
                         axis = np.abs(y).argmax(1)
                         code = code * base + axis * 2 + (y[np.arange(len(y)), axis] > 0)
                     yield pa.RecordBatch.from_arrays(
@@ -71,39 +78,27 @@ def _strings(dim: int, config: ForestConfig):
     return run
 
 
-def _ascend(dim: int, k: int, config: ForestConfig):
-    """One block of a tree's array, with the queries that reach into it, to candidates per level."""
-    base, keep = 2 * dim, k + config.spare
+def _read(dim: int, k: int, config: ForestConfig):
+    """One block of a tree's array, with the queries whose groups reach into it, to candidates."""
+    keep = k + 1 + config.spare
 
     def run(table: pa.Table) -> pa.Table:
-        place, code, cid = (table[x].to_numpy() for x in ("rank", "code", "cid"))
+        place, cid, low, high = (table[x].to_numpy() for x in ("rank", "cid", "low", "high"))
         asks = table["asks"].to_numpy()
-        x = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+        x = np.frombuffer(b"".join(table["small"].to_pylist()), np.int16).reshape(-1, dim).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         rows = np.flatnonzero(~asks)
         rows = rows[np.argsort(place[rows], kind="stable")]
-        places, codes, ids, xs = place[rows], code[rows], cid[rows], x[rows]
-        powers = np.array([base ** i for i in range(config.symbols, -1, -1)], np.int64)
-        out: list[list] = [[], [], [], []]
+        places, ids, xs = place[rows], cid[rows], x[rows]
+        query, found = [], []
         for q in np.flatnonzero(asks).tolist():
-            lo = int(np.searchsorted(places, place[q] - config.reach, "left"))
-            hi = int(np.searchsorted(places, place[q] + config.reach, "right"))
-            if lo == hi:
-                continue
-            # Symbols in common from the left: 0 to all of them.
-            level = (codes[lo:hi, None] // powers[None, 1:] == code[q] // powers[1:]).sum(1)
+            lo = int(np.searchsorted(places, low[q], "left"))
+            hi = int(np.searchsorted(places, high[q], "right"))
             near = xs[lo:hi] @ x[q]
-            for depth in np.unique(level).tolist():
-                at = np.flatnonzero(level == depth)
-                n = len(at)
-                if n > keep:
-                    at = at[np.argpartition(-near[at], keep)[:keep]]
-                out[0].append(int(cid[q]))
-                out[1].append(depth)
-                out[2].append(n)
-                out[3].append(ids[lo:hi][at].tolist())
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=["query", "depth", "n", "found"])
+            at = np.argpartition(-near, keep)[:keep] if hi - lo > keep else np.arange(hi - lo)
+            query.append(int(cid[q]))
+            found.append(ids[lo:hi][at].tolist())
+        return pa.table([pa.array(query, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["query", "found"])
 
     return run
 
@@ -136,18 +131,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, config: ForestConfig
         _strings(dim, config), "tree int, code long, cid long, small binary"
     )
     index = ranked(strings, "tree", "code", "cid")
+    total = classes.count()
+    enough, symbols = max(config.enough, math.ceil(config.share * total)), config.length(dim)
+    # Every prefix group's size and first place; depth 0 is the whole array.
+    shared = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.expr(f"code div {(2 * dim) ** (symbols - d)}L").alias("prefix"))
+        for d in range(1, symbols + 1)
+    ]))
+    groups = index.select("tree", "rank", shared.alias("g")).select("tree", "rank", "g.*")
+    groups = groups.groupBy("tree", "depth", "prefix").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
     ask = index.join(asked.select("cid").distinct(), "cid", "left_semi")
-    block = lambda shift: F.floor((F.col("rank") + shift) / config.block)
-    rows = index.withColumn("asks", F.lit(False)).withColumn("block", block(0))
-    ask = ask.withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(block(-config.reach), block(config.reach))))
-    found = rows.unionByName(ask).groupBy("tree", "block").applyInArrow(
-        _ascend(dim, k, config), "query long, depth int, n long, found array<long>"
+    own = ask.select("cid", "tree", shared.alias("g")).select("cid", "tree", "g.*")
+    own = stage(own.join(groups, ["tree", "depth", "prefix"]).select("cid", "tree", "depth", "low", "high"), "own")
+    levels = own.groupBy("cid", "depth").agg(F.sum(F.col("high") - F.col("low") + 1).alias("n"))
+    stop = levels.groupBy("cid").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("depth"))), F.lit(0)).alias("depth"))
+    # At depth 0 all trees hold the same rows, so the first is read alone.
+    top = stop.filter("depth = 0").select("cid", F.lit(0).alias("tree"))
+    ends = index.filter("tree = 0").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    wanted = own.join(stop, ["cid", "depth"]).select("cid", "tree", "low", "high").unionByName(
+        top.crossJoin(ends)
+    )
+    wanted = wanted.join(ask.select("cid", "tree", "small"), ["cid", "tree"])
+    block = lambda c: F.floor(F.col(c) / config.block)
+    none = F.lit(None).cast("long")
+    rows = index.select("tree", "rank", "cid", "small", none.alias("low"), none.alias("high"), F.lit(False).alias("asks"), block("rank").alias("block"))
+    wanted = wanted.select(
+        "tree", F.lit(-1).cast("long").alias("rank"), "cid", "small", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"),
+        F.lit(True).alias("asks"), F.explode(F.sequence(block("low"), block("high"))).alias("block"),
+    )
+    found = rows.withColumn("rank", F.col("rank").cast("long")).unionByName(wanted).groupBy("tree", "block").applyInArrow(
+        _read(dim, k, config), "query long, found array<long>"
     )
-    # A level is taken whole if the deeper ones do not have enough.
-    levels = found.groupBy("query", "depth").agg(F.sum("n").alias("n"))
-    deeper = F.coalesce(F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stop = levels.withColumn("deeper", deeper).filter(F.col("deeper") < config.enough).select("query", "depth")
-    pairs = found.join(stop, ["query", "depth"]).select("query", F.explode("found").alias("cid")).distinct()
+    pairs = found.select("query", F.explode("found").alias("cid")).distinct()
 
     a = classes.select(F.col("cid").alias("query"), F.col("embedding").alias("x"))
     b = classes.select("cid", F.col("embedding").alias("y"), "ids")

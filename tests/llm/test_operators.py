@@ -256,6 +256,25 @@ def test_searches(spark, n):
     assert hamming.search(codes.limit(0), codes, 5).count() == 0
 
 
+def test_neighbours_in_a_tight_cluster(spark):
+    """Two thirds of the rows lie close together: more than any window of places around a query."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 16))
+    x[rng.permutation(6000)[:4000]] = x[0] + rng.standard_normal((4000, 16)) * 0.01
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    got = {}
+    for r in neighbours.search(vectors, vectors.filter("vec_id % 200 = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 6000, 200):
+        near = u @ u[q]
+        near[q] = -2
+        hits += len(got[q] & set(np.argsort(-near)[:5].tolist()))
+        total += 5
+    assert hits >= 0.97 * total, hits / total
+
+
 def test_licenses(spark, docs):
     mit, gpl = licenses.NOTICES["MIT"], licenses.NOTICES["GPL-3.0"]
     rows = [(1, f"a {mit} b {mit}"), (2, f"{gpl}\nwork the is under"), (3, "the license is under version"), (4, None), (5, "x " * 5000 + mit)]
