@@ -103,6 +103,43 @@ def test_forest_links_what_pairs_link():
     assert groups(simhash.forest(prints)) == groups(near)
 
 
+def test_near_copies_stage(spark, docs):
+    """Edited copies around similarity 0.8, against all pairs of five-word shingle sets."""
+    from mnemo.llm.stages import drop_near_copies
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{x}" for x in rng.integers(0, 500, 200)]
+        texts.append(" ".join(base))
+        for edits in (0, 1, 2, 3, 4, 5, 6, 8):
+            w = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                w[at] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(w))
+    rows = [(100 + i, t) for i, t in enumerate(texts)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    rows += [t[:2] for t in TEXTS]
+    sets = []
+    for _, t in rows:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = []
+    for r in set(root):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == r]
+        least = min((x for x in ids if x is not None), default=None)
+        want += [x for x in ids if x == least]
+    # All rows of a kept id stay, as before.
+    want = [r[0] for r in rows if r[0] in want]
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in drop_near_copies(spark, data, "").collect())
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS)
