@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mnemo.llm import (
-    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality, simhash,
+    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality, resampling, simhash,
     substring,
 )
 from mnemo.llm.common import held_out, load
@@ -109,3 +109,43 @@ def op4_licenses(spark, sf) -> DataFrame:
     return found.select(
         "doc_id", F.size("hits").cast("long").alias("n_hits"), F.try_element_at(best, F.lit(1)).alias("best")
     ).select("doc_id", "n_hits", "best.license", "best.coverage", "best.start", "best.length")
+
+
+@query
+def op11_resampling(spark, sf) -> DataFrame:
+    return resampling.resample(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
+#: CRC-32 of a feature's bytes, one table step a byte; the table follows from the polynomial.
+SQL["op11_resampling"] = r"""
+WITH steps AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+texts AS (
+  SELECT true AS doc, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+cut AS (SELECT doc, row, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM texts),
+runs AS (SELECT doc, row, unnest(list_concat(w, list_transform(range(1, len(w)),
+    lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM cut),
+tally AS (SELECT doc, row, f, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT f, xor(4294967295, list_reduce(list_transform(range(strlen(f)),
+      lambda i: ('0x' || substr(hex(f), (2 * i + 1)::INT, 2))::BIGINT),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM tally), steps),
+held AS (SELECT bucket, sum(n) FILTER (doc) AS s, sum(n) FILTER (NOT doc) AS t
+  FROM tally JOIN hashed USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s::DOUBLE + 10000)
+    / ((coalesce(s, 0)::DOUBLE + 1) * (all_t::DOUBLE + 10000))))::BIGINT AS g
+  FROM held, (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM held)),
+mean AS (SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n))::BIGINT AS weight
+  FROM tally JOIN hashed USING (f) JOIN gain USING (bucket) WHERE doc GROUP BY row),
+scored AS (SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM cut LEFT JOIN mean USING (row) WHERE doc),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank,
+    count(*) OVER () * 25 // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (row)"""
