@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from mnemo.llm import (
-    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality, resampling, simhash,
-    substring,
+    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality,
+    resampling, simhash, substring, turns,
 )
 from mnemo.llm.common import held_out, load
 
@@ -149,3 +151,68 @@ placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST
     count(*) OVER () * 25 // 100 AS drawn FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank
 FROM scored LEFT JOIN placed USING (row)"""
+
+
+@query
+def op12_turns(spark, sf) -> DataFrame:
+    given = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = turns.digest(turns.repair(turns.damage(given)))
+    ids = given.select(F.col("conv_id").alias("id")).distinct()
+    zeros = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    none = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    whole = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *zeros, *none
+    )
+    return whole.fillna(0, zeros).fillna(none)
+
+
+#: The plain recurrence: for each turn and state the least (cost, audit), nothing forgotten.
+SQL["op12_turns"] = r"""
+WITH RECURSIVE steps AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ways AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(strlen(k)),
+      lambda i: ord(substr(k, (i + 1)::INT, 1))::BIGINT),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) % 20 AS way FROM keyed, steps),
+damaged AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE way WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM ways WHERE way <> 0),
+laid AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM damaged),
+marked AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY pos) || left(role, 1) AS pair FROM laid),
+walk(p, q, ins, lines) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []),
+  (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+  (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+move(q, edit, s) AS (VALUES (0, 'D', 0), (1, 'D', 1), (2, 'D', 2), (3, 'D', 3), (0, 'K', 1), (0, 'K', 2),
+  (1, 'K', 2), (3, 'K', 2), (2, 'K', 3), (0, 'R', 2), (1, 'R', 2), (3, 'R', 2), (2, 'R', 3)),
+best AS (
+  SELECT DISTINCT c, 0::BIGINT AS pos, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS b FROM laid
+  UNION ALL
+  SELECT m.c, m.pos, move.s, min({
+    'cost': b.cost + 5 * len(ins) + CASE edit WHEN 'K' THEN 0 WHEN 'R' THEN 1 ELSE 2 END
+      + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END,
+    'audit': b.audit || ins || edit,
+    'lines': b.lines || walk.lines || CASE edit WHEN 'K' THEN [role || ':' || text]
+      WHEN 'R' THEN [CASE move.s WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] ELSE []::VARCHAR[] END})
+  FROM best JOIN marked m ON m.c = best.c AND m.pos = best.pos + 1 JOIN walk ON walk.p = best.s JOIN move ON move.q = walk.q
+  WHERE (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+    AND (edit <> 'K' OR left(role, 1) = ['s', 'u', 'a'][move.s])
+  GROUP BY m.c, m.pos, move.s),
+sums AS (SELECT c, any_value(conv_id) AS conv_id, max(pos) AS n,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY c),
+ended AS (SELECT best.c, min({'cost': b.cost + 5 * len(ins), 'audit': b.audit || ins, 'lines': b.lines || walk.lines}) AS e
+  FROM best JOIN sums ON sums.c = best.c AND best.pos = sums.n JOIN walk ON walk.p = best.s AND walk.q IN (0, 3) GROUP BY best.c)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.cost, 0) AS cost,
+  coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN sums ON i.conv_id IS NOT DISTINCT FROM sums.conv_id
+LEFT JOIN ended USING (c)"""
