@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, functions as F
 
 from mnemo.llm import (
-    hamming, language, licenses, mixing, neighbours, packing, perplexity, quality,
+    hamming, language, licenses, mixing, neighbours, packing, perplexity, private, quality,
     resampling, simhash, substring, turns,
 )
 from mnemo.llm.common import held_out, load
@@ -216,3 +216,17 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN sums ON i.conv_id IS NOT DISTINCT FROM sums.conv_id
 LEFT JOIN ended USING (c)"""
+
+
+@query
+def op13_private(spark, sf) -> DataFrame:
+    found = private.extract(load(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(private.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(private.joined(base).cast("binary"), 256).alias("base_sha256"),
+        private.joined(F.col("spans")).alias("spans"),
+    )
