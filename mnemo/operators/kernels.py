@@ -66,169 +66,3 @@ def every_row_kernel() -> Kernel:
         lambda probes: probes.num_rows,
         lambda n, rows: (rows, np.full((n, rows.num_rows), UNSCORED)),
     )
-
-
-def overlap_kernel() -> Kernel:
-    """Share of a probe's ``tokens`` found in a row's ``tokens``.
-
-    A token found whole counts 1; one of four or more characters found inside a
-    row token counts one half.
-    """
-
-    def prepare(probes: pa.Table):
-        lists = [list(dict.fromkeys(t or ())) for t in probes.column("tokens").to_pylist()]
-        vocab: dict[str, int] = {}
-        owners: list[list[int]] = []
-        for i, toks in enumerate(lists):
-            for t in toks:
-                at = vocab.setdefault(t, len(vocab))
-                if at == len(owners):
-                    owners.append([])
-                owners[at].append(i)
-        sizes = np.array([len(o) for o in owners], dtype=np.int64)
-        return {
-            "vocab": vocab,
-            "long": [(t, i) for t, i in vocab.items() if len(t) >= 4],
-            "n": len(lists),
-            "lengths": np.array([max(len(t), 1) for t in lists], dtype=float),
-            "owner_start": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
-            "owners": np.array([p for o in owners for p in o], dtype=np.int64),
-            "memo": {},
-        }
-
-    def matches(state, words: list[str]) -> None:
-        """Fill the memo: row token -> [(probe token, credit)]."""
-        memo = state["memo"]
-        if len(memo) > 500_000:
-            memo.clear()
-        fresh = [w for w in words if w not in memo]
-        if not fresh:
-            return
-        hits: list[list[tuple[int, float]]] = [[] for _ in fresh]
-        # One scan per probe token over all new words at once.
-        joined = "\n".join(fresh)
-        starts = np.cumsum([0] + [len(w) + 1 for w in fresh])
-        for token, i in state["long"]:
-            at = joined.find(token)
-            while at >= 0:
-                word = int(np.searchsorted(starts, at, "right")) - 1
-                if fresh[word] != token:
-                    hits[word].append((i, 0.5))
-                at = joined.find(token, int(starts[word + 1]))
-        for w, found in zip(fresh, hits):
-            i = state["vocab"].get(w)
-            if i is not None:
-                found.append((i, 1.0))
-            memo[w] = found
-
-    def score(state, rows: pa.Table):
-        n, e = state["n"], rows.num_rows
-        out = np.full((n, e), -np.inf)
-        lists = rows.column("tokens").combine_chunks()
-        flat = lists.flatten()
-        if not len(flat) or not len(state["owners"]):
-            return rows, out
-        encoded = flat.dictionary_encode()
-        words = encoded.dictionary.to_pylist()
-        matches(state, words)
-        found = [state["memo"][w] for w in words]
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
-        if not sizes.sum():
-            return rows, out
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        probe_token = np.array([i for f in found for i, _ in f], dtype=np.int64)
-        credit = np.array([c for f in found for _, c in f])
-        codes = encoded.indices.to_numpy()
-        row = np.repeat(np.arange(e), np.diff(lists.offsets.to_numpy()))
-        count = sizes[codes]
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(starts[codes], count) + offset
-        pair = probe_token[at] * e + np.repeat(row, count)
-        # The best credit of a probe token within one row counts, once.
-        best_first = np.lexsort((-credit[at], pair))
-        pair, gain = pair[best_first], credit[at][best_first]
-        keep = np.ones(len(pair), dtype=bool)
-        keep[1:] = pair[1:] != pair[:-1]
-        pair, gain = pair[keep], gain[keep]
-        token, row = pair // e, pair % e
-        # Pay each probe token out to the probes that hold it, in bounded steps.
-        span = np.diff(state["owner_start"])[token]
-        total = np.zeros(n * e)
-        edges = np.searchsorted(
-            np.cumsum(span), np.arange(0, span.sum() + 4_000_000, 4_000_000), "right"
-        )
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            c = span[lo:hi]
-            offset = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            owner = state["owners"][np.repeat(state["owner_start"][token[lo:hi]], c) + offset]
-            cell = owner * e + np.repeat(row[lo:hi], c)
-            total += np.bincount(cell, np.repeat(gain[lo:hi], c), minlength=n * e)
-        total = total.reshape(n, e) / state["lengths"][:, None]
-        return rows, np.where(total > 0, total, -np.inf)
-
-    return Kernel(prepare, score)
-
-
-def substring_kernel(*columns: str) -> Kernel:
-    """1 when the probe's lower-cased ``needle`` occurs in any of the given columns."""
-
-    def prepare(probes: pa.Table):
-        return [(n or "").lower() for n in probes.column("needle").to_pylist()]
-
-    def score(needles, rows: pa.Table):
-        out = np.full((len(needles), rows.num_rows), -np.inf)
-        for name in columns:
-            encoded = rows.column(name).combine_chunks().dictionary_encode()
-            words = [(w or "").lower() for w in encoded.dictionary.to_pylist()]
-            codes = encoded.indices.fill_null(-1).to_numpy()
-            for i, needle in enumerate(needles):
-                if needle:
-                    has = np.array([needle in w for w in words] + [False])
-                    out[i, has[codes]] = 1.0
-        return rows, out
-
-    return Kernel(prepare, score)
-
-
-def line_kernel(per_doc: int, snippet: int) -> Kernel:
-    """1 per line holding the ``needle``, for the first ``per_doc`` such lines of a document.
-
-    Takes documents (doc_id, text) and makes lines (doc_id, line, snippet).
-    """
-
-    def prepare(probes: pa.Table):
-        return [(n or "").lower() for n in probes.column("needle").to_pylist()]
-
-    def score(needles, rows: pa.Table):
-        at_doc, line_no, text, cells = [], [], [], []
-        for d, body in enumerate(rows.column("text").to_pylist()):
-            lowered = (body or "").lower()
-            present = [(p, n) for p, n in enumerate(needles) if n and n in lowered]
-            if not present:
-                continue
-            lines = body.split("\n")
-            low = [x.lower() for x in lines]
-            slots: dict[int, int] = {}
-            for p, needle in present:
-                left = per_doc
-                for i, line in enumerate(low):
-                    if left and needle in line:
-                        left -= 1
-                        slot = slots.get(i)
-                        if slot is None:
-                            slot = slots[i] = len(line_no)
-                            at_doc.append(d)
-                            line_no.append(i + 1)
-                            text.append(lines[i].strip()[:snippet])
-                        cells.append((p, slot))
-        out = np.full((len(needles), len(line_no)), -np.inf)
-        for p, slot in cells:
-            out[p, slot] = 1.0
-        made = pa.table({
-            "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(at_doc, pa.int64())),
-            "line": pa.array(line_no, pa.int64()),
-            "snippet": pa.array(text, pa.string()),
-        })
-        return made, out
-
-    return Kernel(prepare, score)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions.scalars import to_iso
 from mnemo.functions.text import edge_text, strip, token_set
-from mnemo.operators.kernels import (
-    cosine_kernel, every_row_kernel, line_kernel, overlap_kernel, substring_kernel,
-)
+from mnemo.operators.grams import holding
+from mnemo.operators.kernels import cosine_kernel, every_row_kernel
+from mnemo.operators.overlap import k_best, overlap, seen, with_payload
 from mnemo.operators.predicates import Filters, clamp_limit, same_identity, tagged, visible
 from mnemo.operators.probe import Scope, best_k
 
@@ -127,7 +126,6 @@ def graph_topk(
     scope: Scope = Scope(),
     payload: Sequence[str] = (),
     rules: Rules = DEFAULT_RULES,
-    max_probes: int | None = None,
 ) -> DataFrame:
     """Edges per prompt by token overlap with the prompt's ``text``.
 
@@ -136,15 +134,13 @@ def graph_topk(
     rows = edges.filter(visible()) if "status" in edges.columns else edges
     if experts:
         rows = rows.filter(tagged(experts))
-    rows = with_edge_tokens(rows, rules)
     need = ["project"] if scope.project else []
     need += ["experts"] if scope.axes else []
-    columns = list(dict.fromkeys(["edge_id", "tokens", *need, *payload]))
+    tokens = with_edge_tokens(rows, rules).select("edge_id", "tokens", *need)
     probes = prompts.withColumn("tokens", token_set(F.col("text"), rules))
-    return best_k(
-        _probe_columns(probes, scope, ["tokens"]), rows.select(*columns), overlap_kernel(), k,
-        ["edge_id"], payload, scope, max_probes=max_probes,
-    )
+    hits = overlap(_probe_columns(probes, scope, ["tokens"]), tokens, "edge_id", scope)
+    found = with_payload(k_best(hits, k, ["edge_id"]), rows, "edge_id", payload)
+    return found.select("prompt_id", "pool", "score", "edge_id", *[c for c in payload if c != "edge_id"], "rank")
 
 
 def related(
@@ -164,15 +160,18 @@ def related(
     if project:
         rows = rows.filter(F.col("project") == project)
     payload = _have(rows, payload)
-    need = ["project"] if scope.project else []
     order = _have(rows, ["ingested_at", "edge_id"])
-    columns = list(dict.fromkeys([*order, "src_label", "dst_label", *need, *payload]))
-    probes = entities.withColumn("needle", strip(F.col("entity")))
-    hits = best_k(
-        _probe_columns(probes, scope, ["needle"]), rows.select(*columns),
-        substring_kernel("src_label", "dst_label"), k, order, payload, scope,
+    columns = [*order, "src_label", "dst_label", *(["project"] if scope.project else [])]
+    probes = entities.select(
+        "prompt_id", strip(F.col("entity")).alias("needle"),
+        (F.col("project") if scope.project else F.lit(None)).alias("asked"),
     )
-    return hits.drop("pool", "score", *({"ingested_at"} - set(payload)))
+    hits = holding(probes, rows.select(*columns), ["src_label", "dst_label"])
+    if scope.project:
+        hits = hits.filter(seen(scope, F.col("asked"), F.col("project")))
+    best = k_best(hits.select("prompt_id", *order), k, order, ["prompt_id"])
+    found = with_payload(best, rows, "edge_id", payload)
+    return found.select("prompt_id", *payload, *[c for c in ("edge_id",) if c not in payload], "rank")
 
 
 def neighbors(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,12 +186,6 @@ def neighbors(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(back.join(wanted, back["dst_label"] == wanted["label"]))
 
 
-LINE_ROW = StructType([
-    StructField("line", LongType()),
-    StructField("snippet", StringType()),
-])
-
-
 def line_search(
     keywords: DataFrame, docs: DataFrame, per_doc: int = 20, k: int = 10, snippet: int = 200
 ) -> DataFrame:
@@ -202,12 +195,14 @@ def line_search(
     document, which is a feature of the report.
     """
     probes = keywords.select("prompt_id", strip(F.col("keyword")).alias("needle"))
-    made = StructType([docs.schema["doc_id"], *LINE_ROW.fields])
-    hits = best_k(
-        probes, docs.select("doc_id", "text"), line_kernel(per_doc, snippet), k,
-        ["doc_id", "line"], ["snippet"], row_schema=made,
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "body"))
+    lines = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "body")
+    hits = holding(probes, lines, ["body"]).select(
+        "prompt_id", "doc_id", "line", F.substring(strip(F.col("body")), 1, snippet).alias("snippet")
     )
-    return hits.drop("pool", "score")
+    if per_doc < k:  # else the first k lines never hold more of one document
+        hits = k_best(hits, per_doc, ["line"], ["prompt_id", "doc_id"])
+    return k_best(hits, k, ["doc_id", "line"], ["prompt_id"])
 
 
 def get_by_id(

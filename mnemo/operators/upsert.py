@@ -1,8 +1,9 @@
 """First-write-wins tables: append what is new, report what was refused.
 
 A batch may repeat one key in a third of its rows, so no key is ever gathered in
-one task: winners come from partial aggregation, and the verdict travels back to
-the rows on (key, salt).
+one task: a task passes on one row per key, winners come from partial aggregation,
+and the verdict travels back to the rows on (key, salt). Whole rows move only where
+they may be written; what is refused moves as its key and the start of its text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemo.functions.text import is_blank, strings, strip, topic_label
 from mnemo.config import DEFAULT_RULES, Rules
-from mnemo.schema import fingerprint, key_hash
+from mnemo.schema import fingerprint, key_hash, prefix
 
 SALTS = 64
 
@@ -26,22 +27,38 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def pruned(existing: DataFrame, keys_df: DataFrame, key: str) -> DataFrame:
+    """Of a table stored by key prefix (column ``prefix``) the folders that a batch's keys fall in.
+
+    There are 256 prefixes at most, so the driver may know those of a batch. Other tables are
+    returned as they are.
+    """
+    if "prefix" not in existing.columns:
+        return existing
+    held = [r[0] for r in keys_df.select(prefix(F.col(key))).distinct().collect()]
+    return existing.filter(F.col("prefix").isin(held))
+
+
 def known_keys(keys_df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of a (small) batch that a (big) table already holds.
 
     Read this way round the big table is only scanned, filtered by the batch's
     keys; an anti join against it would shuffle all of it.
     """
-    return existing.select(*keys).join(keys_df.select(*keys), list(keys), "left_semi").distinct()
+    held = pruned(existing, keys_df, keys[0])
+    return held.select(*keys).join(keys_df.select(*keys), list(keys), "left_semi").distinct()
 
 
 def new_rows(df: DataFrame, existing: DataFrame | None, keys: Sequence[str],
              order: Sequence[str]) -> DataFrame:
-    """First row per key among the keys not stored yet."""
-    winners = first_wins(df, keys, order)
-    if existing is None:
-        return winners
-    return winners.join(known_keys(winners, existing, keys), list(keys), "left_anti")
+    """First row per key among the keys not stored yet.
+
+    What is stored already is left out before any row moves.
+    """
+    if existing is not None:
+        asked = df.select(*keys).distinct()
+        df = df.join(known_keys(asked, existing, keys), list(keys), "left_anti")
+    return first_wins(df, keys, order)
 
 
 def resolve(
@@ -67,8 +84,9 @@ def resolve(
     if existing is not None:
         held = existing if carry is None else existing.withColumnRenamed(carry, "_held")
         columns = list(keys) if carry is None else [*keys, "_held"]
+        held = pruned(held, winners, keys[0]).select(*columns)
         known = (
-            held.select(*columns).join(winners.select(*keys), list(keys), "left_semi")
+            held.join(winners.select(*keys), list(keys), "left_semi")
             .dropDuplicates(list(keys)).withColumn("_known", F.lit(True))
         )
         winners = winners.join(known, list(keys), "left")
@@ -126,15 +144,13 @@ def upsert_knowledge(
 
     Skipped rows carry the reason and the first 120 characters of their text.
     """
-    judged = resolve(prepare_knowledge(new, now), existing, ["memory_id"], order)
-    inserted = judged.filter(F.col("verdict") == INSERTED).drop("verdict")
-    skipped = judged.filter(F.col("verdict") != INSERTED).select(
-        *order, "memory_id", "source", "type",
-        F.substring("text", 1, 120).alias("text"),
+    rows = prepare_knowledge(new, now)
+    told = rows.select(
+        *order, "memory_id", "source", "type", F.substring("text", 1, 120).alias("text"),
         F.lit("duplicate_fingerprint").alias("reason"),
-        "verdict",
     )
-    return inserted, skipped
+    judged = resolve(told, existing, ["memory_id"], order)
+    return new_rows(rows, existing, ["memory_id"], order), judged.filter(F.col("verdict") != INSERTED)
 
 
 # -- graph -----------------------------------------------------------------------------

@@ -83,3 +83,12 @@ def key_hash(*parts: Column) -> Column:
     """128-bit key over parts. Lengths go in, so no two part lists can run together."""
     sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
     return F.md5(F.concat(*sized))
+
+
+#: Hex digits of a key that name a folder of a table stored by key.
+PREFIX_DIGITS = 2
+
+
+def prefix(key: Column) -> Column:
+    """Folder of a hashed key: one of 256, so a batch can name those it needs."""
+    return F.substring(key, 1, PREFIX_DIGITS)

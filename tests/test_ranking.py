@@ -125,18 +125,20 @@ def overlap(probe_tokens, edge_tokens):
     return (len(exact) + 0.5 * len(half)) / len(probe_tokens)
 
 
-@pytest.mark.parametrize("limit", [1000, 5])
-def test_graph_topk_equals_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(probe, "GRID_PROBES", 6)
-    monkeypatch.setattr(probe, "GRID_ROWS", 100)
-    monkeypatch.setattr(probe, "CELLS", 3000)
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_graph_topk_equals_brute_force(spark):
     rng = random.Random(3)
     prompts = [(i, " ".join(rng.choices(WORDS + ["the"], k=rng.randint(0, 5)))) for i in range(25)]
     # Half of the edges share one relation and one end.
     edges = [(i, "alpha" if i % 2 else rng.choice(WORDS), "uses", rng.choice(WORDS), None, None) for i in range(400)]
     p = spark.createDataFrame(prompts, "prompt_id int, text string")
     e = spark.createDataFrame(edges, "edge_id long, src_label string, rel string, dst_label string, status string, project string")
-    got = {(r.prompt_id, r["rank"]): (r.edge_id, r.score) for r in graph_topk(p, e, 6, max_probes=limit).collect()}
+    found = graph_topk(p, e, 6)
+    assert "Python" not in plan(found) and "Arrow" not in plan(found)
+    got = {(r.prompt_id, r["rank"]): (r.edge_id, r.score) for r in found.collect()}
     sets = {r.prompt_id: set(r.t) for r in p.select("prompt_id", token_set(F.col("text")).alias("t")).collect()}
     want = {}
     for pid, toks in sets.items():
@@ -177,14 +179,49 @@ def test_line_search_caps_each_document(spark):
     assert len(hits[3].snippet) == 200 and hits[3].snippet.startswith("ALPHA")
 
 
-def test_line_search_on_the_grid(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"w{i % 7} one\nother w{i % 5}") for i in range(300)], "doc_id long, text string")
-    words = spark.createDataFrame([(i, f"w{i}") for i in range(9)], "prompt_id int, keyword string")
-    plain = sorted(map(tuple, line_search(words, docs, k=12).collect()))
-    for name, value in (("MAX_PROBES", 3), ("GRID_PROBES", 2), ("GRID_ROWS", 40)):
-        monkeypatch.setattr(probe, name, value)
-    assert sorted(map(tuple, line_search(words, docs, k=12).collect())) == plain
-    assert len(plain) == 7 * 12
+def test_pools_and_projects_of_edges_equal_brute_force(spark):
+    rng = random.Random(4)
+    edges = [
+        (i, rng.choice(WORDS), "uses", rng.choice(WORDS), rng.choice(["p", "q", "", None]), rng.choice([["A"], ["b", "a"], [], None]))
+        for i in range(200)
+    ]
+    asked = [(i, " ".join(rng.choices(WORDS, k=3)), rng.choice(["p", None, "q"]), rng.choice([["a"], ["B", "a"], []])) for i in range(12)]
+    e = spark.createDataFrame(edges, "edge_id long, src_label string, rel string, dst_label string, project string, experts array<string>")
+    p = spark.createDataFrame(asked, "prompt_id int, text string, project string, axes array<string>")
+    sets = {r.prompt_id: set(r.t) for r in p.select("prompt_id", token_set(F.col("text")).alias("t")).collect()}
+    for scope in (Scope("strict", True), Scope("global", True), Scope("strict")):
+        got = {(r.prompt_id, r.pool, r["rank"]): (r.edge_id, r.score, r.rel) for r in graph_topk(p, e, 4, scope=scope, payload=["rel"]).collect()}
+        want = {}
+        for i, _, project, axes in asked:
+            for pool in ["", *(axes if scope.axes else [])]:
+                found = []
+                for n, s, r, d, mine, tags in edges:
+                    ok = not project or mine == project or (scope.project == "global" and not mine)
+                    ok = ok and (not pool or pool.lower() in {t.lower() for t in tags or ()})
+                    score = round(overlap(sets[i], {s, r, d}), 6)
+                    found += [(-score, n)] if ok and score else []
+                for rank, (score, n) in enumerate(sorted(found)[:4], 1):
+                    want[i, pool, rank] = (n, -score, "uses")
+        assert got == want
+
+
+def test_lines_equal_brute_force_for_needles_of_any_length(spark):
+    rng = random.Random(6)
+    bits = ["a", "Ab", "é", " ", "ß", "the ", "x1", "\t", "𝒳", "."]
+    texts = [(i, "\n".join("".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(6))) for i in range(60)]
+    needles = [(i, "".join(rng.choices(bits, k=rng.randint(0, 4)))) for i in range(40)] + [(90, None), (91, "the "), (92, "a")]
+    docs = spark.createDataFrame([*texts, (98, None), (99, "")], "doc_id long, text string")
+    words = spark.createDataFrame(needles, "prompt_id int, keyword string")
+    for per_doc, k in ((20, 12), (2, 12)):
+        found = line_search(words, docs, per_doc, k)
+        assert "Python" not in plan(found) and "Arrow" not in plan(found)
+        want = set()
+        for p, w in needles:
+            w = (w or "").strip().lower()
+            hits = [(d, n + 1) for d, t in texts for n, x in enumerate(t.split("\n")) if w and w in x.lower()]
+            kept = [h for i, h in enumerate(hits) if sum(x[0] == h[0] for x in hits[:i]) < per_doc]
+            want |= {(p, d, n, i) for i, (d, n) in enumerate(kept[:k], 1)}
+        assert {(r.prompt_id, r.doc_id, r.line, r["rank"]) for r in found.collect()} == want
 
 
 def test_recent_search_and_lookup(spark):

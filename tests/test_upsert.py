@@ -3,8 +3,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from mnemo.schema import prefix
 from mnemo.operators.upsert import (
-    concept_nodes, edge_view, resolve, upsert_edges, upsert_knowledge, upsert_nodes, with_current_status,
+    concept_nodes, edge_view, pruned, resolve, upsert_edges, upsert_knowledge, upsert_nodes, with_current_status,
 )
 
 EDGE = "ord int, src string, rel string, dst string, project string"
@@ -89,3 +90,27 @@ def test_status_is_the_last_one_logged(spark):
         "memory_id string, status string, at timestamp")
     got = {r.memory_id: r.status for r in with_current_status(k, log).collect()}
     assert got == {"a": "superseded", "b": "approved"}
+
+
+def test_a_table_stored_by_key_prefix_is_read_where_the_batch_falls(spark, tmp_path):
+    path = str(tmp_path / "knowledge")
+    old, _ = upsert_knowledge(spark.range(2000).select(
+        F.col("id").alias("ord"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source")))
+    old.withColumn("prefix", prefix(F.col("memory_id"))).repartition("prefix").write.partitionBy("prefix").parquet(path)
+    table = spark.read.parquet(path)
+    new = spark.createDataFrame([(1, "text 7", "a"), (2, "text new", "a"), (3, "text new", "a")], "ord long, text string, source string")
+    inserted, skipped = upsert_knowledge(new, table)
+    assert [r.text for r in inserted.collect()] == ["text new"]
+    assert sorted((r.ord, r.verdict) for r in skipped.collect()) == [(1, "stored"), (3, "repeated")]
+    held = pruned(table, inserted.select("memory_id"), "memory_id")
+    assert held.select(F.input_file_name()).distinct().count() == 1
+    assert "PartitionFilters: [isnotnull(prefix" in held._jdf.queryExecution().executedPlan().toString()
+    # The stored table is scanned for its keys alone and never shuffled.
+    scans = [x for x in inserted._jdf.queryExecution().executedPlan().toString().split("\n") if "prefix" in x and "Scan parquet" in x]
+    assert scans and all("ReadSchema: struct<memory_id:string>" in x for x in scans)
+
+
+def test_refused_rows_move_without_their_text(spark):
+    new = spark.createDataFrame([(i, "x" * 5000 + str(i % 3), "a") for i in range(50)], "ord long, text string, source string")
+    _, skipped = upsert_knowledge(new)
+    assert skipped.count() == 47 and all(len(r.text) == 120 for r in skipped.collect())
