@@ -183,7 +183,8 @@ def resample(docs: DataFrame, target: DataFrame, config: ResampleConfig = Resamp
     of its own; equal rows get successive ranks. An empty table gives no rows, an empty target
     leaves what is rare in the corpus.
     """
-    gain = gains(counts(docs, config), counts(target, config), config)
+    # A row a bucket; read more than once, so the texts are taken apart once for it.
+    gain = gains(stage(counts(docs, config), "counts"), stage(counts(target, config), "counts"), config)
     digits = F.substring(F.sha2(F.concat(F.lit(f"{config.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8)
     noise = F.floor(-1000 * F.log(-F.log((F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(1 << 32)))))
     scored = weigh(docs, gain, config).withColumn("score", F.col("weight") + noise)
