@@ -9,7 +9,6 @@ least of ``cost + position`` over a sliding window, which a monotone queue keeps
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from dataclasses import dataclass
@@ -48,17 +47,25 @@ class PackConfig:
 
 #: Words that fall apart into the tokenizer's own pieces by this pattern: no apostrophe, no letter
 #: outside Latin-1, so lower-casing and composing leave each piece as it is.
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_SENTENCE = (".", "!", "?")
+_PLAIN = "^[!-&(-;=-~À-ÖØ-öø-ÿ]+$"
+_PIECES = "([a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+_SENTENCE = "[.!?]$"
+
+
+def _spread(pool: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``pool``, which lie in order of their ``sizes``, in the order of ``code``; their sizes."""
+    begin, size = np.cumsum(sizes) - sizes, sizes[code]
+    done = np.cumsum(size)
+    take = np.arange(int(done[-1]) if len(done) else 0) + np.repeat(begin[code] - (done - size), size)
+    return pool[take], size
 
 
 class WordTokens:
-    """Token ids of words between white space, by the tokenizer itself, each word once.
+    """Token ids of words between white space, by the tokenizer itself.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its words in order. Plain words are looked up by their pieces (letters, digit, signs), which
-    recur far more often.
+    its words in order. Plain words fall apart into pieces (letters, digit, signs) in Arrow kernels;
+    a piece, which recurs far more often than a word, is encoded once and looked up again.
     """
 
     def __init__(self, path: str, cache: int = PackConfig.cache):
@@ -70,34 +77,56 @@ class WordTokens:
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-        e = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        ends = np.searchsorted(of, np.arange(len(texts)), "right")
-        starts = np.append(0, ends[:-1])
-        return [ids[s:t].tobytes() for s, t in zip(starts.tolist(), ends.tolist())]
-
-    def __call__(self, words: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: names, ids behind each other, and how many each has."""
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among the known ones; unknown ones are encoded first."""
+        if len(self.known) > self.cache:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(found.is_null())
+        names, ids, sizes = new.to_pylist(), [self.ids], [self.sizes]
+        for at in range(0, len(names), 5_000):
+            part = names[at: at + 5_000]
+            e = self.bare.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, "<u4"))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(names))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        return place
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
         if len(self.words) > self.cache:
             self.words.clear()
-        new = [w for w in words if w not in self.words]
-        cut = {w: _PIECES.findall(w.lower()) for w in new if _PLAIN.fullmatch(w)}
-        if len(self.pieces) > self.cache:
-            self.pieces.clear()
-        missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for at in range(0, len(missing), 5_000):
-            part = missing[at: at + 5_000]
-            self.pieces.update(zip(part, self._ids(self.bare, part)))
-        for w in new:
-            if w in cut:
-                self.words[w] = b"".join([self.pieces[p] for p in cut[w]])
-            else:
-                ids = self.full.encode(w, add_special_tokens=False).ids
-                self.words[w] = np.array(ids, "<u4").tobytes()
-        return [self.words[w] for w in words]
+        for w in words:
+            if w not in self.words:
+                self.words[w] = np.array(self.full.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return list(map(self.words.__getitem__, words))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words behind each other, and how many each has."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), pattern=_PIECES, replacement="\\1 ")
+        parts = pc.split_pattern(pc.ascii_rtrim_whitespace(cut), pattern=" ")
+        coded = parts.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)
+        ids, size = _spread(self.ids, self.sizes, place[coded.indices.to_numpy()])
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py() if len(parts) else np.zeros(1, np.int64)
+        each = np.diff(np.append(0, np.cumsum(size))[bounds])
+        found = self._of_words(words.filter(pc.invert(plain)).to_pylist())
+        others, other_sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # Plain words first, then the others; back into the given order.
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[mask] = np.arange(len(each))
+        place[~mask] = len(each) + np.arange(len(other_sizes))
+        return _spread(np.concatenate([ids, others]), np.concatenate([each, other_sizes]), place)
 
 
 _loaded: dict[tuple[str, int], WordTokens] = {}
@@ -121,22 +150,20 @@ def encode(texts: pa.Array, tokens: WordTokens, config: PackConfig):
     flat = lists.flatten()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = flat.dictionary_encode()
-    names = coded.dictionary.to_pylist()
     of = coded.indices.to_numpy()
-    found = tokens(names)
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    pool = np.frombuffer(b"".join(found), "<u4")
-    begin = np.cumsum(sizes) - sizes
-    last = np.fromiter((n.endswith(_SENTENCE) for n in names), bool, len(names))
-    lengths = sizes[of] if len(of) else np.zeros(0, np.int64)
+    pool, sizes = tokens(coded.dictionary)
+    last = pc.match_substring_regex(coded.dictionary, _SENTENCE).to_numpy(zero_copy_only=False)
+    told, lengths = _spread(pool, sizes, of)
     done = np.append(0, np.cumsum(lengths))
     docs = np.arange(1, len(offsets))
     ends = done[offsets[1:]] + docs
     ids = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
     word_doc = np.searchsorted(offsets[1:], np.arange(len(of)), "right")
     word_start = done[:-1] + word_doc
-    take = np.arange(int(done[-1])) - np.repeat(done[:-1], lengths)
-    ids[np.repeat(word_start, lengths) + take] = pool[np.repeat(begin[of], lengths) + take]
+    # All places but the ends of documents hold the words' ids, in order.
+    inside = np.ones(len(ids), bool)
+    inside[ends - 1] = False
+    ids[inside] = told
     ids[ends - 1] = config.end
     word_end = word_start + lengths
     stops = last[of] if len(of) else np.zeros(0, bool)
@@ -177,28 +204,31 @@ def cuts(at: np.ndarray, cost: np.ndarray, config: PackConfig) -> list[int]:
         i = np.searchsorted(at, at - size)
         hit = np.where((i < len(at)) & (at[np.minimum(i, len(at) - 1)] == at - size), i, -1)
         exact.append(np.where(at == size, -2, hit))
-    exact = np.stack(exact, 1).tolist() if len(at) else []
+    exact = np.stack(exact, 1) if len(at) else np.zeros((0, 1), np.int64)
+    # Few positions end a sequence that needs no padding.
+    short = {int(j): [k for k in exact[j].tolist() if k != -1] for j in np.flatnonzero((exact != -1).any(1))}
     positions, penalties, full = at.tolist(), cost.tolist(), config.length
     best: list[float] = []
     back: list[int] = []
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, -1)])
-    for j, p in enumerate(positions):
+    push, pop, drop = queue.append, queue.pop, queue.popleft
+    for j, (p, penalty) in enumerate(zip(positions, penalties)):
         while p - queue[0][1] > full:
-            queue.popleft()
+            drop()
         value, _, i = queue[0]
         value += full - p
-        for k in exact[j]:
-            if k != -1:
+        if j in short:
+            for k in short[j]:
                 other = 0.0 if k == -2 else best[k]
                 if other < value:
                     value, i = other, (-1 if k == -2 else k)
-        value += penalties[j]
+        value += penalty
         best.append(value)
         back.append(i)
         key = value + p
         while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, p, j))
+            pop()
+        push((key, p, j))
     out, j = [], len(positions) - 1
     while j >= 0:
         out.append(positions[j])
