@@ -1,99 +1,85 @@
 """Continuous event ingest on Structured Streaming.
 
-Each micro-batch first makes its events durable, then feeds what is due. Tables
-only grow, and a micro-batch writes its own folder of each batch table, so a
-replayed micro-batch adds nothing: effectively once from an at-least-once source.
-
-A drain never reads the whole history. It starts from the open events the last
-drain left behind and adds the batches written since; done and dead events drop
-out of the next snapshot.
+Lines become requests with keyed state (``requests.py``), which says what is new, what was seen
+before and which attempts are due. A micro-batch makes that durable, feeds the due events, and
+writes how each attempt ended; these outcomes are a second source of the same stream, so the state
+learns them in the next micro-batch. Nothing reads the history: what was seen is state, stored
+nodes and edges are looked up in the folders of the batch's own key prefixes, and folders are
+compacted (``store.py``).
+
+An event whose feeding fails is found by halving the batch, so it fails alone and is tried again
+when its backoff is over, new input or not.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    BooleanType, LongType, StringType, StructField, StructType, TimestampType,
-)
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions.vectors import HashedEmbedder, identity_of
 from mnemo.operators.audit import require_identity
-from mnemo.operators.ledger import classify_duplicates, due_events, lifecycle
-from mnemo.plans.fanout import FannedOut, ingest_events
-from mnemo.schema import ATTEMPT, EDGES, EVENT, KNOWLEDGE, NODES
-from mnemo.sources.events import event_rows, parse_events, split_events
-from mnemo.sources.tables import append, stage
-
-
-def _table(**fields) -> StructType:
-    return StructType([StructField(name, kind) for name, kind in fields.items()])
-
+from mnemo.operators.ledger import lifecycle
+from mnemo.operators.upsert import first_wins
+from mnemo.plans.fanout import ingest_events
+from mnemo.schema import ATTEMPT, EDGES, KNOWLEDGE, NODES
+from mnemo.sources.events import parse_events, split_events
+from mnemo.streaming import requests
+from mnemo.streaming.store import BatchTables, Table, fit
 
-STR, LONG, FLAG, TS = StringType(), LongType(), BooleanType(), TimestampType()
-EVENTS = _table(event_id=STR, request_id=STR, value=STR, payload_hash=STR, created_at=TS)
-ACCEPTS = _table(request_id=STR, event_id=STR, duplicate=FLAG, payload_mismatch=FLAG)
-QUARANTINE = _table(value=STR, error_code=STR, error_field=STR)
-OPEN = _table(event_id=STR, request_id=STR, value=STR, created_at=TS)
-OPEN_ATTEMPTS = ATTEMPT
-MATERIAL = [f.name for f in EVENT.fields]
+KINDS = {"string": StringType(), "long": LongType(), "boolean": BooleanType(), "timestamp": TimestampType()}
 
-# Tables with one folder per micro-batch.
-BATCHED = {"events": EVENTS, "accepts": ACCEPTS, "quarantine": QUARANTINE, "attempts": ATTEMPT,
-           "open_events": OPEN, "open_attempts": OPEN_ATTEMPTS}
-PLAIN = {"knowledge": KNOWLEDGE, "nodes": NODES, "edges": EDGES}
 
+def _columns(ddl: str, **other: str) -> StructType:
+    """A schema without a session; ``other`` gives columns another type."""
+    named = (c.split() for c in ddl.split(", "))
+    return StructType([StructField(n, KINDS[other.get(n, kind)]) for n, kind in named])
 
-def fit(df: DataFrame, schema: StructType) -> DataFrame:
-    """Exactly the columns of ``schema``, NULL where ``df`` has none."""
-    have = set(df.columns)
-    return df.select(*[
-        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have
-        else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
 
+REQUESTS = _columns(requests.OUTPUT, created_at="timestamp", at="timestamp")
+OUTCOMES = _columns(
+    "request_id string, event_id string, attempt long, started_at timestamp, outcome string, error string, "
+    "finished_at timestamp"
+)
+TABLES = {
+    "requests": Table(REQUESTS), "outcomes": Table(OUTCOMES), "knowledge": Table(KNOWLEDGE, split="type"),
+    "nodes": Table(NODES, keyed="node_id"), "edges": Table(EDGES, keyed="edge_id"),
+}
+KEYS = {"knowledge": "memory_id", "nodes": "node_id", "edges": "edge_id"}
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-@dataclass
-class Store:
-    """Folders of the event tables under one root."""
-
-    spark: SparkSession
-    root: str
-
-    def __post_init__(self) -> None:
-        """Make absent tables readable; existing ones are left alone."""
-        for name, schema in BATCHED.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("ignore").parquet(f"{self.path(name)}/batch_id=-1")
-        for name, schema in PLAIN.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+class Store(BatchTables):
+    """The event tables under one root, and the views that reports read."""
 
-    def read(self, name: str) -> DataFrame:
-        """A table; batch tables carry ``batch_id``, and a filter on it prunes folders."""
-        if name in PLAIN:
-            return self.spark.read.schema(PLAIN[name]).parquet(self.path(name))
-        schema = StructType([*BATCHED[name].fields, StructField("batch_id", LONG)])
-        return self.spark.read.schema(schema).parquet(self.path(name))
+    def __init__(self, spark: SparkSession, root: str, fan: int = 10):
+        super().__init__(spark, root, TABLES, fan)
+        self.files.make(f"{root}/outcomes")
 
-    def write_batch(self, name: str, df: DataFrame, batch_id: int, mode: str = "overwrite") -> None:
-        fit(df, BATCHED[name]).write.mode(mode).parquet(f"{self.path(name)}/batch_id={batch_id}")
+    @property
+    def events(self) -> DataFrame:
+        accepted = self.read("requests").filter("action = 'accept'")
+        return accepted.select("event_id", "request_id", "value", "payload_hash", "created_at")
 
-    def append(self, name: str, df: DataFrame) -> None:
-        append(fit(df, PLAIN[name]), self.path(name))
+    @property
+    def accepts(self) -> DataFrame:
+        rows = self.read("requests").filter(F.col("action").isin("accept", "duplicate"))
+        return rows.select("request_id", "event_id", (F.col("action") == "duplicate").alias("duplicate"), "payload_mismatch")
 
     @property
-    def events(self) -> DataFrame:
-        return self.read("events")
+    def quarantine(self) -> DataFrame:
+        return self.read("requests").filter("action = 'invalid'").select("value", "error_code", "error_field")
 
     @property
     def attempts(self) -> DataFrame:
-        return self.read("attempts")
+        """Starts and ends of attempts."""
+        starts = self.read("requests").filter("attempt IS NOT NULL").withColumn("started_at", F.col("at"))
+        return fit(starts.drop("error"), ATTEMPT).unionByName(fit(self.read("outcomes"), ATTEMPT))
 
     @property
     def knowledge(self) -> DataFrame:
@@ -113,143 +99,166 @@ class EventIngest:
     store: Store
     embedder: object = None
     rules: Rules = DEFAULT_RULES
-    stale_seconds: int = 300
-
-    # -- accept ---------------------------------------------------------------------------
-    def accept(self, lines: DataFrame, batch_id: int, now: Column | None = None) -> None:
-        """Make new events durable; note duplicates, mismatches and invalid lines."""
-        now = F.current_timestamp() if now is None else now
-        parsed = parse_events(lines.select("value"), self.rules)
-        # Arrival order inside a micro-batch is not defined. Ordering by content
-        # is reproducible, so a replay picks the same winner; the counter only
-        # tells equal lines apart.
-        counter = F.monotonically_increasing_id().cast("string")
-        parsed = stage(
-            parsed.withColumn("ord", F.concat_ws("-", F.md5("value"), counter)), "parsed"
-        )
-        valid, bad = split_events(parsed)
-        # Idempotency has no horizon: the key columns of all earlier batches are
-        # scanned, filtered by this batch's few request ids.
-        earlier = self.store.events.filter(F.col("batch_id") != batch_id)
-        judged = stage(classify_duplicates(event_rows(valid), earlier, MATERIAL), "judged")
-        fresh = judged.filter("queued").withColumn("created_at", now)
-        self.store.write_batch("events", fresh, batch_id)
-        self.store.write_batch("accepts", judged, batch_id)
-        self.store.write_batch("quarantine", bad, batch_id)
-
-    # -- process --------------------------------------------------------------------------
+    #: Seconds after which an attempt without an outcome counts as lost.
+    stale_seconds: float = 300
+    _scratch: str = field(default="", repr=False)
+
     def ledger(self, now: Column | None = None) -> DataFrame:
         """State of every event ever accepted, for reports."""
-        return lifecycle(
-            self.store.events, self.store.attempts, now, self.stale_seconds, self.rules
-        )
+        return lifecycle(self.store.events, self.store.attempts, now, int(self.stale_seconds), self.rules)
 
-    def _open(self, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        """Events that may still need work, and their attempts so far.
+    # -- one micro-batch ------------------------------------------------------------------
+    def run_batch(self, todo: DataFrame, batch_id: int) -> None:
+        """``todo`` as from ``requests.actions``: store it, feed what is due, note the outcomes.
 
-        Without a snapshot of the previous batch everything is read, once.
-        """
-        last = batch_id - 1
-        mark = self.store.read("open_events").filter(F.col("batch_id") == last)
-        have = last >= 0 and mark.filter(F.col("event_id").isNull()).limit(1).count() > 0
-        columns, tries = OPEN.names, ATTEMPT.names
-        since = F.col("batch_id") > (last if have else -1)
-        events = self.store.events.filter(since).select(*columns)
-        attempts = self.store.attempts.filter(since).select(*tries)
-        if have:
-            kept = self.store.read("open_attempts").filter(F.col("batch_id") == last)
-            events = mark.filter(F.col("event_id").isNotNull()).select(*columns).unionByName(events)
-            attempts = kept.select(*tries).unionByName(attempts)
-        return events, attempts
-
-    def drain(self, batch_id: int, now: Column | None = None) -> None:
-        """Process everything due, once, and record one attempt per event.
-
-        Events whose stored payload cannot be read fail with an error and are
-        retried with backoff until they are dead. A job that dies before its
-        attempts are recorded leaves them started, which counts as lost later.
+        Every table's folder of this batch is overwritten, so a replay leaves what one run leaves.
         """
-        now = F.current_timestamp() if now is None else now
-        events, attempts = self._open(batch_id)
-        state = lifecycle(events, attempts, now, self.stale_seconds, self.rules)
-        due = stage(due_events(state, now).select(
-            "event_id", "request_id", "value", "created_at",
-            (F.col("attempts") + 1).alias("attempt"), now.alias("started_at"),
-        ), "due")
-        if due.limit(1).count():
-            self._process(due, batch_id, now)
-        self._snapshot(batch_id, now)
-
-    def _process(self, due: DataFrame, batch_id: int, now: Column) -> None:
-        self.store.write_batch("attempts", due, batch_id, "append")
-        good, bad = split_events(parse_events(due, self.rules))
+        store = self.store
+        # The one evaluation of the state in this batch.
+        store.write("requests", todo.withColumns({c: F.timestamp_millis(c) for c in ("created_at", "at")}), batch_id)
+        rows = store.read_batch("requests", batch_id)
+        due = rows.filter("attempt IS NOT NULL")
+        if not due.isEmpty():
+            self._feed(due, batch_id)
+        elif rows.isEmpty():
+            store.drop_batch("requests", batch_id)
+        # The files of the last outcomes are input of this batch, which may be run again.
+        store.compact(batch_id - 2)
+
+    def _feed(self, due: DataFrame, batch_id: int) -> None:
+        store, now = self.store, F.current_timestamp()
+        self._scratch = f"{store.root}/_scratch/{batch_id}"
+        made, ended = self._apart(due, now)
+        for name, key in KEYS.items():
+            parts = [m[name].withColumn("_part", F.lit(i)) for i, m in enumerate(made)]
+            rows = parts[0] if parts else store.empty(name)
+            for part in parts[1:]:
+                rows = rows.unionByName(part)
+            # Halves do not see each other's nodes and edges.
+            rows = first_wins(rows, [key], ["_part"]) if len(parts) > 1 else rows
+            store.write(name, fit(rows, TABLES[name].schema), batch_id)
+        outcomes = ended[0]
+        for part in ended[1:]:
+            outcomes = outcomes.unionByName(part)
+        store.write("outcomes", fit(outcomes.withColumn("finished_at", now), OUTCOMES), batch_id)
+        store.files.drop(self._scratch)
+
+    def _apart(self, due: DataFrame, now: Column) -> tuple[list[dict], list[DataFrame]]:
+        """Tables made of the events, and how each ended; if a job fails, of each half by itself."""
+        try:
+            return self._fan_out(due, now)
+        except Exception as error:
+            if _stopped(error):
+                raise
+            said = _reason(error)
+        # A bit of the ids' hashes that tells some of them apart.
+        key = F.xxhash64("event_id")
+        every, any_ = due.agg(F.bit_and(key), F.bit_or(key)).first()
+        differs = every ^ any_
+        if not differs:
+            return [], [_ended(due, "failed", F.lit(said))]
+        bit = F.shiftright(key, (differs & -differs).bit_length() - 1).bitwiseAND(F.lit(1))
+        parts = [self._apart(due.filter(bit == side), now) for side in (0, 1)]
+        return [m for made, _ in parts for m in made], [e for _, ended in parts for e in ended]
+
+    def _fan_out(self, due: DataFrame, now: Column) -> tuple[list[dict], list[DataFrame]]:
+        good, bad = split_events(parse_events(due.drop("error_code", "error_field"), self.rules))
         # Events that came without an id carry the one given on acceptance.
         rows = good.select("created_at", F.col("event_id").alias("_id"), "event.*")
         rows = rows.drop("event_id").withColumnRenamed("_id", "event_id")
-        made = ingest_events(
-            rows, ["created_at", "event_id"], self._earlier_rows(due), self.store.nodes,
-            self.store.edges, self.embedder, self.rules, now, stage,
+        # Keys of memories are scoped to the event, so those of another attempt cannot be met.
+        out = ingest_events(
+            rows, ["created_at", "event_id"], None, self.store.nodes, self.store.edges, self.embedder,
+            self.rules, now, self._stage,
         )
-        self._write(made)
-        done = good.withColumns({"outcome": F.lit("done"), "error": F.lit(None).cast("string")})
-        failed = bad.withColumns({
-            "outcome": F.lit("failed"),
-            "error": F.concat_ws(": ", F.lit("unreadable event"), "error_code", "error_field"),
-        })
-        columns = ["event_id", "attempt", "started_at", "outcome", "error"]
-        finished = done.select(*columns).unionByName(failed.select(*columns))
-        self.store.write_batch(
-            "attempts", finished.withColumn("finished_at", now), batch_id, "append"
-        )
-
-    def _earlier_rows(self, due: DataFrame) -> DataFrame | None:
-        """Rows an earlier, lost attempt may have written already.
+        made = {n: self._stage(fit(getattr(out, n), TABLES[n].schema), n) for n in KEYS}
+        why = F.concat_ws(": ", F.lit("unreadable event"), "error_code", "error_field")
+        return [made], [_ended(good, "done", F.lit(None)), _ended(bad, "failed", why)]
 
-        Keys are scoped to the event, so a first attempt cannot meet any and the
-        knowledge table is not touched for it.
-        """
-        again = due.filter(F.col("attempt") > 1).select(F.col("event_id").alias("source_id"))
-        if not again.limit(1).count():
-            return None
-        return self.store.knowledge.join(again, "source_id", "left_semi")
-
-    def _write(self, made: FannedOut) -> None:
-        # Everything is computed against the tables as they were, then appended.
-        staged = [(n, stage(getattr(made, n), n)) for n in ("knowledge", "nodes", "edges")]
-        for name, df in staged:
-            self.store.append(name, df)
-
-    def _snapshot(self, batch_id: int, now: Column) -> None:
-        """What the next drain starts from: open events, their attempts, and a mark."""
-        events, attempts = self._open(batch_id)
-        state = lifecycle(events, attempts, now, self.stale_seconds, self.rules)
-        unfinished = state.filter(F.col("state").isin("queued", "processing"))
-        mark = self.store.spark.createDataFrame([(None,) * len(OPEN.names)], OPEN)
-        kept = stage(unfinished.select(*OPEN.names), "open")
-        self.store.write_batch("open_attempts", attempts.join(
-            kept.select("event_id"), "event_id", "left_semi"
-        ), batch_id)
-        self.store.write_batch("open_events", kept.unionByName(mark), batch_id)
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self._scratch}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
 
     # -- streams --------------------------------------------------------------------------
-    def run_batch(self, lines: DataFrame, batch_id: int) -> None:
-        self.accept(lines, batch_id)
-        self.drain(batch_id)
-
-    def start(self, folder: str, drain_and_stop: bool = False):
-        """Follow a folder of JSON-lines files; ``drain_and_stop`` ends when it is used up.
+    def start(self, folder: str, every: str = "5 seconds", archive: str | None = None) -> StreamingQuery:
+        """Follow a folder of JSON-lines files until the query is stopped.
 
-        Fails at once if the knowledge table belongs to another embedder.
+        Due retries run every ``every``, with or without new files. Files that were read move to
+        ``archive`` if one is given, so that listing ``folder`` stays cheap. Fails at once if the
+        knowledge table belongs to another embedder.
         """
+        store = self.store
         embedder = self.embedder or HashedEmbedder(self.rules)
-        require_identity(self.store.knowledge, identity_of(embedder))
-        lines = self.store.spark.readStream.text(folder)
-        writer = lines.writeStream.foreachBatch(self.run_batch).option(
-            "checkpointLocation", self.store.path("_checkpoint")
-        )
-        if drain_and_stop:
-            writer = writer.trigger(availableNow=True)
-        return writer.start()
+        require_identity(store.knowledge, identity_of(embedder))
+        # Timers need the state store that keeps them in order of time.
+        store.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        reader = store.spark.readStream
+        if archive:
+            reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+        lines = requests.incoming(reader.text(folder), self.rules)
+        # Outcomes come back to the state in the next micro-batch.
+        ended = store.spark.readStream.schema(OUTCOMES).option("recursiveFileLookup", "true")
+        ended = ended.parquet(f"{store.root}/outcomes")
+        todo = requests.actions(lines.unionByName(requests.finished(ended)), self.rules, self.stale_seconds)
+        counts = [F.count_if(F.col("action") == a).alias(a) for a in ("accept", "duplicate", "invalid", "retry")]
+        todo = todo.observe("requests", *counts, F.count("attempt").alias("started"))
+        return todo.writeStream.foreachBatch(self.run_batch).option(
+            "checkpointLocation", f"{store.root}/_checkpoint"
+        ).trigger(processingTime=every).start()
+
+    def drain(self, folder: str, seconds: float = 3600) -> None:
+        """Feed what is there and due, then stop; raises if that takes longer than ``seconds``.
+
+        Retries whose backoff is not over are left to the next run.
+        """
+        query, end = self.start(folder, "0 seconds"), time.monotonic() + seconds
+        # The first micro-batch may be one that the last run had planned, before it could see new
+        # files; so two in a row have to be idle.
+        quiet: set[int] = set()
+        try:
+            while len(quiet) < 2:
+                last = query.lastProgress
+                if last is not None:
+                    quiet = quiet | {last["batchId"]} if idle(last) else set()
+                if query.exception():
+                    raise query.exception()
+                if time.monotonic() > end:
+                    raise TimeoutError(f"not drained after {seconds} seconds")
+                time.sleep(0.2)
+        finally:
+            query.stop()
+
+
+def idle(progress) -> bool:
+    """Whether a micro-batch had no input and started nothing."""
+    return progress["numInputRows"] == 0 and not batch_counts(progress).get("started")
+
+
+def batch_counts(progress) -> dict[str, int]:
+    """What a micro-batch counted on its way: accepts, duplicates, invalid lines, retries, starts."""
+    row = (progress["observedMetrics"] or {}).get("requests")
+    return row.asDict() if row is not None else {}
+
+
+def _ended(events: DataFrame, outcome: str, error: Column) -> DataFrame:
+    return events.select(
+        "request_id", "event_id", "attempt", F.col("at").alias("started_at"), F.lit(outcome).alias("outcome"),
+        error.cast("string").alias("error"),
+    )
+
+
+def _stopped(error: Exception) -> bool:
+    """Whether a job ended because its query or session did."""
+    said = str(error)
+    return any(s in said for s in ("InterruptedException", "cancelled", "SparkContext was shut down", "stopped SparkContext"))
+
+
+def _reason(error: Exception) -> str:
+    """The line of a failed job's report that names the error, without the traceback."""
+    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    named = [x for x in lines if x.split(":")[0].endswith(("Error", "Exception")) and not x.startswith(("at ", "File "))]
+    return (named or lines or [type(error).__name__])[-1 if named else 0][:1000]
 
 
-__all__ = ["EventIngest", "Store"]
+__all__ = ["EventIngest", "Store", "batch_counts", "idle"]

@@ -1,15 +1,12 @@
 import json
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
-from mnemo.config import DEFAULT_RULES
 from mnemo.operators import ledger
 from mnemo.plans.approvals import apply_approvals
 from mnemo.plans.fanout import ingest_events
 from mnemo.sources.events import coerced_decisions, event_rows, parse_events, split_events
-from mnemo.streaming.ingest import EventIngest, Store
 
 FULL = {
     "event_id": "e1", "request_id": "r1", "session_id": "s", "actor": "someone", "agent": "builder", "project": "mem",
@@ -171,71 +168,3 @@ def test_old_decisions_are_found_among_thousands(spark):
     k = spark.range(3000).select(F.col("id").alias("memory_id"), F.lit("decision").alias("type"), F.lit("proposed").alias("status"))
     asked = spark.createDataFrame([(1, 0, None, T0), (2, 2999, None, T0)], "ord int, decision_id long, approver string, at timestamp")
     assert {r.outcome for r in apply_approvals(asked, k).outcomes.collect()} == {"changed"}
-
-
-@pytest.fixture
-def ingest(spark, tmp_path):
-    return EventIngest(Store(spark, str(tmp_path / "store"))), tmp_path / "in"
-
-
-def state(run):
-    return {r.event_id: (r.state, r.attempts) for r in run.ledger().collect()}
-
-
-def test_stream_equals_batch_and_replay_adds_nothing(spark, ingest):
-    run, folder = ingest
-    folder.mkdir()
-    events = [FULL, {**FULL, "prompt": "changed"}, {"request_id": "r2", "lessons": [{"text": "stream lesson"}]}, "broken"]
-    (folder / "a.json").write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in events[:1]))
-    run.start(str(folder), drain_and_stop=True).awaitTermination(120)
-    (folder / "b.json").write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in events[1:]))
-    run.start(str(folder), drain_and_stop=True).awaitTermination(120)
-    batch = ingest_events(valid(spark, FULL, events[2]))
-    assert sorted(r.text for r in run.store.knowledge.collect()) == sorted(r.text for r in batch.knowledge.collect())
-    assert run.store.edges.count() == 1
-    assert sorted(s for s, _ in state(run).values()) == ["done", "done"]
-    lost = spark.read.parquet(run.store.path("quarantine")).collect()
-    assert [r.value for r in lost] == ["broken"]
-    notes = spark.read.parquet(run.store.path("accepts"))
-    assert notes.filter("payload_mismatch").count() == 1
-    before = (run.store.knowledge.count(), run.store.events.count(), notes.count())
-    # The same micro-batch again, as after a crash before its commit.
-    run.run_batch(lines(spark, *events[1:]), 1)
-    after = spark.read.parquet(run.store.path("accepts")).count()
-    assert (run.store.knowledge.count(), run.store.events.count(), after) == before
-
-
-def test_unreadable_events_retry_then_die(spark, ingest):
-    run, _ = ingest
-    run.rules = DEFAULT_RULES.with_(max_attempts=2)
-    run.accept(lines(spark, FULL), 0)
-    stored = run.store.events.withColumn("value", F.lit("{corrupt"))
-    run.store.write_batch("events", spark.createDataFrame(stored.collect(), stored.schema), 0)
-    start = datetime(2030, 1, 1)
-    run.drain(0, F.lit(start))
-    assert state(run)["e1"] == ("queued", 1)
-    run.drain(1, F.lit(start + timedelta(seconds=1)))  # not due yet
-    assert state(run)["e1"] == ("queued", 1)
-    run.drain(2, F.lit(start + timedelta(hours=1)))
-    assert state(run)["e1"] == ("dead", 2)
-    assert run.store.knowledge.count() == 0
-    assert "not_json" in run.ledger().first().last_error
-    opened = run.store.read("open_events").filter("event_id IS NOT NULL").collect()
-    assert sorted(r.batch_id for r in opened) == [0, 1]
-
-
-def test_a_lost_attempt_is_repeated_without_double_writes(spark, ingest):
-    run, _ = ingest
-    run.accept(lines(spark, FULL), 0)
-    start = datetime(2030, 1, 1)
-    run.drain(0, F.lit(start))
-    assert run.store.knowledge.count() == 4
-    # As if the job had died after its writes, before its attempts were recorded.
-    lost = run.store.attempts.filter("outcome IS NULL AND event_id IS NOT NULL").collect()
-    run.store.write_batch("attempts", spark.createDataFrame(lost, run.store.attempts.schema), 0)
-    run.store.write_batch("open_events", run.store.events, 0)
-    run.drain(0, F.lit(start + timedelta(seconds=10)))
-    assert state(run)["e1"][1] == 1  # may still be running
-    run.drain(0, F.lit(start + timedelta(hours=1)))
-    assert state(run)["e1"] == ("done", 2)
-    assert (run.store.knowledge.count(), run.store.edges.count()) == (4, 1)
