@@ -16,7 +16,7 @@ from mnemo.functions.scalars import backoff_seconds
 from mnemo.operators.audit import side_by_side
 from mnemo.operators.upsert import INSERTED, resolve
 
-LOST_WORKER = "worker died mid-event and exhausted max_attempts (no ack, no fail)"
+LOST_WORKER = "the last attempt allowed ended without an outcome"
 
 
 def payload_hash(payload: Sequence[str]) -> Column:

@@ -4,26 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemo.functions.scalars import round6
 from mnemo.operators.grams import GRAM, holding
-from mnemo.operators.probe import GLOBAL_POOL, SALTS, Scope
+from mnemo.operators.probe import GLOBAL_POOL, Scope, cut
 from mnemo.sources.tables import stage
 
 
 def k_best(hits: DataFrame, k: int, order: Sequence[str], by: Sequence[str] = ("prompt_id", "pool")) -> DataFrame:
-    """The first ``k`` of each group, by score (if there is one), then ``order``, with their rank.
-
-    Groups are cut in salted parts first, so no task takes in all hits of one.
-    """
+    """The first ``k`` of each group, by score (if there is one), then ``order``, with their rank."""
     best = [F.col("score").desc_nulls_last()] if "score" in hits.columns else []
-    best += [F.asc_nulls_last(c) for c in order]
-    part = F.pmod(F.xxhash64(*order), F.lit(SALTS))
-    for keys in ([*by, part], list(by)):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
-        hits = hits.withColumn("rank", place).filter(F.col("rank") <= k)
-    return hits
+    return cut(hits, by, [*best, *[F.asc_nulls_last(c) for c in order]], k, order)
 
 
 def seen(scope: Scope, asked: Column, mine: Column) -> Column:

@@ -32,7 +32,8 @@ PARCEL = 1 << 20
 GRID_PROBES = 16_384
 GRID_ROWS = 65_536
 CELLS = 4_000_000  # scores held at once: probes x rows of one slice
-SALTS = 256  # a probe's survivors from all tasks are cut in this many parts first
+SALTS = 256  # a probe's survivors from all tasks are cut in this many parts first,
+ONE_CUT = 20  # unless it has no more than so many from a task
 
 GLOBAL_POOL = ""
 UNSCORED = -2.0  # ranks below every real score, reported as NULL
@@ -243,12 +244,20 @@ def best_k(
         F.col("score").desc_nulls_last(),
         *[F.desc_nulls_last(c) if way == "descending" else F.asc_nulls_last(c) for c, way in ties],
     ]
-    # Every task may send k rows of one probe; no single task takes them all in.
-    part = F.pmod(F.xxhash64(*[c for c, _ in ties]), F.lit(SALTS))
-    for keys in (["prompt_id", "pool", part], ["prompt_id", "pool"]):
+    return cut(local, ["prompt_id", "pool"], best, k, [c for c, _ in ties])
+
+
+def cut(hits: DataFrame, by: Sequence[str], best: Sequence, k: int, ids: Sequence[str]) -> DataFrame:
+    """The first ``k`` rows of each group in the order ``best``, with their rank.
+
+    Every task sends k rows of a group at most. Where k is large, no single task takes them all
+    in: groups are cut in parts, by a hash of ``ids``, first.
+    """
+    part = F.pmod(F.xxhash64(*ids), F.lit(SALTS))
+    for keys in ([[*by, part]] if k > ONE_CUT else []) + [list(by)]:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
-        local = local.withColumn("rank", place).filter(F.col("rank") <= k)
-    return local
+        hits = hits.withColumn("rank", place).filter(F.col("rank") <= k)
+    return hits
 
 
 def _within(probes: DataFrame, limit: int) -> pa.Table | None:

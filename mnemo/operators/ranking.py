@@ -60,11 +60,14 @@ def vector_topk(
         rows = rows.filter(tagged(experts))
     need = ["project"] if scope.project else []
     need += ["experts"] if scope.axes else []
-    columns = list(dict.fromkeys(["memory_id", "embedding", *need, *payload]))
-    return best_k(
-        _probe_columns(prompts, scope, ["embedding"]), rows.select(*columns),
-        cosine_kernel(dim, min_score), k, ["memory_id"], payload, scope, max_probes=max_probes,
+    # What the ranking reads travels with it; texts and the like are looked up for the winners.
+    light = [c for c in payload if c in need]
+    hits = best_k(
+        _probe_columns(prompts, scope, ["embedding"]), rows.select("memory_id", "embedding", *need),
+        cosine_kernel(dim, min_score), k, ["memory_id"], light, scope, max_probes=max_probes,
     )
+    found = with_payload(hits, rows, "memory_id", payload)
+    return found.select("prompt_id", "pool", "score", "memory_id", *[c for c in payload if c != "memory_id"], "rank")
 
 
 def search_scored(
@@ -85,21 +88,23 @@ def search_scored(
     """
     comparable = F.lit(True) if identity is None else same_identity(identity)
     need = ["project"] if scope.project else []
-    columns = list(dict.fromkeys(["memory_id", *need, *payload]))
+    light = [c for c in payload if c in need]
+    columns = ["memory_id", *need]
     rows = filters.apply(knowledge)
     asks = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     scored = best_k(
         _probe_columns(prompts.filter(asks), scope, ["embedding"]),
         rows.select(*dict.fromkeys([*columns, "embedding"]), comparable.alias("comparable")),
         cosine_kernel(dim, None, keep_unscored=True), clamp_limit(limit), ["memory_id"],
-        payload, scope,
+        light, scope,
     )
     recent = best_k(
         _probe_columns(prompts.filter(~asks), scope, []),
         rows.select(*dict.fromkeys([*columns, *_have(rows, ["ts"])])), every_row_kernel(),
-        clamp_limit(limit), [f"-{c}" for c in _have(rows, ["ts", "memory_id"])], payload, scope,
+        clamp_limit(limit), [f"-{c}" for c in _have(rows, ["ts", "memory_id"])], light, scope,
     )
-    return scored.unionByName(recent.select(*scored.columns))
+    found = with_payload(scored.unionByName(recent.select(*scored.columns)), rows, "memory_id", payload)
+    return found.select("prompt_id", "pool", "score", "memory_id", *[c for c in payload if c != "memory_id"], "rank")
 
 
 def search_recent(

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.functions import text as t
@@ -79,6 +79,8 @@ class Curated:
     nodes: DataFrame
     edges: DataFrame
     segments: DataFrame
+    #: Messages and segments, counted while the segments were written; empty if they were not.
+    counted: dict[str, int] = field(default_factory=dict)
 
 
 def curate(
@@ -95,15 +97,20 @@ def curate(
     """New knowledge rows, nodes and edges of a batch of messages.
 
     Pass ``stage`` (``sources.tables.stage``) on real data: segments then are
-    written once and all outputs read that copy. Fails if ``knowledge`` holds
-    vectors of another space.
+    written once, counted on the way, and all outputs read that copy. Fails if
+    ``knowledge`` holds vectors of another space.
     """
     embedder = embedder or HashedEmbedder(rules)
     if knowledge is not None:
         require_identity(knowledge, identity_of(embedder))
-    segments = segment_rows(messages, order, rules)
-    if stage is not None:
-        segments = stage(segments, "segments")
+    counted: dict[str, int] = {}
+    if stage is None:
+        segments = segment_rows(messages, order, rules)
+    else:
+        came, made = Observation("messages"), Observation("segments")
+        messages = messages.observe(came, F.count(F.lit(1)).alias("messages"))
+        segments = stage(segment_rows(messages, order, rules).observe(made, *_counters()), "segments")
+        counted = came.get | made.get
     order = [*order, "seg"]
     facts = segments.filter(F.col("kind") == "knowledge").select(
         *order, "text", "source", to_ts(F.col("ts")).alias("ts"), F.col("ts").alias("ts_raw"),
@@ -123,32 +130,41 @@ def curate(
         nodes=named,
         edges=upsert_edges(triples, edges, tripled, now),
         segments=segments,
+        counted=counted,
     )
 
 
-def curate_counts(segments: DataFrame) -> DataFrame:
-    """Segments per class and relations found, in one pass."""
+def _counters() -> list[Column]:
     def n(kind: str):
         return F.count_if(F.col("kind") == kind)
 
     experience = F.col("kind") == "experience"
-    return segments.agg(
-        F.count("*").alias("segments"),
+    return [
+        F.count(F.lit(1)).alias("segments"),
         n("knowledge").alias("knowledge_segments"),
         n("experience").alias("experience_segments"),
         F.coalesce(F.sum(F.size("relations")), F.lit(0)).cast("bigint").alias("experience_edges"),
         F.count_if(experience & (F.size("relations") == 0)).alias("experience_nodes"),
         F.count_if(F.size("experts") > 0).alias("tagged_segments"),
-    )
+    ]
+
+
+def curate_counts(segments: DataFrame) -> DataFrame:
+    """Segments per class and relations found, in one pass."""
+    return segments.agg(*_counters())
 
 
 def ingest_report(messages: DataFrame, rejects: DataFrame, result: Curated,
                   totals: dict[str, DataFrame]) -> DataFrame:
-    """One row: what came in, what was made of it, and table totals after the write."""
+    """One row: what came in, what was made of it, and table totals after the write.
+
+    Messages and segments are not read again if they were counted while they were written.
+    """
+    spark = messages.sparkSession
+    known = [spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in result.counted.items()])]
     parts = [
-        messages.agg(F.count("*").alias("messages")),
+        *(known if result.counted else [messages.agg(F.count("*").alias("messages")), curate_counts(result.segments)]),
         rejects.agg(F.count("*").alias("malformed_lines")),
-        curate_counts(result.segments),
         result.knowledge.agg(F.count("*").alias("knowledge_added")),
         result.skipped.agg(F.count("*").alias("knowledge_skipped")),
         *[df.agg(F.count("*").alias(f"{name}_total")) for name, df in totals.items()],
