@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mnemo.config import DEFAULT_RULES, Axis
+from mnemo.config import DEFAULT_RULES, AgentRoute, Axis, Identity
 from mnemo.functions.text import SPACES
 from mnemo.sources.tables import spread
 
@@ -57,6 +57,10 @@ DATA_RULES = DEFAULT_RULES.with_(
     ),
     axis_min_confidence=0.5,
     min_score=0.1,
+    identity=Identity(agent_routes=(
+        AgentRoute("northern", ("the", "and", "und", "die", "edly")),
+        AgentRoute("southern", ("les", "une", "que", "los", "de", "mente")),
+    )),
 )
 
 

@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Window, functions as F
 
 from mnemo.catalog.base import DATA_RULES, load, load_text, query, sql_active, sql_axis_columns, sql_strip, utc
 from mnemo.catalog.frames import MEMORIES_SQL, memories
 from mnemo.functions.scalars import to_iso
 from mnemo.operators.audit import store_audit
 from mnemo.operators.ledger import (
-    backlog_depth, classify_duplicates, content_counts, dead_letters, due_events, event_state,
-    last_done, ledger_report, ledger_stats, lifecycle,
+    LOST_WORKER, backlog_depth, classify_duplicates, content_counts, dead_letters, due_events, event_state,
+    last_done, ledger_report, ledger_stats, lifecycle, oldest_first,
 )
 from mnemo.operators.upsert import upsert_knowledge
 from mnemo.plans.approvals import apply_approvals
-from mnemo.plans.fanout import artefact_rows, event_counts, memory_rows
-from mnemo.sources.tables import stage
+from mnemo.plans.fanout import artefact_rows, event_counts, ingest_events, memory_rows
+from mnemo.sources.tables import shared_folder, stage
 from mnemo.sources.events import coerced_decisions, event_rows, parse_events, split_events
+from mnemo.streaming.ingest import EventIngest, Store
 
 # One event per conversation turn: the turn is its decision (a self-assigned
 # approval), its lesson (so a user's lesson repeats the decision) and its summary.
 
 
-def _lines(spark, sf):
+def _lines(spark, sf, shared=True):
+    """``shared``: the system turns of a conversation share one request id."""
     c = load_text(spark, sf, "conversations")
     key = F.concat_ws("-", "conv_id", "turn")
     text, role = F.col("text"), F.col("role")
+    request = F.when((role == "system") & F.lit(shared), F.col("conv_id").cast("string")).otherwise(key)
     event = F.struct(
         F.concat(F.lit("e"), key).alias("event_id"),
-        F.concat(F.lit("r"), F.when(role == "system", F.col("conv_id").cast("string")).otherwise(key)).alias("request_id"),
+        F.concat(F.lit("r"), request).alias("request_id"),
         F.when(role != "system", role).alias("agent"), F.lit("mem").alias("project"),
         text.alias("result_summary"),
         F.when(role == "system", "Failed").when(role == "user", "completed").alias("status"),
@@ -156,6 +163,63 @@ def content_sizes(spark, sf):
     return _valid(spark, sf).select("event_id", content_counts().alias("n")).select("event_id", "n.*")
 
 
+@dataclass(frozen=True)
+class Lengths:
+    """A user's own model: characters and spaces of a text."""
+
+    name: str = "lengths"
+    model: str = "v1"
+    dimensions: int = 2
+
+    def embed_batch(self, texts):
+        return np.array([[len(x), x.count(" ")] for x in texts], np.float32).reshape(-1, 2)
+
+
+_MADE_SQL = f"""
+WITH {_ERRORS_SQL}, {_ITEMS_SQL},
+produced AS (SELECT DISTINCT CASE WHEN role = 'system' THEN 'unknown' ELSE role END AS src, 'out/' || role || '.json' AS dst FROM ok)
+SELECT 'memory' AS kind, 'e' || k || ':' || section AS name, status, length(text) AS size FROM judged WHERE first
+UNION ALL SELECT 'edge', src || '>produced>' || dst, 'approved', NULL FROM produced
+UNION ALL SELECT 'node', label, 'approved', NULL FROM (SELECT src AS label FROM produced UNION SELECT dst FROM produced)"""
+
+
+@query("ingest_events", _MADE_SQL)
+def ingested(spark, sf):
+    """All that a batch of events becomes: memories with a user's own vectors, nodes and edges."""
+    made = ingest_events(stage(_valid(spark, sf), "events"), ["conv_id", "turn"], embedder=Lengths(), rules=DATA_RULES, stage=stage)
+    none = F.lit(None).cast("bigint").alias("size")
+    memories_ = made.knowledge.select(
+        F.lit("memory").alias("kind"), F.concat_ws(":", "source_id", "section").alias("name"), "status",
+        F.col("embedding")[0].cast("bigint").alias("size"),
+    )
+    edges = made.edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src_label", "rel", "dst_label").alias("name"), "status", none)
+    nodes = made.nodes.select(F.lit("node").alias("kind"), F.col("label").alias("name"), "status", none)
+    return memories_.unionByName(edges).unionByName(nodes)
+
+
+@query("event_stream", f"""
+WITH {_ERRORS_SQL}, {_ITEMS_SQL}
+SELECT 'e' || k AS event_id, type, text, status, project, 'done' AS state, 1::BIGINT AS attempts FROM judged WHERE first
+UNION ALL SELECT NULL, error_code, NULL, error_field, NULL, 'invalid', NULL FROM checked WHERE error_code IS NOT NULL""")
+def streamed(spark, sf):
+    """The same lines as a stream, told twice and drained: memories with the state of their event, and rejects."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    store = Store(spark, f"{root}/store")
+    run = EventIngest(store, Lengths(), DATA_RULES)
+    lines = _lines(spark, sf, shared=False).select("value")
+    for told in (lines, lines.filter(F.col("value").contains('"result_summary"'))):
+        told.write.mode("append").text(f"{root}/in")
+        run.drain(f"{root}/in")
+    states_ = run.ledger().select("event_id", "state", "attempts")
+    made = store.knowledge.withColumnRenamed("source_id", "event_id").join(states_, "event_id")
+    made = made.select("event_id", "type", "text", "status", "project", "state", "attempts")
+    none = F.lit(None).cast("string")
+    return made.unionByName(store.quarantine.select(
+        none.alias("event_id"), F.col("error_code").alias("type"), none.alias("text"), F.col("error_field").alias("status"),
+        none.alias("project"), F.lit("invalid").alias("state"), F.lit(None).cast("bigint").alias("attempts"),
+    ))
+
+
 # -- idempotency: few request ids over many events, purchases stored before -----------------------------
 @query("event_dedupe", """
 WITH e AS (SELECT event_id, event_type, user_id || '-' || (props->>'k') AS request_id,
@@ -180,16 +244,20 @@ def deduped(spark, sf):
     return judged.select("event_id", "request_id", "queued", "duplicate", "payload_mismatch")
 
 
-# -- ledger: users are work items; dear errors are failed attempts, purchases done, signups still running ------
-# Errors, purchases and sign-ups are attempts; every other event is an arrival.
-_NOW = "2024-01-31 00:00:00"
+# -- ledger: a user's day is a work item; errors are failed attempts, purchases done, sign-ups running ---------
+# Errors, purchases and sign-ups are attempts, every other event is an arrival. Seen from the middle
+# of the month, later sign-ups are running and later errors wait for their next attempt.
+_NOW, _STALE = "2024-01-16 00:00:00", 21_600
 _LEDGER_SQL = f"""
-work AS (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id),
-att AS (SELECT user_id, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts,
+days AS (SELECT *, user_id || '-' || strftime(ts, '%Y-%m-%d') AS item FROM events),
+work AS (SELECT item, min(ts) AS created_at, count(*) FILTER (WHERE event_type = 'view') AS views,
+  count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS errors,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM days GROUP BY item),
+att AS (SELECT item, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts,
   arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'error') AS bad
-  FROM events WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY user_id),
-j AS (SELECT user_id, created_at, coalesce(attempts, 0) AS attempts, last_type, last_ts, bad,
-  last_type = 'signup' AND last_ts < TIMESTAMP '{_NOW}' - INTERVAL 300 SECOND AS lost FROM work LEFT JOIN att USING (user_id)),
+  FROM days WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY item),
+j AS (SELECT * EXCLUDE (attempts), coalesce(attempts, 0) AS attempts,
+  last_type = 'signup' AND last_ts < TIMESTAMP '{_NOW}' - INTERVAL {_STALE} SECOND AS lost FROM work LEFT JOIN att USING (item)),
 ledger AS (SELECT *, CASE WHEN last_type IS NULL THEN 'queued' WHEN last_type = 'purchase' THEN 'done'
     WHEN last_type = 'error' AND attempts >= 5 THEN 'dead' WHEN last_type = 'error' THEN 'queued'
     WHEN lost AND attempts >= 5 THEN 'dead' WHEN lost THEN 'queued' ELSE 'processing' END AS state,
@@ -197,11 +265,11 @@ ledger AS (SELECT *, CASE WHEN last_type IS NULL THEN 'queued' WHEN last_type =
     WHEN last_type = 'error' AND attempts < 5 THEN last_ts + to_seconds(least(300, pow(2, attempts))::INT)
     WHEN lost AND attempts < 5 THEN TIMESTAMP '{_NOW}' END AS next_attempt,
   CASE WHEN last_type = 'error' OR last_type IS NULL THEN 'failed with ' || bad
-    WHEN lost AND attempts >= 5 THEN coalesce('failed with ' || bad,
-      'worker died mid-event and exhausted max_attempts (no ack, no fail)')
+    WHEN lost AND attempts >= 5 THEN coalesce('failed with ' || bad, '{LOST_WORKER}')
     WHEN last_type = 'signup' THEN 'failed with ' || bad END AS last_error,
   CASE WHEN lost THEN TIMESTAMP '{_NOW}' ELSE coalesce(last_ts, created_at) END AS updated_at FROM j)"""
 _ISO = "%Y-%m-%dT%H:%M:%SZ"
+_DUE_SQL = f"state = 'queued' AND (next_attempt IS NULL OR next_attempt <= TIMESTAMP '{_NOW}')"
 
 
 def _now():
@@ -209,21 +277,29 @@ def _now():
 
 
 def _ledger(spark, sf):
-    e = load(spark, sf, "events").withColumn("ts", utc("ts"))
-    work = e.groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("created_at"))
-    work = work.withColumn("request_id", F.concat(F.lit("r"), "event_id"))
+    item = F.concat_ws("-", "user_id", F.col("ts").cast("date").cast("string")).alias("item")
+    e = load(spark, sf, "events").select("*", item).withColumn("ts", utc("ts"))
     kind = F.col("event_type")
+
+    def n(name, column):
+        return F.count_if(kind == name).alias(column)
+
+    work = e.groupBy(F.col("item").alias("event_id")).agg(
+        F.min("ts").alias("created_at"), n("view", "decisions"), n("click", "lessons"), n("error", "open_tasks"),
+        n("purchase", "artefacts"),
+    )
+    work = work.withColumn("request_id", F.concat(F.lit("r"), "event_id"))
     attempts = e.filter(kind.isin("error", "purchase", "signup")).select(
-        F.col("user_id").alias("event_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("attempt_id"),
+        F.col("item").alias("event_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("attempt_id"),
         F.when(kind == "error", "failed").when(kind == "purchase", "done").alias("outcome"),
         F.when(kind == "error", F.concat(F.lit("failed with "), F.col("value").cast("string"))).alias("error"),
         F.when(kind != "signup", F.col("ts")).alias("finished_at"),
     )
-    return lifecycle(work, attempts, _now())
+    return lifecycle(work, attempts, _now(), _STALE)
 
 
 @query("lifecycle", f"""
-WITH {_LEDGER_SQL} SELECT user_id AS event_id, state, attempts, strftime(next_attempt, '{_ISO}') AS next_attempt,
+WITH {_LEDGER_SQL} SELECT item AS event_id, state, attempts, strftime(next_attempt, '{_ISO}') AS next_attempt,
   last_error, strftime(updated_at, '{_ISO}') AS updated_at FROM ledger""")
 def states(spark, sf):
     return _ledger(spark, sf).select(
@@ -252,45 +328,64 @@ def last_ingestion(spark, sf):
 
 
 @query("due_events", f"""
-WITH {_LEDGER_SQL} SELECT user_id AS event_id, strftime(next_attempt, '{_ISO}') AS next_attempt FROM ledger
-WHERE state = 'queued' AND (next_attempt IS NULL OR next_attempt <= TIMESTAMP '{_NOW}')""")
+WITH {_LEDGER_SQL} SELECT item AS event_id, strftime(next_attempt, '{_ISO}') AS next_attempt FROM ledger WHERE {_DUE_SQL}""")
 def due(spark, sf):
     return due_events(_ledger(spark, sf), _now()).select(
         "event_id", to_iso(F.col("next_attempt")).alias("next_attempt")
     )
 
 
+@query("due_order", f"""
+WITH {_LEDGER_SQL} SELECT row_number() OVER (ORDER BY next_attempt, created_at, item) AS place, item AS event_id
+FROM ledger WHERE {_DUE_SQL} QUALIFY place <= 200""")
+def first_due(spark, sf):
+    """The 200 events to take up next, with their place in the queue."""
+    rows = oldest_first(due_events(_ledger(spark, sf), _now())).limit(200)
+    return rows.select(
+        F.row_number().over(Window.orderBy("next_attempt", "created_at", "event_id")).cast("bigint").alias("place"), "event_id"
+    )
+
+
 @query("dead_letters", f"""
-WITH {_LEDGER_SQL} SELECT user_id AS event_id, attempts, last_error FROM ledger WHERE state = 'dead'
-ORDER BY updated_at DESC, user_id LIMIT 20""")
+WITH {_LEDGER_SQL} SELECT item AS event_id, attempts, last_error FROM ledger WHERE state = 'dead'
+ORDER BY updated_at DESC, item LIMIT 20""")
 def letters(spark, sf):
     return dead_letters(_ledger(spark, sf), 20).select("event_id", "attempts", "last_error")
 
 
 @query("ledger_report", f"""
-WITH {_LEDGER_SQL} SELECT {_STATS}, count(*) AS total,
-  count(*) FILTER (WHERE state IN ('queued', 'processing')) AS depth,
-  least(20, count(*) FILTER (WHERE state = 'dead'))::INT AS letters FROM ledger""")
+WITH {_LEDGER_SQL},
+s AS (SELECT {_STATS}, count(*) AS total, count(*) FILTER (WHERE state IN ('queued', 'processing')) AS depth FROM ledger),
+d AS (SELECT row_number() OVER (ORDER BY updated_at DESC, item) AS place, item, attempts, last_error, updated_at
+  FROM ledger WHERE state = 'dead' QUALIFY place <= 20)
+SELECT s.*, place, item AS event_id, 'r' || item AS request_id, attempts, last_error,
+  strftime(updated_at, '{_ISO}') AS updated_at FROM s LEFT JOIN d ON true""")
 def report(spark, sf):
-    return ledger_report(_ledger(spark, sf)).select(
-        "queued", "processing", "done", "dead", "total", "depth", F.size("dead_letters").alias("letters")
+    """The report, a row for each dead letter in it."""
+    rows = ledger_report(_ledger(spark, sf))
+    rows = rows.select("queued", "processing", "done", "dead", "total", "depth", F.posexplode_outer("dead_letters").alias("at", "d"))
+    return rows.select(
+        *rows.columns[:6], (F.col("at") + 1).cast("bigint").alias("place"), "d.event_id", "d.request_id", "d.attempts",
+        "d.last_error", to_iso(F.col("d.updated_at")).alias("updated_at"),
     )
 
 
 @query("event_state", f"""
-WITH {_LEDGER_SQL} SELECT user_id AS event_id, state, attempts, last_error, 'agent' || user_id AS agent,
-  0 AS n_decisions FROM ledger""")
+WITH {_LEDGER_SQL} SELECT item AS event_id, state, attempts, last_error, 'agent' || item AS agent,
+  views AS n_decisions, clicks AS n_lessons, errors AS n_open_tasks, purchases AS n_artefacts FROM ledger""")
 def read_back(spark, sf):
+    """A day's views stand for its event's decisions, clicks for lessons, errors for tasks, purchases for artefacts."""
     none = F.lit(None).cast("string")
+    lists = ["decisions", "lessons", "open_tasks", "artefacts"]
     rows = _ledger(spark, sf).withColumns({
         "agent": F.concat(F.lit("agent"), "event_id"), "actor": none, "project": none, "session_id": none,
-        "timestamp": none, "status": F.lit("completed"), "decisions": F.array(), "lessons": F.array(),
-        "open_tasks": F.array(), "artefacts": F.array(),
+        "timestamp": none, "status": F.lit("completed"),
+        **{c: F.array_repeat(F.lit("item"), F.col(c).cast("int")) for c in lists},
     })
     state = event_state(rows)
     return state.select(
         "event_id", "state", "attempts", "last_error", "provenance.agent",
-        F.col("counts.decisions").alias("n_decisions"),
+        *[F.col(f"counts.{c}").cast("bigint").alias(f"n_{c}") for c in lists],
     )
 
 

@@ -32,19 +32,25 @@ from mnemo.plans.reembed import reembed
 from mnemo.plans.retrieve import apply_budget, merge, retrieve, route
 from mnemo.sources.tables import all_entries, stage
 
-DIM = 64
-
 # One probe per label: the mean of its vectors.
 _CENTROID_SQL = """
 cells AS (SELECT label, i, avg(v) AS a FROM (SELECT label, unnest(embedding)::DOUBLE AS v,
-  unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL),
+  unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
 probes AS (SELECT label AS prompt_id, list(a::FLOAT::DOUBLE ORDER BY i) AS v FROM cells GROUP BY ALL),
 scores AS (SELECT prompt_id, vec_id AS memory_id, label,
   list_cosine_similarity(v, embedding::DOUBLE[]) AS raw_score FROM probes, embeddings)"""
 
 
+def _dim(e):
+    """The length that all vectors have."""
+    sizes = e.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"vectors of {sizes[0]} to {sizes[1]} entries")
+    return sizes[0] or 0
+
+
 def _centroids(e):
-    mean = F.array(*[F.avg(F.col("embedding")[i]) for i in range(DIM)]).cast("array<float>")
+    mean = F.array(*[F.avg(F.col("embedding")[i]) for i in range(_dim(e))]).cast("array<float>")
     return e.groupBy("label").agg(mean.alias("embedding")).withColumnRenamed("label", "prompt_id")
 
 
@@ -59,7 +65,7 @@ SELECT prompt_id, memory_id, round(raw_score, 6) AS score, row_number() OVER (
 FROM scores QUALIFY rank <= 5""")
 def vector_top(spark, sf):
     e = _vectors(spark, sf)
-    hits = vector_topk(_centroids(e), e, DIM, k=5, min_score=None)
+    hits = vector_topk(_centroids(e), e, _dim(e), k=5, min_score=None)
     return hits.select("prompt_id", "memory_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -70,7 +76,7 @@ SELECT prompt_id, memory_id, round(raw_score, 6) AS score, label, row_number() O
 FROM scores WHERE raw_score >= 0.3 QUALIFY rank <= 50""")
 def vector_top_floor(spark, sf):
     e = _vectors(spark, sf)
-    hits = vector_topk(_centroids(e), e, DIM, k=50, min_score=0.3, payload=["label"])
+    hits = vector_topk(_centroids(e), e, _dim(e), k=50, min_score=0.3, payload=["label"])
     return hits.select(
         "prompt_id", "memory_id", "score", "label", F.col("rank").cast("bigint").alias("rank")
     )
@@ -98,7 +104,7 @@ def calibrate(spark, sf):
     """Best scores per label mean against those of every row with the next label's mean."""
     e = _vectors(spark, sf)
     means = _centroids(e)
-    top = vector_topk(means, e, DIM, k=20, min_score=None)
+    top = vector_topk(means, e, _dim(e), k=20, min_score=None)
     other = means.select(F.col("prompt_id").alias("next"), F.col("embedding").alias("mean"))
     background = e.withColumn("next", (F.col("label") + 1) % 10).join(other, "next")
     background = background.select(F.round(cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
@@ -119,7 +125,7 @@ def mixed(spark, sf):
 
 def _identity(model):
     return F.struct(
-        F.lit("given").alias("backend"), F.lit(model).alias("model"), F.lit(DIM).alias("dim")
+        F.lit("given").alias("backend"), F.lit(model).alias("model"), F.lit(64).alias("dim")
     )
 
 
@@ -307,15 +313,19 @@ def sections(spark, sf):
     )
 
 
-@query("project_state", _SECTION_SQL + """
-SELECT p.project, count(*) FILTER (WHERE section = 'approved_decisions') AS approved,
-  count(*) FILTER (WHERE section = 'unresolved_decisions') AS unresolved,
-  count(*) FILTER (WHERE section = 'open_tasks') AS tasks,
-  count(*) FILTER (WHERE section = 'recent_experiences') AS experiences,
-  (SELECT least(count(*), 10) FROM documents d WHERE d.source = p.project) AS artefacts,
+def _ids(section):
+    return f"coalesce(string_agg(memory_id, ',' ORDER BY rank) FILTER (WHERE section = '{section}'), '')"
+
+
+@query("project_state", _SECTION_SQL + f""",
+artefacts AS (SELECT source, string_agg(doc_id || '>' || lang, ',' ORDER BY doc_id) AS made FROM (SELECT * FROM documents
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10) GROUP BY source)
+SELECT p.project, {_ids('approved_decisions')} AS approved, {_ids('unresolved_decisions')} AS unresolved,
+  {_ids('open_tasks')} AS tasks, {_ids('recent_experiences')} AS experiences, any_value(made) AS artefacts,
   CASE WHEN count(*) FILTER (WHERE section IN ('approved_decisions', 'open_tasks')) > 0
     THEN 'active' ELSE 'unknown' END AS current_status
-FROM (SELECT DISTINCT source AS project FROM documents) p LEFT JOIN ranked USING (project) GROUP BY p.project""")
+FROM (SELECT DISTINCT source AS project FROM documents) p LEFT JOIN ranked USING (project)
+LEFT JOIN artefacts a ON a.source = p.project GROUP BY p.project""")
 def states(spark, sf):
     docs = load(spark, sf, "documents")
     edges = docs.select(
@@ -326,13 +336,14 @@ def states(spark, sf):
     k = memories(spark, sf).withColumn("project", F.col("source"))
     state = project_state(docs.select(F.col("source").alias("project")), k, edges)
 
-    def n(c, name):
-        return F.size(c).cast("bigint").alias(name)
+    def ids(c, name):
+        return F.array_join(F.transform(c, lambda e: e["memory_id"].cast("string")), ",").alias(name)
 
+    made = F.transform("latest_artefacts", lambda e: F.concat_ws(">", e["edge_id"].cast("string"), e["dst_label"]))
     return state.select(
-        "project", n("approved_decisions", "approved"), n("unresolved_decisions", "unresolved"),
-        n("open_tasks", "tasks"), n("recent_experiences", "experiences"),
-        n("latest_artefacts", "artefacts"), "current_status",
+        "project", ids("approved_decisions", "approved"), ids("unresolved_decisions", "unresolved"),
+        ids("open_tasks", "tasks"), ids("recent_experiences", "experiences"),
+        F.array_join(made, ",").alias("artefacts"), "current_status",
     )
 
 

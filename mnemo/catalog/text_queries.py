@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from mnemo.catalog.base import (
@@ -12,7 +14,7 @@ from mnemo.config import (
     EXPERIENCE_PATTERNS, FILE_PATTERN, MODULE_PATTERN, RELATION_CUES, RELATION_CUE_WORDS,
     SECRET_KEYS, AgentRoute, Identity,
 )
-from mnemo.functions.redact import redact_df, redact_text
+from mnemo.functions.redact import redact_df, redact_text, secret_patterns
 from mnemo.functions import text as t
 from mnemo.functions.scalars import (
     backoff_seconds, bad_ts, budget_chars, digest_chars, json_doubles, json_strings,
@@ -326,30 +328,16 @@ _KEYS = [*SECRET_KEYS, "token"]
 
 
 def sql_redact(c: str, keys=tuple(_KEYS)) -> str:
-    """The same masks for an engine without back-references: one pattern per quote."""
-    names = "|".join(keys)
-    mask = "[REDACTED]"
-    q, qq = "''", '"'  # a quote inside a SQL literal
-    steps = [
-        (r"\bsk-[A-Za-z0-9_\-]{16,}", mask),
-        (r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,}", mask),
-        (r"\b(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{16,}", mask),
-        (r"\bxox[abposr]-[A-Za-z0-9-]{10,}", mask),
-        (r"\bxapp-[0-9]-[A-Za-z0-9-]{10,}", mask),
-        (r"\bAKIA[0-9A-Z]{16}\b", mask),
-        (r"\bASIA[0-9A-Z]{16}\b", mask),
-        (r"\bAIza[0-9A-Za-z_\-]{35}\b", mask),
-        (r"\b([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@]+:)[^\s@/]+(@)", rf"\1{mask}\2"),
-        (r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", mask),
-        (r"(?i)\b(authorization\s*[:=]\s*)(?:bearer|basic|token)\s+\S+", rf"\1{mask}"),
-        (r"(?i)\bbearer\s+[A-Za-z0-9._\-]{12,}", f"Bearer {mask}"),
-        *[(rf"(?i)([{qq}{q}]?(?:{names})[{qq}{q}]?\s*[:=]\s*){x}([^{qq}{q}]{{4,}}){x}", rf"\1{x}{mask}{x}")
-          for x in (qq, q)],
-        (rf"(?i)\b((?:{names})\s*[:=]\s*)([^\s,;&{qq}{q}]{{4,}})", rf"\1{mask}"),
-        (r"(?s)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----", mask),
-    ]
-    for pattern, new in steps:
-        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    """The same masks for an engine without back-references: that pattern once per quote."""
+    for pattern, new in secret_patterns(keys):
+        pattern = pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+        new = re.sub(r"\$(\d)", r"\\\1", new)
+        quotes = ('"', "'") if r"\2" in pattern else ("",)
+        for quote in quotes:
+            one = pattern.replace(r"([\"'])", quote).replace(r"\2", quote) if quote else pattern
+            put = new.replace(r"\2", quote) if quote else new
+            one, put = (x.replace("'", "''") for x in (one, put))
+            c = f"regexp_replace({c}, '{one}', '{put}', 'g')"
     return c
 
 

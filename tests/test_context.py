@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mnemo.config import DEFAULT_RULES, Identity
+from mnemo.config import AgentRoute, DEFAULT_RULES, Identity
 from mnemo.functions import text as t
 from mnemo.functions.vectors import HashedEmbedder, embed
 from mnemo.operators.audit import IdentityMismatch, store_audit
@@ -141,7 +141,10 @@ def test_simple_digest(asked, tables):
 
 
 def test_context_pack(spark, tables):
-    rules = RULES.with_(identity=Identity(final_authority="the owner", operating_rules=("Be brief.",), persona=(("voice", "plain"),)))
+    rules = RULES.with_(identity=Identity(
+        final_authority="the owner", operating_rules=("Be brief.",), persona=(("voice", "plain"),),
+        agent_routes=(AgentRoute("architect", ("review",)),),
+    ))
     asked = spark.createDataFrame(
         [(1, "Review the vector store", "x/p", None, None), (2, "Review the vector store", None, None, None), (3, "Review the vector store", "p", None, 50)],
         "prompt_id int, text string, project_hint string, active_workspace string, token_budget int")

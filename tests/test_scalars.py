@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from mnemo.config import DEFAULT_RULES
+from mnemo.config import DEFAULT_RULES, AgentRoute, Identity
 from mnemo.functions import scalars as s
 
 C = F.col("c")
@@ -44,8 +44,11 @@ def test_project_comes_from_hints_only(spark):
 
 
 def test_agent_with_most_hits(column):
-    got = column(s.recommend_agent(C), ["fix the bug in this module", "review the design", "hello", "plan a build", None])
-    assert got == ["builder", "architect", "architect", "builder", "architect"]
+    routes = (AgentRoute("smith", ("forge", "anvil", "iron")), AgentRoute("cook", ("iron", "stew", "Plate")))
+    rules = DEFAULT_RULES.with_(identity=Identity(default_agent="host", agent_routes=routes))
+    texts = ["the anvil and the forge", "stew on a plate", "hello", "iron", "iron stew", None]
+    assert column(s.recommend_agent(C, rules), texts) == ["smith", "cook", "host", "smith", "cook", "host"]
+    assert column(s.recommend_agent(C), ["iron", None]) == ["generalist"] * 2
 
 
 def test_round6_matches_exact_rounding(column):
