@@ -128,7 +128,8 @@ class EventIngest:
     def _feed(self, due: DataFrame, batch_id: int) -> None:
         store, now = self.store, F.current_timestamp()
         self._scratch = f"{store.root}/_scratch/{batch_id}"
-        made, ended = self._apart(due, now)
+        stored = {n: store.read(n, before=batch_id) for n in ("nodes", "edges")}
+        made, ended = self._apart(due, stored, now)
         for name, key in KEYS.items():
             parts = [m[name].withColumn("_part", F.lit(i)) for i, m in enumerate(made)]
             rows = parts[0] if parts else store.empty(name)
@@ -143,10 +144,10 @@ class EventIngest:
         store.write("outcomes", fit(outcomes.withColumn("finished_at", now), OUTCOMES), batch_id)
         store.files.drop(self._scratch)
 
-    def _apart(self, due: DataFrame, now: Column) -> tuple[list[dict], list[DataFrame]]:
+    def _apart(self, due: DataFrame, stored: dict, now: Column) -> tuple[list[dict], list[DataFrame]]:
         """Tables made of the events, and how each ended; if a job fails, of each half by itself."""
         try:
-            return self._fan_out(due, now)
+            return self._fan_out(due, stored, now)
         except Exception as error:
             if _stopped(error):
                 raise
@@ -158,17 +159,17 @@ class EventIngest:
         if not differs:
             return [], [_ended(due, "failed", F.lit(said))]
         bit = F.shiftright(key, (differs & -differs).bit_length() - 1).bitwiseAND(F.lit(1))
-        parts = [self._apart(due.filter(bit == side), now) for side in (0, 1)]
+        parts = [self._apart(due.filter(bit == side), stored, now) for side in (0, 1)]
         return [m for made, _ in parts for m in made], [e for _, ended in parts for e in ended]
 
-    def _fan_out(self, due: DataFrame, now: Column) -> tuple[list[dict], list[DataFrame]]:
+    def _fan_out(self, due: DataFrame, stored: dict, now: Column) -> tuple[list[dict], list[DataFrame]]:
         good, bad = split_events(parse_events(due.drop("error_code", "error_field"), self.rules))
         # Events that came without an id carry the one given on acceptance.
         rows = good.select("created_at", F.col("event_id").alias("_id"), "event.*")
         rows = rows.drop("event_id").withColumnRenamed("_id", "event_id")
         # Keys of memories are scoped to the event, so those of another attempt cannot be met.
         out = ingest_events(
-            rows, ["created_at", "event_id"], None, self.store.nodes, self.store.edges, self.embedder,
+            rows, ["created_at", "event_id"], None, stored["nodes"], stored["edges"], self.embedder,
             self.rules, now, self._stage,
         )
         made = {n: self._stage(fit(getattr(out, n), TABLES[n].schema), n) for n in KEYS}

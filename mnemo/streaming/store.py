@@ -141,9 +141,13 @@ class BatchTables:
     def read_batch(self, name: str, batch_id: int) -> DataFrame:
         return self._read(name, [self.path(name, batch_id)])
 
-    def read(self, name: str) -> DataFrame:
-        """The table as of now. Keyed tables carry ``prefix``; a filter on it prunes folders."""
-        return self._read(name, self.folders(name))
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """The table as of now, or as batch ``before`` met it, also when that batch is replayed.
+
+        Keyed tables carry ``prefix``; a filter on it prunes folders.
+        """
+        later = [] if before is None else [self.path(name, b) for b in self._batches(name) if b >= before]
+        return self._read(name, [f for f in self.folders(name) if f not in later])
 
     def write(self, name: str, df: DataFrame, batch_id: int) -> None:
         """Put a batch's rows in place of what that batch wrote before."""

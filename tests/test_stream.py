@@ -80,7 +80,7 @@ def test_a_failing_event_is_retried_without_input_while_others_are_stored(spark,
     put(folder, "a.json", *others, {"event_id": "bad", "request_id": "bad", "lessons": [{"text": "poison"}]})
     query = run.start(str(folder), every="0 seconds")
     try:
-        end = time.monotonic() + 240
+        end = time.monotonic() + 600
         while store.read("outcomes").filter("event_id = 'bad' AND attempt = 5").isEmpty():
             assert query.exception() is None and time.monotonic() < end
             time.sleep(1)
@@ -190,16 +190,16 @@ def test_a_replayed_batch_adds_nothing(spark, place):
 def test_a_batch_reads_its_own_key_prefixes_however_many_batches_there_were(spark, place):
     store, _ = place
     run, most = EventIngest(store), []
-    store.fan = 3
-    for b in range(9):
+    store.fan = 2
+    for b in range(5):
         e = {"event_id": f"e{b}", "request_id": f"r{b}", "agent": "builder", "artefacts": [{"path_or_ref": f"pkg/{b}.py"}]}
         run.run_batch(todo(spark, b, [e]), b)
         keys = spark.range(1).select(node_id(F.lit("builder"), F.lit("entity")).alias("node_id"))
         most.append(pruned(store.nodes, keys, "node_id").select(F.input_file_name()).distinct().count())
     assert max(len(store.folders(n)) for n in store.tables) <= 2 * 3 + 2
-    # One agent, nine artefacts: the agent's node is found in its folder each time.
-    assert store.nodes.count() == 10 and store.edges.count() == 9
-    assert max(most) <= 2 and states(run) == {f"e{b}": ("done", 1) for b in range(9)}
+    # One agent, five artefacts: the agent's node is found in its folder each time.
+    assert store.nodes.count() == 6 and store.edges.count() == 5
+    assert max(most) <= 2 and states(run) == {f"e{b}": ("done", 1) for b in range(5)}
 
 
 @pytest.fixture
