@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import Row, functions as F
 
 from mnemo.config import MASK
@@ -78,3 +80,25 @@ def test_prefilter_lets_no_folded_letter_through(column):
         "paſſword = hunter2hunter2", "toKen: abcdef1234567890", "aİza plain text",
     ]
     assert column(redact_text(c), values) == column(bare, values)
+
+
+def test_patterns_run_only_over_texts_that_hold_their_pieces(spark):
+    from mnemo.functions.redact import _fold, _gates
+
+    keys = ["api[_-]?key", "token"]
+    texts = ["the asia monkey: a keyboard, http://host/x", "ASIA and api_key = x", "Bearer of the tocken", "use toKen=1", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    gates = F.array(*_gates(C, _fold(C), keys))
+    got = [r.g for r in df.select("i", gates.alias("g")).orderBy("i").collect()]
+    assert [[i for i, held in enumerate(g) if held] for g in got] == [[8], [6, 12, 13], [11], [12, 13], []]
+
+
+def test_masks_do_not_open_or_close_a_pattern(column):
+    keys = ["api[_-]?key", "bearer[_-]?token", "secret"]
+    pieces = [*SECRETS, "secret=", "api-key: 'x", "bearer_", "token", "://", ":", "=", "\"", "\n", "sk-", "Bearer "]
+    rng = random.Random(6)
+    values = [rng.choice(["", " "]).join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    bare = C
+    for pattern, new in secret_patterns(keys):
+        bare = F.regexp_replace(bare, pattern, new)
+    assert column(redact_text(C, keys), values) == column(bare, values)
