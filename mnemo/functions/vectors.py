@@ -11,6 +11,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -222,3 +223,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(
         (F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / F.sqrt(norms)
     ).otherwise(F.lit(0.0))
+
+
+def paired_cosine(a: Column, b: Column) -> Column:
+    """``cosine`` for columns of many pairs, in Arrow batches; null vectors give 0.0 as well."""
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.zeros(len(x))
+        n, m = (pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False) for v in (x, y))
+        for size in np.unique(n[(n == m) & (n > 0)]):
+            rows = np.flatnonzero((n == m) & (n == size))
+            for start in range(0, len(rows), 2048):
+                at = rows[start:start + 2048]
+                flat = [v.take(pa.array(at)).flatten() for v in (x, y)]
+                p, q = (f.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size) for f in flat)
+                norms = np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q)
+                # A missing component leaves no length to compare.
+                usable = ~(norms <= 0)
+                for f in flat:
+                    if f.null_count:
+                        usable &= ~f.is_null().to_numpy(zero_copy_only=False).reshape(-1, size).any(1)
+                out[at[usable]] = np.einsum("ij,ij->i", p[usable], q[usable]) / np.sqrt(norms[usable])
+        return pa.array(out)
+
+    return run(a, b)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mnemo.config import DEFAULT_RULES, STATUSES, Rules
 from mnemo.functions.scalars import round6, to_ts
 from mnemo.functions.text import once
-from mnemo.functions.vectors import cosine
+from mnemo.functions.vectors import paired_cosine
 from mnemo.operators.overlap import with_payload
 from mnemo.operators.predicates import same_identity, status_of, visible
 from mnemo.operators.probe import SALTS
@@ -208,9 +208,11 @@ def search(
     # The key is a hash; the columns settle what it lets through.
     for name in EQUAL:
         fits &= or_none(name, F.col(f"_{name}") == F.col(name))
-    score = F.when(F.col("embedding").isNotNull() & F.col("_comparable"), round6(cosine(F.col("embedding"), F.col("_vector"))))
+    # Pairs without a score send no vectors to Python.
+    asks = F.col("embedding").isNotNull() & F.col("_comparable")
+    near = paired_cosine(F.when(asks, F.col("embedding")), F.when(asks, F.col("_vector")))
     hits = rows.join(asked, "key").filter(fits).select(
-        "group", "memory_id", score.alias("score"), "limit",
+        "group", "memory_id", F.when(asks, round6(near)).alias("score"), "limit",
         F.when(F.col("embedding").isNull(), F.col("_ts")).alias("newest"),
         F.when(F.col("embedding").isNull(), F.col("memory_id")).alias("latest"),
     )

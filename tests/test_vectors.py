@@ -102,3 +102,32 @@ def test_reembed_changes_space_and_tags(spark):
     assert [len(r.embedding) for r in out] == [32] * 3
     assert [r.experts for r in out] == [["linux_pro"], [], ["cto"]]
     assert out[0].embed_identity.model == "md5-32"
+
+
+def test_paired_cosine_equals_cosine(spark):
+    from mnemo.functions.vectors import cosine, paired_cosine
+
+    rng = np.random.default_rng(4)
+    pairs = [([float(v) for v in rng.normal(size=n)], [float(v) for v in rng.normal(size=m)]) for n, m in [(8, 8)] * 40 + [(3, 3), (8, 3)]]
+    pairs += [([], []), (None, [1.0]), ([1.0], None), ([0.0, 0.0], [1.0, 2.0]), ([1.0, None], [1.0, 2.0]), ([1.0, 2.0], [2.0, 4.0])]
+    df = spark.createDataFrame(pairs, "a array<float>, b array<float>")
+    for r in df.select(cosine(F.col("a"), F.col("b")).alias("x"), paired_cosine(F.col("a"), F.col("b")).alias("y")).collect():
+        assert abs(r.x - r.y) < 1e-12
+
+
+def test_searches_compare_vectors_in_batches(spark):
+    """Not number by number in the plan, where one pair costs thousands of expression steps."""
+    from mnemo.plans.searches import search
+
+    names = "project memory_type source source_type status entity".split()
+    asked = spark.sql("SELECT 1 AS request_id, " + ", ".join(f"CAST(NULL AS string) AS {n}" for n in names) + (
+        ", false AS approved_only, CAST(NULL AS array<string>) AS experts, CAST(NULL AS double) AS min_confidence,"
+        " CAST(NULL AS timestamp) AS date_from, CAST(NULL AS timestamp) AS date_to, 5 AS limit, array(1f, 2f) AS embedding"
+    ))
+    rows = spark.sql(
+        "SELECT id AS memory_id, 'x' AS text, 'a' AS type, 'approved' AS status, 'p' AS project, 's' AS source, 't' AS source_type, 1d AS confidence,"
+        " CAST(NULL AS timestamp) AS ts, array('e') AS experts, array(1f, CAST(id AS float)) AS embedding FROM range(9)"
+    )
+    hits = search(asked, rows)
+    assert "zip_with" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.memory_id, r.rank) for r in hits.orderBy("rank").collect()] == [(2, 1), (3, 2), (1, 3), (4, 4), (5, 5)]
