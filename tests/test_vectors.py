@@ -130,4 +130,4 @@ def test_searches_compare_vectors_in_batches(spark):
     )
     hits = search(asked, rows)
     assert "zip_with" not in hits._jdf.queryExecution().optimizedPlan().toString()
-    assert [(r.memory_id, r.rank) for r in hits.orderBy("rank").collect()] == [(2, 1), (3, 2), (1, 3), (4, 4), (5, 5)]
+    assert [(r.memory_id, r.rank) for r in hits.orderBy("rank").collect()] == [(2, 1), (3, 2), (4, 3), (5, 4), (6, 5)]
