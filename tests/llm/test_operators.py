@@ -257,6 +257,33 @@ def test_perplexity(docs, none):
     assert perplexity.score(none, priced, n, config).count() == 0
 
 
+def test_spelling_learns_from_every_word(spark):
+    """Learners together take every known word once; the mean of what they learned prices the words."""
+    config = perplexity.ScoreConfig(sample=80, wide=2, group=8, bits=12)
+    made = [f"w{i * 7919 % 1000}{'abc'[i % 3]}" for i in range(300)]
+    data = spark.createDataFrame([(" ".join(made), True), ("unknown words", False)], "text string, training boolean")
+    priced, n, v = perplexity.fit(data, config)
+    known = [w.encode() for w in sorted(set(made))] + [perplexity.END]
+    assert v == len(known)
+    counts = np.zeros((2, 1 << config.bits), np.float32)
+    for _, slots, _, bit in perplexity.bit_contexts(known, config.bits):
+        np.add.at(counts, (np.broadcast_to(bit, slots.shape), slots), 1)
+    rows = spark.createDataFrame([(w,) for w in known], "word binary")
+    rows = rows.selectExpr("word", "xxhash64(word) AS h").orderBy("h", "word").collect()
+    shares = [[bytes(r.word) for r in rows if r.h % 4 == k] for k in range(math.ceil(v / 80))]
+    assert len(shares) == 4 and all(shares) and sum(map(len, shares)) == v
+    each = [perplexity.Mixer(counts) for _ in shares]
+    for m, share in zip(each, shares):
+        m.learn(share, config, 2)
+    mixer = perplexity.Mixer(counts)
+    mixer.weights, mixer.map = (np.mean([getattr(m, x) for m in each], axis=0) for x in ("weights", "map"))
+    got = {bytes(r.word): r for r in priced.collect()}
+    spelling = dict(zip(got, 10 ** mixer.log10(list(got), config.bits)))
+    for w, r in got.items():
+        p = max(r.c - config.discount, 0) / n + config.discount * v / n * spelling[w]
+        assert math.isclose(10 ** r.logp, p, rel_tol=1e-9)
+
+
 def test_spelling_is_a_distribution():
     mixer = perplexity.Mixer(np.random.default_rng(0).integers(0, 5, (2, 1 << 10)).astype(np.float32))
     one = [bytes([b]) for b in range(256) if b != perplexity.STOP]
