@@ -63,6 +63,10 @@ def overlap(probes: DataFrame, rows: DataFrame, key: str, scope: Scope = Scope()
 
 
 def with_payload(hits: DataFrame, rows: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
-    """``hits`` with further columns of the rows they name; only winners are looked up."""
+    """``hits`` with further columns of the rows they name; only winners are looked up.
+
+    The hits are written first, so Spark knows how many there are: where they are few they are
+    broadcast and the rows, with their texts, stay in place.
+    """
     more = [c for c in dict.fromkeys(payload) if c not in hits.columns]
-    return hits.join(rows.select(key, *more), key) if more else hits
+    return stage(hits, "hits").join(rows.select(key, *more), key) if more else hits

@@ -14,6 +14,7 @@ from mnemo.operators.kernels import cosine_kernel, every_row_kernel
 from mnemo.operators.overlap import k_best, overlap, seen, with_payload
 from mnemo.operators.predicates import Filters, clamp_limit, same_identity, tagged, visible
 from mnemo.operators.probe import Scope, best_k
+from mnemo.sources.tables import stage
 
 KNOWLEDGE_PAYLOAD = ["text", "source", "source_type", "source_id", "ts", "type", "status",
                      "project", "confidence", "experts"]
@@ -141,7 +142,9 @@ def graph_topk(
         rows = rows.filter(tagged(experts))
     need = ["project"] if scope.project else []
     need += ["experts"] if scope.axes else []
-    tokens = with_edge_tokens(rows, rules).select("edge_id", "tokens", *need)
+    # Labels may be read off long texts, and the ranking reads the edges three times.
+    rows = stage(with_edge_tokens(rows, rules).select(*dict.fromkeys(["edge_id", "tokens", *need, *payload])), "edges")
+    tokens = rows.select("edge_id", "tokens", *need)
     probes = prompts.withColumn("tokens", token_set(F.col("text"), rules))
     hits = overlap(_probe_columns(probes, scope, ["tokens"]), tokens, "edge_id", scope)
     found = with_payload(k_best(hits, k, ["edge_id"]), rows, "edge_id", payload)

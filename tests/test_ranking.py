@@ -237,3 +237,39 @@ def test_recent_search_and_lookup(spark):
     assert [r.memory_id for r in get_by_id(k, ids, "decision").collect()] == [4]
     assert get_by_id(k, ids, "task").count() == 0
     assert [clamp_limit(x) for x in (None, 0, 7, 999)] == [20, 1, 7, 200]
+
+
+def test_edges_are_made_once(spark):
+    """Labels may come of long texts: ranking, its token table and the payload read one copy of them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(x):
+        made.add(1)
+        return f"topic{x}"
+
+    edges = spark.range(12).select(
+        F.col("id").alias("edge_id"), label.asNondeterministic()("id").alias("src_label"),
+        F.lit("rel").alias("rel"), F.lit("target").alias("dst_label"),
+    )
+    asked = spark.createDataFrame([(1, "topic3 target"), (2, "topic7")], "prompt_id int, text string")
+    got = graph_topk(asked, edges, 2, payload=["src_label", "dst_label"]).collect()
+    assert {(r.prompt_id, r["rank"], r.src_label) for r in got} == {(1, 1, "topic3"), (1, 2, "topic0"), (2, 1, "topic7")}
+    assert made.value == 12
+
+
+def test_rows_are_scored_in_bounded_slices():
+    import pyarrow as pa
+
+    sizes = []
+
+    def score(n, rows):
+        sizes.append(rows.num_rows)
+        return rows, np.arange(rows.num_rows)[None, :] * np.ones((n, 1))
+
+    kernel = probe.Kernel(lambda probes: probes.num_rows, score)
+    block = probe._Block(pa.table({"prompt_id": [1, 2]}), kernel, Scope(), 3, ["id"], ["id"])
+    block.add(pa.table({"id": np.arange(5000)}))
+    assert max(sizes) <= probe.SLICE and sum(sizes) == 5000
+    best = block.kept.filter(pa.array(block.kept["_probe"].to_numpy() == 0))["id"].to_pylist()
+    assert best == [2047, 4095, 2046]
