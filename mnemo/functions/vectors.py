@@ -84,15 +84,16 @@ def bucket(token: str, dim: int) -> int:
 class _Hasher:
     """Buckets of a token: its own first, then those of its n-grams. Memoised within bounds."""
 
-    def __init__(self, dim: int, size: int, grams: bool, memo: int = 500_000):
+    def __init__(self, dim: int, size: int, grams: bool, memo: int = 100_000):
         self.dim, self.size, self.grams, self.memo = dim, size, grams, memo
+        self.numbers = list(range(dim))  # one object a bucket, however many tokens name it
         self.words: dict[str, list[int]] = {}
         self.parts: dict[str, int] = {}
 
     def __call__(self, token: str) -> list[int]:
         found = self.words.get(token)
         if found is None:
-            found = [bucket(token, self.dim)]
+            found = [self.numbers[bucket(token, self.dim)]]
             if self.grams and len(token) > self.size:
                 size = self.size
                 found += [self.gram(token[i:i + size]) for i in range(len(token) - size + 1)]
@@ -106,10 +107,22 @@ class _Hasher:
         if found is None:
             if len(self.parts) >= self.memo:
                 self.parts.clear()
-            found = self.parts[part] = bucket("#" + part, self.dim)
+            found = self.parts[part] = self.numbers[bucket("#" + part, self.dim)]
         return found
 
 
+def _slices(lists: pa.Array, rows: int = 512, values: int = 500_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of so many rows and list values at most, one row at least."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = lists.offsets.to_numpy()
+    at = 0
+    while at < len(lists):
+        end = int(np.searchsorted(offsets, offsets[at] + values, "right")) - 1
+        end = min(max(end, at + 1), at + rows, len(lists))
+        yield at, end - at
+        at = end
+
+
 def hashed_vectors(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """array<float> of a text: words weigh 1, n-grams less, log damping, unit length.
 
@@ -134,7 +147,7 @@ def hashed_vectors(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
             all_buckets = np.fromiter(chain.from_iterable(hashed), np.int64, sizes.sum())
             codes = encoded.indices.to_numpy()
             rows = np.repeat(np.arange(n), rows_per_list)
-            step = 2_000_000  # expanded n-grams held at once
+            step = 500_000  # expanded n-grams held at once
             edges = np.searchsorted(
                 np.cumsum(sizes[codes]), np.arange(0, sizes[codes].sum() + step, step), "right"
             )
@@ -160,8 +173,8 @@ def hashed_vectors(c: Column, rules: Rules = DEFAULT_RULES) -> Column:
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            # Narrow slices keep the dense matrices small on wide batches.
-            slices = [embed(part.slice(i, 2048)) for i in range(0, len(part), 2048)]
+            # Narrow slices keep the dense matrices small on wide batches, and what long texts take.
+            slices = [embed(part.slice(i, n)) for i, n in _slices(part)]
             yield pa.concat_arrays(slices) if slices else pa.array([], pa.list_(pa.float32()))
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -32,6 +32,7 @@ PARCEL = 1 << 20
 GRID_PROBES = 16_384
 GRID_ROWS = 65_536
 CELLS = 4_000_000  # scores held at once: probes x rows of one slice
+SLICE = 2048  # rows of one slice, whatever a batch holds: their vectors are held as doubles
 SALTS = 256  # a probe's survivors from all tasks are cut in this many parts first,
 ONE_CUT = 20  # unless it has no more than so many from a task
 
@@ -102,7 +103,7 @@ class _Block:
         self.kept: pa.Table | None = None
 
     def add(self, table: pa.Table) -> None:
-        step = max(128, CELLS // max(self.n, 1))
+        step = min(SLICE, max(128, CELLS // max(self.n, 1)))
         for start in range(0, table.num_rows, step):
             self._add(table.slice(start, step))
 

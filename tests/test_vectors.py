@@ -3,6 +3,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,20 @@ def test_searches_compare_vectors_in_batches(spark):
     hits = search(asked, rows)
     assert "zip_with" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.memory_id, r.rank) for r in hits.orderBy("rank").collect()] == [(2, 1), (3, 2), (4, 3), (5, 4), (6, 5)]
+
+
+def test_memory_does_not_grow_with_a_batch():
+    """Slices of token lists are bounded in rows and in tokens; buckets are shared numbers in a bounded memo."""
+    lists = pa.array([["a"] * n for n in (3, 0, 900, 1200, 1, 1, 1)] + [["b"]] * 1100)
+    cut = list(v._slices(lists, rows=512, values=1000))
+    assert [start for start, _ in cut] == [0, *np.cumsum([n for _, n in cut])[:-1]]
+    assert sum(n for _, n in cut) == len(lists) and max(n for _, n in cut) <= 512
+    sizes = pc.list_value_length(lists).to_numpy()
+    assert all(n == 1 or sizes[at:at + n].sum() <= 1000 for at, n in cut)
+    assert list(v._slices(lists.slice(2, 3), rows=512, values=1000)) == [(0, 1), (1, 1), (2, 1)]
+    hasher = v._Hasher(512, 4, True, memo=10)
+    for i in range(100):
+        got = hasher(f"word{i}")
+        assert got == [v.bucket(x, 512) for x in (f"word{i}", *("#" + f"word{i}"[j:j + 4] for j in range(len(f"word{i}") - 3)))]
+        assert all(any(x is y for y in hasher.numbers) for x in got)
+    assert len(hasher.words) <= 10 and len(hasher.parts) <= 10
