@@ -25,6 +25,8 @@ from pyspark.sql.types import BinaryType
 from mnemo.llm.common import WordHash, mixed, per_text, spaced, utf8
 
 LAST = (1 << 63) - 1
+#: Texts that a task has open at once when it writes what is kept.
+OPEN = 256
 RUN = pa.struct([(x, pa.int64()) for x in ("n", "fd", "fh", "fp")])
 
 
@@ -295,7 +297,7 @@ def remove_repeats(
     joined = packed.join(found, ["d", "h"], "left").select("row", "blob", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, OPEN) for b in batches for at in range(0, len(b), OPEN)):
             total, removed, kept = [], [], []
             for spans, text in zip(batch.column(2).to_pylist(), _texts(batch.column(1))):
                 words, at, parts = text.split(), 0, []
