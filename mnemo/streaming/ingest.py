@@ -163,7 +163,9 @@ class EventIngest:
         return [m for made, _ in parts for m in made], [e for _, ended in parts for e in ended]
 
     def _fan_out(self, due: DataFrame, stored: dict, now: Column) -> tuple[list[dict], list[DataFrame]]:
-        good, bad = split_events(parse_events(due.drop("error_code", "error_field"), self.rules))
+        # Memories, artefacts and outcomes all read the events: they are parsed once for all.
+        parsed = parse_events(due.drop("error_code", "error_field"), self.rules).drop("value", "payload_hash")
+        good, bad = split_events(self._stage(parsed, "events"))
         # Events that came without an id carry the one given on acceptance.
         rows = good.select("created_at", F.col("event_id").alias("_id"), "event.*")
         rows = rows.drop("event_id").withColumnRenamed("_id", "event_id")
@@ -215,13 +217,14 @@ class EventIngest:
         """
         query, end = self.start(folder, "0 seconds"), time.monotonic() + seconds
         # The first micro-batch may be one that the last run had planned, before it could see new
-        # files; so two in a row have to be idle.
-        quiet: set[int] = set()
+        # files. Any later one saw them, and the outcomes of the one before: if idle, all is done.
+        first, done = None, False
         try:
-            while len(quiet) < 2:
+            while not done:
                 last = query.lastProgress
                 if last is not None:
-                    quiet = quiet | {last["batchId"]} if idle(last) else set()
+                    first = last["batchId"] if first is None else first
+                    done = last["batchId"] > first and idle(last)
                 if query.exception():
                     raise query.exception()
                 if time.monotonic() > end:

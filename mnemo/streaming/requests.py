@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from mnemo.config import DEFAULT_RULES, Rules
 from mnemo.operators.ledger import payload_hash
 from mnemo.schema import EVENT
-from mnemo.sources.events import event_rows, parse_events, split_events
+from mnemo.sources.events import event_rows, parse_events
 
 #: What goes in: events, lines that are none, and outcomes of attempts.
 INPUT = (
@@ -34,23 +34,24 @@ RUNNING, WAITING, DONE, DEAD = "running", "waiting", "done", "dead"
 
 
 def incoming(lines: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Text lines as input of the state. Lines that are no events have keys of their own."""
-    good, bad = split_events(parse_events(lines.select("value"), rules))
-    material = [f.name for f in EVENT.fields]
-    events = event_rows(good).withColumn("payload_hash", payload_hash(material))
-    events = _as_input(events, "event", "request_id", "event_id", "value", "payload_hash")
-    apart = bad.withColumn("request_id", F.concat(F.lit("\0"), F.md5("value")))
-    return events.unionByName(_as_input(apart, "invalid", "request_id", "value", "error_code", "error_field"))
+    """Text lines as input of the state, read once. Lines that are no events have keys of their own."""
+    good = F.col("error_code").isNull()
+    rows = event_rows(parse_events(lines.select("value"), rules)).withColumns({
+        "request_id": F.when(good, F.col("request_id")).otherwise(F.concat(F.lit("\0"), F.md5("value"))),
+        "payload_hash": F.when(good, payload_hash([f.name for f in EVENT.fields])),
+    })
+    kind = F.when(good, "event").otherwise("invalid")
+    return _as_input(rows, kind, "request_id", "event_id", "value", "payload_hash", "error_code", "error_field")
 
 
 def finished(outcomes: DataFrame) -> DataFrame:
     """Outcomes (request_id, event_id, attempt, outcome) as input of the state."""
-    return _as_input(outcomes, "outcome", "request_id", "event_id", "attempt", "outcome")
+    return _as_input(outcomes, F.lit("outcome"), "request_id", "event_id", "attempt", "outcome")
 
 
-def _as_input(df: DataFrame, kind: str, *columns: str) -> DataFrame:
+def _as_input(df: DataFrame, kind: Column, *columns: str) -> DataFrame:
     def column(name: str, type_: str) -> Column:
-        value = F.lit(kind) if name == "kind" else F.col(name) if name in columns else F.lit(None)
+        value = kind if name == "kind" else F.col(name) if name in columns else F.lit(None)
         return value.cast(type_).alias(name)
 
     return df.select(*[column(*c.split()) for c in INPUT.split(", ")])
@@ -66,36 +67,47 @@ class RequestState(StatefulProcessor):
         self.state = handle.getValueState("request", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
+        # Every call of the state or its timers is a round trip to the JVM, so a key's state is asked for once.
+        now, asked = timerValues.getCurrentProcessingTimeInMs(), False
         for row in rows:
             if row.kind == "invalid":
                 yield self._row(key, "invalid", now, value=row.value, error_code=row.error_code, error_field=row.error_field)
-            elif row.kind == "event":
+                continue
+            if not asked:
+                self.held, asked = self.state.get(), True
+            if row.kind == "event":
                 yield self._event(key, row, now)
             else:
                 self._outcome(row, now)
 
     def _event(self, key, row, now: int) -> Row:
-        if self.state.exists():
-            first = self.state.get()[0]
-            return self._row(key, "duplicate", now, event_id=row.event_id, payload_mismatch=row.payload_hash != first)
-        self.state.update((row.payload_hash, row.event_id, row.value, now, 1, RUNNING))
-        self._wake(now + self._stale())
+        if self.held is not None:
+            return self._row(
+                key, "duplicate", now, event_id=row.event_id, payload_mismatch=row.payload_hash != self.held[0]
+            )
+        self._hold(row.payload_hash, row.event_id, row.value, now, 1, RUNNING)
+        # A request that was not known has no timer to take back.
+        self.handle.registerTimer(now + self._stale())
         return self._row(
             key, "accept", now, event_id=row.event_id, value=row.value, payload_hash=row.payload_hash,
             payload_mismatch=False, attempt=1, created_at=now,
         )
 
     def _outcome(self, row, now: int) -> None:
-        held = self.state.get() if self.state.exists() else None
+        held = self.held
         if held is None or held[4] != row.attempt or held[5] != RUNNING:
             return  # told twice, or of an attempt that counts as lost
         first, event_id, value, created, attempts, _ = held
         if row.outcome == "done" or attempts >= self.most:
-            self.state.update((first, event_id, None, created, attempts, DONE if row.outcome == "done" else DEAD))
-            self._wake(None)
+            self._hold(first, event_id, None, created, attempts, DONE if row.outcome == "done" else DEAD)
+            if attempts == 1 and self.held[5] == DONE:
+                # Nearly every request: its one timer was set on acceptance. One that was set with
+                # another ``stale_seconds`` stays, and finds the request done.
+                self.handle.deleteTimer(created + self._stale())
+            else:
+                self._wake(None)
         else:
-            self.state.update((first, event_id, value, created, attempts, WAITING))
+            self._hold(first, event_id, value, created, attempts, WAITING)
             self._wake(now + 1000 * min(self.cap, self.base ** min(attempts, 20)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -113,6 +125,10 @@ class RequestState(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _hold(self, *held) -> None:
+        self.held = held
+        self.state.update(held)
+
     def _stale(self) -> int:
         return int(1000 * self.stale_seconds)
 

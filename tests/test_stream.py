@@ -1,5 +1,6 @@
 """Continuous ingest: idempotency and retries from state, isolation of failures, compaction."""
 
+import hashlib
 import json
 import time
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from mnemo.operators.upsert import node_id, pruned
 from mnemo.plans.fanout import ingest_events
 from mnemo.sources.events import event_rows, parse_events, split_events
 from mnemo.streaming.ingest import EventIngest, Store, batch_counts, idle
-from mnemo.streaming.requests import OUTPUT, RequestState
+from mnemo.streaming.requests import OUTPUT, RequestState, incoming
 from mnemo.streaming.store import BatchTables, Table
 
 FULL = {
@@ -263,3 +264,76 @@ def test_a_late_replay_of_a_merged_batch_is_not_read_twice(small):
     small.compact(4)
     fill(small, 3)
     assert numbers(small) == list(range(6))
+
+
+def test_a_key_costs_few_calls_of_its_state():
+    handle, _, tell = machine()
+    calls = []
+    state = handle.getValueState("request", "")
+
+    def noted(name, call):
+        return lambda *a: calls.append(name) or call(*a)
+
+    told = {n: noted(n, getattr(state, n)) for n in ("exists", "get", "update")}
+    handle.getValueState = lambda name, schema: SimpleNamespace(**told)
+    for name in ("listTimers", "registerTimer", "deleteTimer"):
+        setattr(handle, name, noted(name, getattr(handle, name)))
+    state = RequestState(DEFAULT_RULES, 300)
+    state.init(handle)
+
+    def cost(*rows):
+        calls.clear()
+        return len(list(state.handleInputRows(("r",), iter(rows), clock(0)))), list(calls)
+
+    assert cost(event()) == (1, ["get", "update", "registerTimer"])
+    assert cost(*[event()] * 50) == (50, ["get"])
+    assert cost(outcome(1, "done")) == (0, ["get", "update", "deleteTimer"])
+    assert handle.timers == set() and handle.value[5] == "done"
+
+
+def test_a_request_is_done_though_its_timer_was_set_with_another_limit():
+    handle, fire, tell = machine()
+    tell(0, event())
+    handle.timers = {60_000}
+    tell(1000, outcome(1, "done"))
+    assert handle.value[5] == "done" and fire() == (60_000, []) and handle.timers == set()
+    assert tell(70_000, event()) == [("duplicate", None, False)]
+
+
+def test_lines_are_parsed_once(spark, tmp_path, capsys):
+    put(tmp_path, "a.json", FULL, {**FULL, "event_id": " "}, "broken", '{"request_id": 7}')
+    rows = incoming(spark.read.text(str(tmp_path / "a.json")))
+    rows.explain()
+    assert capsys.readouterr().out.count("FileScan text") == 1
+    got = {(r.kind, r.request_id[0] == "\0", r.event_id, r.payload_hash is None, r.error_code) for r in rows.collect()}
+    given = f"evt_{hashlib.md5(b'r1').hexdigest()}"
+    assert got == {
+        ("event", False, "e1", False, None), ("event", False, given, False, None),
+        ("invalid", True, None, True, "not_json"), ("invalid", True, None, True, "not_a_string"),
+    }
+
+
+@pytest.mark.parametrize("replanned", [False, True])
+def test_a_drain_ends_with_the_first_idle_batch_that_was_planned_by_it(replanned, monkeypatch):
+    def batch(n, rows, started=0):
+        counts = SimpleNamespace(asDict=lambda: {"started": started})
+        return {"batchId": n, "numInputRows": rows, "observedMetrics": {"requests": counts}}
+
+    # A batch of the last run is idle, as it could not see the new files.
+    told = [batch(4, 0)] * 3 * replanned + [batch(5, 1, 1), batch(6, 1), batch(7, 0, 1), batch(8, 1), batch(9, 0)]
+
+    class Query:
+        stopped = False
+        lastProgress = property(lambda self: told.pop(0))
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+    query, run = Query(), EventIngest(None)
+    monkeypatch.setattr(run, "start", lambda folder, every: query)
+    monkeypatch.setattr(time, "sleep", lambda seconds: None)
+    run.drain("in", 60)
+    assert query.stopped and told == []
