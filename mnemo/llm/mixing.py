@@ -109,16 +109,21 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """
     key = ["source", "shard"]
     words = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    # Words are counted twice only: once for all sums, once beside the rows.
+    counted = stage(words.select("doc_id", "source", "size"), "sizes")
+    sizes = counted.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     sources = stage(targets(sizes, config), "targets")
     named = sources.withColumnRenamed("source", "_source")
     count = F.ceil((F.col("source_size") + F.col("source_rows")) / config.shard)
-    dealt = words.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), count)).drop("source_rows")
 
+    def deal(rows: DataFrame) -> DataFrame:
+        held = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return held.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), count)).drop("source_rows")
+
+    dealt = deal(words)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(config.block, total >> 20))
-    shards = dealt.groupBy(*key).agg(F.sum("size").alias("length"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+    shards = deal(counted).groupBy(*key).agg(F.sum("size").alias("length"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = shards.filter("length > 0").withColumn("votes", F.col("target") * F.col("length") / F.col("source_size"))
     quotas = apportion(shards, round(total / block), key)
     # From blocks of the mix to the shard's own equal blocks, which are a little shorter.
