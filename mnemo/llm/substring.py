@@ -14,6 +14,7 @@ edge, not one per document.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType
 
-from mnemo.llm.common import WordHash, mixed, per_text, spaced, utf8
+from mnemo.llm.common import SLICE, WordHash, mixed, per_text, spaced, utf8
 
 LAST = (1 << 63) - 1
 #: Texts that a task has open at once when it writes what is kept.
@@ -66,6 +67,34 @@ class Grams:
         return mixed((sums[size:] - sums[:-size]) * self.down[which, : n - size + 1])
 
 
+    def each(self, texts, size: int, width: int):
+        """Of each text the words, its runs of ``size`` words, and the least of each ``width`` of those.
+
+        Many short texts are hashed at once; what crosses from one to the next is left out.
+        """
+        held, total = [], 0
+        for text in texts:
+            if held and total + len(text) > SLICE:
+                yield from self._together(held, size, width)
+                held, total = [], 0
+            held.append(text)
+            total += len(text)
+        yield from self._together(held, size, width)
+
+    def _together(self, texts: list[bytes], size: int, width: int):
+        lists = [text.split() for text in texts]
+        if len(texts) == 1:
+            words = self.of(texts[0])
+        else:
+            words = self.words(np.frombuffer(b" ".join([b"", *(b" ".join(x) for x in lists if x), b""]), np.uint8))
+        runs = self.runs(words, size, 0)
+        least, at = _least(runs, width), 0
+        for n in map(len, lists):
+            end = at + n - size + 1
+            yield words[at: at + n], runs[at: max(at, end)], least[at: max(at, end - width + 1)]
+            at += n
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by doubling."""
     have = 1
@@ -140,14 +169,13 @@ def _anchors(config: SubstringConfig):
         size = 0
         for batch in batches:
             places = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for (d, h, t), text in zip(places, utf8(batch.column(3))):
-                runs = grams.runs(grams.of(text), config.anchor, 0)
-                width = config.k - config.anchor + 1
-                if len(runs) < width:
+            hashed = grams.each(utf8(batch.column(3)), config.anchor, config.k - config.anchor + 1)
+            for (d, h, t), (_, runs, least) in zip(places, hashed):
+                if not len(least):
                     continue
-                chosen = np.unique(_least(runs, width))
-                all_, n = np.unique(runs, return_counts=True)
-                held.append((chosen, d, h, t, n[np.searchsorted(all_, chosen)] > 1))
+                # Neighbours mostly have one least run.
+                chosen, all_ = np.unique(least[np.append(True, least[1:] != least[:-1])]), np.sort(runs)
+                held.append((chosen, d, h, t, np.isin(chosen, all_[1:][all_[1:] == all_[:-1]])))
                 size += len(chosen)
                 if size > config.buffer:
                     yield flush()
@@ -201,16 +229,23 @@ def _edges(config: SubstringConfig):
         size, n = 0, config.k - 1
         for batch in batches:
             places = zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)))
-            copies = []
-            for (d, h, repeated, fd, fh), text in zip(places, _texts(batch.column(3))):
+            copies, lengths = [], deque()
+
+            def opened(batch=batch):
+                """The texts, but of copies only their length."""
+                for fd, text in zip(batch.column(5).to_pylist(), _texts(batch.column(3))):
+                    if fd is not None:
+                        lengths.append(len(text.split()))
+                    yield text if fd is None else b""
+
+            hashed = grams.each(opened(), config.anchor, config.k - config.anchor + 1)
+            for (d, h, repeated, fd, fh), (words, _, least) in zip(places, hashed):
                 if fd is not None:
-                    windows = len(text.split()) - n
+                    windows = lengths.popleft() - n
                     if windows > 0:
                         run = {"n": windows, "fd": fd, "fh": fh, "fp": 0}
                         copies.append((d ^ fd, 0, d, h, 0, run))
                     continue
-                words = grams.of(text)
-                least = _least(grams.runs(words, config.anchor, 0), config.k - config.anchor + 1)
                 at = np.flatnonzero(np.isin(least, np.array(repeated, np.int64).view(np.uint64)))
                 if len(at):
                     e, c = (grams.runs(words, config.k, i)[at] for i in (1, 2))
