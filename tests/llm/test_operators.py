@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -355,3 +356,44 @@ def test_pipeline(spark):
         docs = stage(spark, docs, folder).cache()
         assert docs.columns == columns and docs.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
+
+
+def test_codes_are_the_bytes_around_the_beginnings_of_words():
+    texts = ["ab c  déf\n", "", None, " Wordy words ", "x"]
+    flat, offsets = perplexity.tokens(pa.array(texts))
+    want = {True: [], False: []}
+    for t in texts:
+        line = b""
+        for w in [*(t or "").lower().encode().split(), perplexity.END]:
+            code = line[-4:].rjust(4, b"\0") + (w + b" ")[:4].ljust(4, b"\0")
+            want[w == perplexity.END].append(int.from_bytes(code, "big"))
+            line += w + b" "
+    assert perplexity.codes(flat, offsets).tolist() == want[False] + want[True]
+
+
+def test_words_are_spelled_after_the_text_before_them(spark):
+    """After aa words begin with z, after bb with q; unknown words that do so, too, are likelier."""
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("cdefghijklmnop"), 5)) for _ in range(600)]
+    training = " ".join(f"aa z{w}" if i % 2 else f"bb q{w}" for i, w in enumerate(made))
+    rows = [(0, training, True), (1, "aa znewly bb qfound", False), (2, "bb znewly aa qfound", False)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, training boolean")
+    for common in (2e-6, 1.0):
+        config = perplexity.ScoreConfig(common=common)
+        priced, n, _ = perplexity.fit(data, config)
+        found = perplexity.score(data, priced, n, config, perplexity.fit_heads(data, config)).collect()
+        score = {r.doc_id: r.score for r in found}
+        assert len(found) == 3 and score[1] > score[2] + 1
+    alone = {r.doc_id: r.score for r in perplexity.score(data, priced, n, config).collect()}
+    assert abs(alone[1] - alone[2]) < 1e-6
+
+
+def test_prices_of_codes_do_not_depend_on_what_a_task_met_before():
+    rng = np.random.default_rng(4)
+    mixer = perplexity.Mixer(rng.integers(0, 5, (2, 1 << 12)).astype(np.float32))
+    code = perplexity.codes(*perplexity.tokens(pa.array([" ".join("".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(500))])))
+    memo = perplexity.Priced(mixer, 12)
+    memo.room = 300
+    want = mixer.log10_codes(code, 12)
+    for part in (slice(0, 100), slice(50, 400), slice(300, 501), slice(0, 501)):
+        assert np.allclose(memo(code[part]), want[part], rtol=1e-12)
